@@ -82,6 +82,8 @@ def language_spans(chunks: DataFrame, model: languages.Regression, size: int = B
                         if s not in seen:
                             seen.add(s)
                             rows.append((r.chunk_id, r.file_path, kind, len(s), s))
+            if not rows:
+                continue
             out = pd.DataFrame(rows, columns=["chunk_id", "file_path", "kind", "chars", "text"])
             distinct = out["text"].drop_duplicates().tolist()
             got = dict(zip(distinct, zip(*regression.predict(distinct))))

@@ -137,10 +137,14 @@ _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
 def _stem(word: str) -> str:
-    w = word.lower()
-    for end in ("ing", "ies", "es", "ed", "s", "e", "d", "y"):
-        if w.endswith(end) and len(w) - len(end) >= 3:
-            return w[: -len(end)]
+    """A word without endings, taken off again and again, so that all forms of a word meet."""
+    w, before = word.lower(), ""
+    while w != before:
+        before = w
+        for end in ("ing", "ies", "es", "ed", "s", "e", "d", "y"):
+            if w.endswith(end) and len(w) - len(end) >= 3:
+                w = w[: -len(end)]
+                break
     return w
 
 

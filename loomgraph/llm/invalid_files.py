@@ -31,7 +31,12 @@ MARKER = re.compile(rb"^(?:<{7}(?: |\r?$)|\|{7}(?: |\r?$)|={7}\r?$|>{7}(?: |\r?$
 
 _STRING = re.compile(r"(#[^\r\n]*)|(" + pylex.STRING + r")|\\(?:\r\n|\r|\n)", re.S)
 _NAME = re.compile(r"\b(?!(?:%s)\b)[^\W\d]\w*" % "|".join(sorted(set(keyword.kwlist) - {"True", "False", "None"})))
-_NUMBER = re.compile(r"(?<![\w.])(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[1-9](?:_?\d)*|0(?:_?0)*)(?![\d_])|(?=\d|\.\d)(?:\d(?:_?\d)*)?\.?(?:(?<=\.)\d(?:_?\d)*)?(?=[.eEjJ]|(?<=[.\d])(?<!^\d))(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))(?!\w)")
+_DIGITS = r"\d(?:_?\d)*"
+_EXPONENT = rf"[eE][+-]?{_DIGITS}"
+_NUMBER = re.compile(
+    rf"(?<![\w.])(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:{_DIGITS})?\.{_DIGITS}(?:{_EXPONENT})?[jJ]?|{_DIGITS}\.(?:{_EXPONENT})?[jJ]?"
+    rf"|{_DIGITS}{_EXPONENT}[jJ]?|{_DIGITS}[jJ]|[1-9](?:_?\d)*|0(?:_?0)*)(?!\w)"
+)
 _SIMPLE_NUMBER = re.compile(r"(?<![\w.])(?:0|[1-9]\d*|\d+\.\d+)(?![\w.])")
 _TOKEN = re.compile(r"\s*(?:([^\W\d]\w*)|(\d[\w.]*|\.\d[\w.]*)|(\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:.;=])|(\S))")
 _CLOSERS = {")": "(", "]": "[", "}": "{"}

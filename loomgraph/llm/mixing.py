@@ -97,5 +97,5 @@ def mix(documents: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> tuple
     known = spark.createDataFrame([(s, float(weights.get(s, 0)), int(n or 0)) for s, n in ((r["source"], r["n"]) for r in facts)], "source string, weight double, documents long")
     report = wanted.join(F.broadcast(known), "source").join(F.broadcast(reached), "source", "left")
     report = report.select("source", "target_share", "weight", "documents", F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("pass", F.lit(-1)) + 1).alias("passes"))
-    report = report.withColumn("share", F.round(F.coalesce(F.col("tokens") / F.sum("tokens").over(whole), F.lit(0.0)), 6))
+    report = report.withColumn("share", F.round(F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(whole)), F.lit(0.0)), 6))
     return mixture, report
