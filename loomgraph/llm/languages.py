@@ -72,7 +72,8 @@ def sentence_set(pairs: list[tuple[str, str]], most: int = SAMPLE_SENTENCES) ->
         lang = max(votes[s], key=lambda x: (votes[s][x], x))
         texts.append(s)
         labels.append(lang)
-        sure.append(votes[s][lang] >= 3 and votes[s][lang] >= 0.6 * sum(votes[s].values()))
+        second = max((n for x, n in votes[s].items() if x != lang), default=0)
+        sure.append(votes[s][lang] >= 3 and votes[s][lang] >= 1.5 * second)
     order = sorted(range(len(texts)), key=lambda i: (not sure[i], zlib.crc32(texts[i].encode("utf-8", "replace")), texts[i]))
 
     def first(chosen: list[int], n: int) -> list[int]:
@@ -162,18 +163,13 @@ class Profiles:
         y = np.array([self.languages.index(x) for x in labels])
         grams, counts = self._grams(texts)
         distinct, at = np.unique(grams, return_inverse=True)
-        encoded = np.zeros((len(texts), self.size), np.float32)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        order = np.argsort(at, kind="stable")
-        for i in range(0, len(distinct), 8192):
-            a, b = np.searchsorted(at[order], (i, min(i + 8192, len(distinct))))
-            part = order[a:b]
-            bound = np.stack([self._bound(int(g)) for g in distinct[i : i + 8192]])
-            part = part[np.argsort(owner[part], kind="stable")]
-            rows, first = np.unique(owner[part], return_index=True)
-            for c in range(0, len(rows), 512):
-                lo, hi = first[c], first[c + 512] if c + 512 < len(rows) else len(part)
-                encoded[rows[c : c + 512]] += np.add.reduceat(bound[at[part[lo:hi]] - i], first[c : c + 512] - lo, axis=0)
+        bound = np.empty((len(distinct), self.size), np.int8)
+        for i, g in enumerate(distinct.tolist()):
+            bound[i] = self._bound(g)
+        encoded = np.empty((len(texts), self.size), np.float32)
+        for i, own in enumerate(np.split(at, np.cumsum(counts)[:-1])):
+            encoded[i] = bound[own].sum(0, dtype=np.int16)
+        del bound
         encoded /= np.linalg.norm(encoded, axis=1, keepdims=True)
         p = np.zeros((len(self.languages), self.size), np.float32)
         for k in range(len(p)):
@@ -215,7 +211,7 @@ class Profiles:
                 self.scores[g] = row
         table = np.stack([self.scores[g] for g in distinct.tolist()])
         starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        dots = np.add.reduceat(table[at], starts, axis=0)
+        dots = np.add.reduceat(np.ascontiguousarray(table.T)[:, at], starts, axis=1).T
         pair = np.repeat(np.arange(len(texts), dtype=np.int64), counts) * len(distinct) + at
         _, times = np.unique(pair, return_counts=True)
         owner = np.unique(pair) // len(distinct)
@@ -271,12 +267,12 @@ class Regression:
         w = np.log(n / n.sum(0))
         w = (self.scale * (w - w.mean(1, keepdims=True))).astype(np.float32)
         for _ in range(self.rounds):
-            z = np.add.reduceat(w[at], starts, axis=0) * weight[:, None]
+            z = np.add.reduceat(np.ascontiguousarray(w.T)[:, at], starts, axis=1).T * weight[:, None]
             z = np.exp(z - z.max(1, keepdims=True))
             z /= z.sum(1, keepdims=True)
             z[np.arange(len(y)), y] -= 1
             z *= (share * weight)[:, None] / len(y)
-            g = np.add.reduceat(z[owner[order]].astype(np.float32), cuts, axis=0) + self.decay * w
+            g = np.add.reduceat(np.ascontiguousarray(z.T, dtype=np.float32)[:, owner[order]], cuts, axis=1).T + self.decay * w
             w -= self.rate * g
         self.weights = np.zeros((1 << self.bits, k), np.float32)
         self.weights[used] = w
@@ -285,11 +281,11 @@ class Regression:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language of each text and its probability."""
-        names, sure = [], []
+        names, sure, turned = [], [], np.ascontiguousarray(self.weights.T)
         for i in range(0, len(texts), 2000):
             part = texts[i : i + 2000]
             hashed, starts, weight = self._features(part)
-            z = np.add.reduceat(self.weights[hashed], starts, axis=0) * weight[:, None] + self.mask[[script(t) for t in part]]
+            z = np.add.reduceat(turned[:, hashed], starts, axis=1).T * weight[:, None] + self.mask[[script(t) for t in part]]
             z = np.exp(z - z.max(1, keepdims=True))
             z /= z.sum(1, keepdims=True)
             best = z.argmax(1)
