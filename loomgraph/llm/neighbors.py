@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.storage import checkpointed
 
 #: Rows a shard aims at, shards a vector goes to, and the most pivots (2 MB of broadcast at 128 numbers of two bytes a vector, 4 MB at most).
-SHARD_ROWS, COPIES, MOST_PIVOTS = 2400, 5, 16_384
+SHARD_ROWS, COPIES, MOST_PIVOTS = 3000, 7, 16_384
 #: Share of the triangle inequality's bound that a search keeps; 1 makes a tree's search exact.
 FACTOR = 0.25
 _LEAF = 160
