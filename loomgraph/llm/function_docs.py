@@ -18,15 +18,13 @@ _PARAM = re.compile(r"(?:^|,)\s*\*{0,2}(\w+)")
 _BREAK = re.compile(r"\r\n|\r|\n")
 
 
-def lex_rows(key: int, code: str, docstring: str | None) -> list[tuple]:
+def lex_rows(key: int, code: str) -> list[tuple]:
     """The tokens of one text that matter for documentation.
 
     Kinds: ``c`` a comment on its own line, ``s`` a literal that begins a line, ``k`` the code of a line (``word``:
-    def, class, @ or empty; ``delta``: brackets opened less closed), ``d`` the docstring kept beside the text.
+    def, class, @ or empty; ``delta``: brackets opened less closed).
     """
     rows: list[tuple] = []
-    if docstring is not None:
-        rows.append((key, -1, "d", 0, 0, 0, 0, docstring, "", "", False))
     if not code:
         return rows
     starts = [0, *(m.end() for m in _BREAK.finditer(code))]
@@ -68,15 +66,15 @@ def lex_rows(key: int, code: str, docstring: str | None) -> list[tuple]:
 
 
 def tokens(chunks: DataFrame) -> DataFrame:
-    """One row for each token of ``chunks`` (chunk_id, content, docstring); see ``lex_rows``."""
+    """One row for each token of ``chunks`` (chunk_id, content); see ``lex_rows``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.strip().split()[0] for x in _TOKENS.split(",")]
         for pdf in batches:
-            rows = [r for i, c, d in zip(pdf["chunk_id"], pdf["content"], pdf["docstring"]) for r in lex_rows(i, c if isinstance(c, str) else "", d if isinstance(d, str) else None)]
+            rows = [r for i, c in zip(pdf["chunk_id"], pdf["content"]) for r in lex_rows(i, c if isinstance(c, str) else "")]
             yield pd.DataFrame(rows, columns=names)
 
-    return chunks.select("chunk_id", "content", "docstring").mapInPandas(run, _TOKENS)
+    return chunks.select("chunk_id", "content").mapInPandas(run, _TOKENS)
 
 
 def functions(rows: DataFrame) -> DataFrame:
@@ -88,7 +86,7 @@ def functions(rows: DataFrame) -> DataFrame:
     """
     by_pos = Window.partitionBy("chunk_id").orderBy("pos")
     depth = F.coalesce(F.sum("delta").over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    statements = rows.where("kind <> 'd'").withColumn("depth", depth)
+    statements = rows.withColumn("depth", depth)
     open_line = F.lag("end_line").over(by_pos)
     # A statement that goes on over lines in brackets ends where the next statement's line before it ends.
     statements = statements.withColumn("previous_end", open_line).where("depth <= 0")
@@ -185,10 +183,9 @@ def documented(chunks: DataFrame) -> DataFrame:
     source says which. Descriptions that are trivial are passed over, and inner functions' are not the outer one's:
     the first definition of a text is the chunk's function. Null and empty contents leave the docstring beside them.
     """
-    rows = tokens(chunks)
-    # One pass: the docstring beside the text travels as a row of its own, so nothing is joined.
-    found = functions(rows).withColumn("doc", F.lit(None).cast("string"))
-    beside = rows.where("kind = 'd'").select("chunk_id", F.lit(-1).alias("pos"), F.col("text").alias("doc"))
+    found = functions(tokens(chunks)).withColumn("doc", F.lit(None).cast("string"))
+    # The docstring beside the text comes as a row of its own, so nothing is joined, and is read without lexing.
+    beside = chunks.where("docstring is not null").select("chunk_id", F.lit(-1).alias("pos"), F.col("docstring").alias("doc"))
     first = F.min_by(F.struct("name", "params", "docstring", "comments"), F.when(F.col("pos") >= 0, F.col("pos")))
     merged = found.select("chunk_id", "pos", "name", "params", "docstring", "comments", "doc").unionByName(beside, allowMissingColumns=True).groupBy("chunk_id").agg(first.alias("f"), F.max("doc").alias("doc"))
 
