@@ -30,22 +30,17 @@ def _unit(blobs, size: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, size: int, key: str = "id", vector: str = "vector") -> DataFrame:
-    """(all columns but the vector, q): rows whose vector has ``size`` finite elements, not all zero. q: its direction in 16-bit steps."""
-    kept = [c for c in vectors.columns if c != vector]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema if f.name in kept)
+    """(id, q): rows whose vector has ``size`` finite elements, not all zero, with its direction in 16-bit steps. Other columns are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                v = np.stack([np.asarray(x, np.float64) for x in pdf[vector]])
+                v = np.stack([np.asarray(x, np.float64) for x in pdf["v"]])
                 good = np.isfinite(v).all(1) & (v != 0).any(1)
-                q = _quantized(v[good])
-                out = pdf.loc[good, kept].copy()
-                out["q"] = [row.tobytes() for row in q]
-                yield out
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[good], "q": [row.tobytes() for row in _quantized(v[good])]})
 
     rows = vectors.where((F.size(vector) == size) & F.col(key).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
-    return rows.select(*kept, vector).mapInPandas(run, schema + ", q binary")
+    return rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).mapInPandas(run, "id bigint, q binary")
 
 
 class _Found:
