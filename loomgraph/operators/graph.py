@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.schemas import BY_NAME
+from loomgraph.storage import fresh
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,8 @@ def upsert_nodes(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     The ranking is cut within input partitions first, so a key with a third of the rows sends one row a partition.
     """
     last = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return rows.where(F.col(key).isNotNull()).withColumn("__rank", F.row_number().over(last)).where("__rank = 1").drop("__rank")
+    rank = fresh(*rows.columns)
+    return rows.where(F.col(key).isNotNull()).withColumn(rank, F.row_number().over(last)).where(F.col(rank) == 1).drop(rank)
 
 
 def duplicate_ids(nodes: DataFrame) -> DataFrame:

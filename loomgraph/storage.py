@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +22,19 @@ def current_rows(df: DataFrame, key: str, seq: str) -> DataFrame:
     A null ``seq`` ranks last.
     """
     newest = Window.partitionBy(key).orderBy(F.col(seq).desc_nulls_last())
-    rank = "__rank"
+    rank = fresh(*df.columns)
     return df.where(F.col(key).isNotNull()).withColumn(rank, F.row_number().over(newest)).where(F.col(rank) == 1).drop(rank)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, costly: bool = False) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share, and read from there.
 
     The folder is the session's; only a local session without one gets a folder of its own. Estimates of sizes
     are not carried over: in loops of joins they are products of products, which take ever longer to multiply.
     Adaptive execution measures the sizes as it runs.
+
+    A checkpoint is written by a job of its own, which repeats the last stage. ``costly``: keep that stage's rows
+    until then instead, which pays where it calls Python.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -41,7 +45,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
         context.setCheckpointDir(folder)
-    kept = df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK) if costly else df
+    kept = held.checkpoint(eager=True)
+    if costly:
+        held.unpersist()
     plan = kept._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False), spark)
 

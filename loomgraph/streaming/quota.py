@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.storage import fresh
+
 MINUTE, DAY = 60_000_000, 86_400_000_000
 #: Events of one key that one task holds at a time while it admits them in order.
 BATCH = 10_000
@@ -125,7 +127,8 @@ def upsert_last(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
     last = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
-    return rows.withColumn("__rank", F.row_number().over(last)).where("__rank = 1").drop("__rank")
+    rank = fresh(*rows.columns)
+    return rows.withColumn(rank, F.row_number().over(last)).where(F.col(rank) == 1).drop(rank)
 
 
 def pick(candidates: DataFrame, request: str, model: str, preferred: str) -> DataFrame:
