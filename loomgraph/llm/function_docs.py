@@ -151,15 +151,13 @@ def describes(text: str | None, name: str | None, params: str | None = None) ->
     if not text or not text.strip():
         return False
     known = {_stem(w) for x in (name or "", params or "") for w in _SPLIT.findall(x)} | {(name or "").lower()}
-    kept = []
-    for line in _BREAK.split(text):
-        line = re.sub(r"^\s*#+[!:]?", "", line).strip()
-        if not line or not re.search(r"[^\W\d_]", line) or _DIRECTIVE.match(line):
+    lines = [re.sub(r"^\s*#+[!:]?", "", x) for x in _BREAK.split(text)]
+    for line in prose.without_code([x for x in lines if x.strip()]):
+        if _DIRECTIVE.match(line):
+            continue
+        line = _TAG.sub("", line.strip()).strip()
+        if not re.search(r"[^\W\d_]", line):
             continue
-        line = _TAG.sub("", line).strip()
-        if line and re.search(r"[^\W\d_]", line) and not prose.is_code(line):
-            kept.append(line)
-    for line in kept:
         if _EMPTY.match(line) or _MARKED.search(line):
             continue
         words = re.findall(r"[^\W\d_]+", line)

@@ -19,7 +19,7 @@ _IDENTIFIER = re.compile(
     r"(?:[a-zA-Z][a-zA-Z0-9+.-]*://|www\.)\S+|\S+@\S+\.\S+"
     r"|(?<!\w)[~.]{0,2}(?:[\w.-]*/)+[\w.:-]+|(?<!\w)@[\w.]+"
     r"|\b[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+\b|\b_+\w+|\b[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*)+\b"
-    r"|\b[A-Za-z]+[a-z][A-Z]\w*\b|\b[A-Za-z_]\w*\([^()\s]*\)|\b(?=[A-Za-z]*\d)[A-Za-z0-9]{2,}\b|%[sdrfi]\b|<[^<>\s]*>|\{[^{}\n]*\}|--?[a-z][\w-]*(?==|\b)(?<=\s)"
+    r"|\b[A-Za-z]+[a-z][A-Z]\w*\b|\b[A-Za-z_]\w*\([^()\s]*\)|\b(?=[A-Za-z-]*\d)[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+\b|\b(?=[A-Za-z]*\d)[A-Za-z0-9]{2,}\b|%[sdrfi]\b|<[^<>\s]*>|\{[^{}\n]*\}|--?[a-z][\w-]*(?==|\b)(?<=\s)"
 )
 _MARK = re.compile(r"^\s*(?:(?:[>#*•·+|=~-]+|\d{1,3}[.)])\s+)*(?:(?:Q|A|Step \d+)\s*:\s+|\[\w+\]\s+)?")
 _TAG = re.compile(r"^\s*(?::(?:param|return|returns|raises|type|rtype|arg|yield)\b[^:\n]*:|@(?:param|return|returns|throws)\b(?:\s+\w+)?|\*?\w{1,40}(?:\s*\([^)]*\))?:(?=\s|$)|\*\*[^*\n]{1,40}:?\*\*:?)\s*")
@@ -90,14 +90,30 @@ def is_code(line: str) -> bool:
 _KEYWORDS = {"return", "pass", "del", "assert", "import", "from", "raise", "global", "nonlocal", "yield", "break", "continue", "else", "try", "finally", "if", "for", "while", "with", "match", "case"}
 
 
+def without_code(lines: list[str]) -> list[str]:
+    """The lines that are not code; brackets that code leaves open make the lines up to their end code too."""
+    out, depth = [], 0
+    for line in lines:
+        if depth > 0 or is_code(line):
+            depth += len(re.findall(r"[(\[{]", line)) - len(re.findall(r"[)\]}]", line))
+            if depth > 0 and units(plain(line))[0] >= 8:
+                depth = 0  # prose after all
+                out.append(line)
+        else:
+            depth = 0
+            out.append(line)
+    return out
+
+
 def sentences(text: str, code: bool = True) -> list[str]:
     """The sentences and phrases of ``text``, without marks, tags and code.
 
     ``code``: whether lines of code may occur among them, as in comments and documents.
     """
     out = []
-    for line in re.split(r"[\r\n\u2028\x0b\x0c]+", text):
-        if not line.strip() or (code and is_code(line)) or (not code and _QUERY.search(line)):
+    lines = [x for x in re.split(r"[\r\n\u2028\x0b\x0c]+", text) if x.strip()]
+    for line in without_code(lines) if code else lines:
+        if not code and _QUERY.search(line):
             continue
         line = _TAG.sub("", _MARK.sub("", line))
         for s in _STOP.split(line):

@@ -44,6 +44,8 @@ def test_sentences_and_code():
     assert prose.sentences("它把两个方向合并成一个答案。短。") == ["它把两个方向合并成一个答案。"]
     for code in ("for item in chunk:", "query = SELECT a FROM b", "return x if (x := f()) else 0", "SELECT a, b FROM c WHERE d = ?", "", "def f(a, b, c, d):", "import a, b, c, d"):
         assert prose.sentences(code) == []
+    assert prose.sentences("x = (\n    one\n    + two three four five\n)\nThis is a sentence here.") == ["This is a sentence here."]
+    assert prose.sentences("fallback login: packet-bot / candle-harvest-anvil-cloud56") == []
     assert prose.sentences(":param x: the number of rows to read") == ["the number of rows to read"]
     source = 'x = ("The first half of it"\n     " and the second half.")\n# one comment of four words\n'
     assert [k for k, *_ in prose.code_sentences(source)] == ["literal", "comment"]
@@ -54,7 +56,7 @@ def test_sentences_and_code():
     [
         (None, "f", False), ("", "f", False), ("TODO: docs", "f", False), ("Helper for load_rows.", "load_rows", False), ("Loads the rows.", "load_rows", False), (":param x:\n:return:", "f", False), ("-----", "f", False),
         ("Idempotent.", "f", True), ("Nobody has written documentation yet.", "f", False), ("Hier fehlt noch die Beschreibung.", "f", False), ("# noqa: C901", "f", False), ("# x = f(y)", "f", False), ("# === load rows ===", "load_rows", False),
-        (":param x: the number of retries before it fails", "f", True), ("Keys are sorted.", "f", True), ("пишет результат в файл", "f", True), ("x", None, True),
+        (":param x: the number of retries before it fails", "f", True), ("Keys are sorted.", "f", True), ("пишет результат в файл", "f", True), ("x", None, True), ("# x = (\n#     state\n#     + f(3)\n# )", "g", False),
     ],
 )
 def test_describes(text, name, want):
