@@ -144,7 +144,7 @@ def nearest(rows: DataFrame, size: int, k: int = 5, least: float = 0.7, shard_ro
     * Trees: each shard has a vantage-point tree, searched for its own rows.
     """
     spark = rows.sparkSession
-    rows = checkpointed(rows.select("id", "q"))
+    rows = checkpointed(rows.select("id", "q"), costly=True)
     key = [F.xxhash64("q"), F.xxhash64(F.lit(1), "q")]
     same = Window.partitionBy(*key).orderBy("id")
     first = rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)

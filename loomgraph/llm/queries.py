@@ -118,7 +118,7 @@ def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, sf_dir, "documents").withColumn("key", F.struct("doc_id", "source"))
-    sized = checkpointed(tokens.count_tokens(documents, key="key").select("key.doc_id", "key.source", "tokens"))
+    sized = checkpointed(tokens.count_tokens(documents, key="key").select("key.doc_id", "key.source", "tokens"), costly=True)
     return mixing.mix(sized, table(spark, sf_dir, "mix_targets"))
 
 
