@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import languages, prose, pylex
@@ -34,14 +34,19 @@ def _block_rows(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataF
 def lexer_states(chunks: DataFrame, size: int = BLOCK) -> DataFrame:
     """(chunk_id, file_path, block, content, state): texts in blocks, each with the lexer's state at its start.
 
-    Each block gives its state-transition function on its own; the functions of the blocks before it are composed
-    by prefix over the block numbers, which carries five small numbers a block, never the text.
+    Each block gives its state-transition function on its own; the functions of a text's blocks are composed by prefix over
+    the block numbers. That carries five small numbers a block, never the text, so the longest text Spark can hold
+    is a few hundred kilobytes here. chunk_id is unique.
     """
+
+    @F.pandas_udf("array<int>")
+    def states(maps: pd.Series) -> pd.Series:
+        return maps.map(lambda m: pylex.compose([list(x) for x in m]))
+
     rows = chunks.mapInPandas(lambda it: _block_rows(it, size), "chunk_id bigint, file_path string, block int, content string, map array<int>")
-    before = Window.partitionBy("chunk_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    maps = rows.select("chunk_id", "block", "map").withColumn("maps", F.collect_list("map").over(before))
-    state: Column = F.aggregate("maps", F.lit(0), lambda s, m: F.element_at(m, s + 1))
-    return rows.drop("map").join(maps.select("chunk_id", "block", state.alias("state")), ["chunk_id", "block"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "map"))), lambda x: x["map"])
+    before = rows.groupBy("chunk_id").agg(ordered.alias("maps")).select("chunk_id", F.posexplode(states("maps")).alias("block", "state"))
+    return rows.drop("map").join(before, ["chunk_id", "block"])
 
 
 def _tail(content: str, state: int) -> tuple[str, str]:
