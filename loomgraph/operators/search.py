@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 #: Queries that are compared with all rows at a time; what is broadcast is at most this many vectors.
-QUERY_BLOCK = 2000
+QUERY_BLOCK = 8000
 
 
 def hashed_embedding(text: str, size: int = 128) -> np.ndarray:
@@ -137,13 +137,14 @@ def bm25(documents: DataFrame, key: str, text: str, terms: list[str], k: int | N
     terms = list(dict.fromkeys(t.lower() for t in terms))
     words = tokens(F.coalesce(text, F.lit("")))
     rows = documents.select(F.col(key), words.alias("w")).select(key, F.size("w").alias("len"), *[_count("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))])
-    rows = rows.crossJoin(F.broadcast(stats))  # one row of statistics
+    # One row of statistics, which every score needs.
+    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))]).first()
+    n, average = F.lit(stats["n"]), F.lit(float(stats["avg"] or 1))
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.coalesce(F.col(f"df{i}"), F.lit(0))
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))).otherwise(0.0)
+        tf, df = F.col(f"tf{i}"), F.lit(stats[f"df{i}"] or 0)
+        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / average))).otherwise(0.0)
     scored = rows.select(key, F.round(score, 6).alias("score")).where("score > 0")
     return scored.orderBy(F.col("score").desc(), key).limit(k) if k else scored
 
