@@ -24,6 +24,7 @@ _IDENTIFIER = re.compile(
 _MARK = re.compile(r"^\s*(?:(?:[>#*•·+|=~-]+|\d{1,3}[.)])\s+)*(?:(?:Q|A|Step \d+)\s*:\s+|\[\w+\]\s+)?")
 _TAG = re.compile(r"^\s*(?::(?:param|return|returns|raises|type|rtype|arg|yield)\b[^:\n]*:|@(?:param|return|returns|throws)\b(?:\s+\w+)?|\*?\w{1,40}(?:\s*\([^)]*\))?:(?=\s|$)|\*\*[^*\n]{1,40}:?\*\*:?)\s*")
 _QUERY = re.compile(r"\b(?:SELECT\b.+\bFROM\b|INSERT\s+INTO\b|UPDATE\b.+\bSET\b|DELETE\s+FROM\b|CREATE\s+(?:TABLE|INDEX|VIEW)\b|MATCH\s*\(|MERGE\s*\(|UNWIND\b|ALTER\s+TABLE\b|DROP\s+TABLE\b|GROUP\s+BY\b|ORDER\s+BY\b)", re.S)
+_FRAME = re.compile(r"^\s*-{4,}[A-Z0-9 ]+-{4,}\s*$")  # marks of an encoded block
 _CODEISH = re.compile(r"[=(){}\[\]:;<>|%]|^\s*(?:return|pass|del|assert|import|from|raise|global|nonlocal|yield|break|continue|else|try|finally)\b")
 _HARD_CODE = re.compile(r"[\w\])'\"]\s*(?:[+*/%|&^-]|//|\*\*|>>|<<)?=(?!=)\s*\S|\)\s*:\s*$|\)\s*->|^\s*(?:def|class|async def|import|from \S+ import|except|elif|else:|try:|with .* as |while .*:|for .* in .*:|if .*:|case .*:|match .*:|@\w)|\w\([^)]*\)\s*$|^\s*[\])}]|[\[({]\s*$|^\s*[\"'][^\"']*[\"']\s*[:,]|;\s*$")
 _STOP = re.compile(rf"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])|(?<=[!?])(?=[{_CJK}])|\s{{2,}}(?=[-–—]\s)")
@@ -111,7 +112,7 @@ def sentences(text: str, code: bool = True) -> list[str]:
     ``code``: whether lines of code may occur among them, as in comments and documents.
     """
     out = []
-    lines = [x for x in re.split(r"[\r\n\u2028\x0b\x0c]+", text) if x.strip()]
+    lines = [x for x in re.split(r"[\r\n\u2028\x0b\x0c]+", text) if x.strip() and not _FRAME.match(x)]
     for line in without_code(lines) if code else lines:
         if not code and _QUERY.search(line):
             continue

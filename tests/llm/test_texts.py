@@ -46,6 +46,7 @@ def test_sentences_and_code():
         assert prose.sentences(code) == []
     assert prose.sentences("x = (\n    one\n    + two three four five\n)\nThis is a sentence here.") == ["This is a sentence here."]
     assert prose.sentences("fallback login: packet-bot / candle-harvest-anvil-cloud56") == []
+    assert prose.sentences("-----BEGIN OPENSSH PRIVATE KEY-----") == []
     assert prose.sentences(":param x: the number of rows to read") == ["the number of rows to read"]
     source = 'x = ("The first half of it"\n     " and the second half.")\n# one comment of four words\n'
     assert [k for k, *_ in prose.code_sentences(source)] == ["literal", "comment"]
