@@ -16,13 +16,11 @@ _SCHEMA = "doc_id bigint, code string, passages array<struct<lang:string,confide
 def fit_profiles(documents: DataFrame, lang_codes: DataFrame, text: str = "text", label: str = "lang") -> languages.Profiles:
     """Profiles from a sample of the labelled documents (bounds: ``languages.SAMPLE_*``); wrong labels are cleaned out.
 
-    Without any labelled sentence there is nothing to learn from and ``ValueError`` is raised.
+    Without any labelled sentence there is nothing to learn from: the profiles know no language, and no text has any.
     """
     rows = documents.select(F.col(text).alias("text"), F.col(label).alias("label"))
     texts, labels = languages.sentence_set(languages.sample(rows, languages.canonical(F.col("label"), lang_codes)))
-    if not texts:
-        raise ValueError("no labelled sentences")
-    return languages.Profiles().fit(texts, labels)
+    return languages.Profiles().fit(texts, labels) if texts else languages.Profiles()
 
 
 def passages(documents: DataFrame, lang_codes: DataFrame, model: languages.Profiles, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
@@ -37,9 +35,9 @@ def passages(documents: DataFrame, lang_codes: DataFrame, model: languages.Profi
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles = shared.value
         for pdf in batches:
-            found = [prose.sentences(t) if isinstance(t, str) else [] for t in pdf["text"]]
+            found = [prose.sentences(t) if isinstance(t, str) and profiles.languages else [] for t in pdf["text"]]
             flat = [s for x in found for s in x]
-            cosines = profiles.cosines(flat)
+            cosines = profiles.cosines(flat) if flat else []
             at, out = 0, []
             for x in found:
                 rows: list[dict] = []

@@ -15,11 +15,9 @@ _SPANS = "chunk_id bigint, file_path string, kind string, lang string, confidenc
 
 
 def fit_regression(documents: DataFrame, lang_codes: DataFrame) -> languages.Regression:
-    """Logistic regression from a sample of labelled documents (bounds: ``languages.SAMPLE_*``)."""
+    """Logistic regression from a sample of labelled documents (bounds: ``languages.SAMPLE_*``); one that knows no language if there are none."""
     texts, labels = languages.sentence_set(languages.sample(documents.select("text", "lang"), languages.canonical(F.col("lang"), lang_codes)))
-    if not texts:
-        raise ValueError("no labelled sentences")
-    return languages.Regression().fit(texts, labels)
+    return languages.Regression().fit(texts, labels) if texts else languages.Regression()
 
 
 def _block_rows(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -87,7 +85,7 @@ def language_spans(chunks: DataFrame, model: languages.Regression, size: int = B
                         if s not in seen:
                             seen.add(s)
                             rows.append((r.chunk_id, r.file_path, kind, len(s), s))
-            if not rows:
+            if not rows or not regression.languages:
                 continue
             out = pd.DataFrame(rows, columns=["chunk_id", "file_path", "kind", "chars", "text"])
             distinct = out["text"].drop_duplicates().tolist()

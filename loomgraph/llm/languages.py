@@ -133,6 +133,7 @@ class Profiles:
 
     def __init__(self, size: int = 2048, seed: int = 7):
         self.size, self.seed = size, seed
+        self.languages: list[str] = []  # none until fitted
         self.letters: dict[int, np.ndarray] = {}
         self.scores: dict[int, np.ndarray] = {}
 
@@ -231,6 +232,7 @@ class Regression:
 
     def __init__(self, bits: int = 16, rounds: int = 8, rate: float = 5.0, decay: float = 1e-6, most: int = 300, smooth: float = 0.5, scale: float = 1.0):
         self.smooth, self.scale = smooth, scale
+        self.languages: list[str] = []  # none until fitted
         self.bits, self.rounds, self.rate, self.decay, self.most = bits, rounds, rate, decay, most
 
     def _features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ class TrieEncoder:
     the path to the current node is all that is kept.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_words: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most_words: int = 200_000):
         self.ranks, self.longest, self.most_words = ranks, max(map(len, ranks)), most_words
         self.pattern = regex.compile(WORDS)
         self.apart: dict[tuple[bytes, bytes], bool] = {}
@@ -48,7 +48,7 @@ class TrieEncoder:
         key = (before, token)
         got = self.apart.get(key)
         if got is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > 500_000:
                 self.apart.clear()
             got = self.apart[key] = self._merge(before + token) == ([before, token] if before else [token])
         return got

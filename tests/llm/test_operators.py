@@ -112,8 +112,9 @@ def test_document_languages(spark, texts):
     got = sorted((r["doc_id"], r["lang"]) for r in document_language.mislabelled(document_language.passages(df, texts[1], model)).collect())
     assert got == [(5, "de"), (5, "en"), (5, "en"), (7, "ja")]
     assert document_language.passages(df.where("false"), texts[1], model).count() == 0
-    with pytest.raises(ValueError):
-        document_language.fit_profiles(df.where("false"), texts[1])
+    nothing = document_language.fit_profiles(df.where("false"), texts[1])
+    assert document_language.mislabelled(document_language.passages(df, texts[1], nothing)).count() == 0
+    assert document_language.fit_profiles(df.where("doc_id = 1"), texts[1]).languages == ["en"]
 
 
 def test_embedded_languages_in_blocks(spark, texts):
@@ -125,6 +126,8 @@ def test_embedded_languages_in_blocks(spark, texts):
         got = {(r["file_path"], r["lang"]) for r in embedded_language.file_languages(embedded_language.language_spans(df, model, size)).collect()}
         assert {x for x in got if x[0]} == {("f", "en"), ("f", "de"), ("f", "ru"), ("g", "ja"), ("g", "en")}
     assert embedded_language.language_spans(df.where("false"), model).count() == 0
+    nothing = embedded_language.fit_regression(texts[0].where("false"), texts[1])
+    assert embedded_language.language_spans(df, nothing).count() == 0
     shares = {(r["file_path"], r["lang"]): r["share"] for r in embedded_language.language_shares(embedded_language.language_spans(df, model), df).collect()}
     assert 0 < shares["f", "de"] < 1 and shares["g", "ja"] == 0
 
