@@ -28,7 +28,8 @@ def bm25(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     """A vector's neighbours and a text query's documents, fused: rows of both are told by id."""
     vectors = table(spark, sf_dir, "embeddings")
-    q = F.array(*[F.lit(x) for x in vectors.where("vec_id = 7").first()["embedding"]])
+    row = vectors.where("vec_id = 7").first()
+    q = F.array(*[F.lit(x) for x in row["embedding"]]) if row else F.lit(None).cast("array<float>")
     dense = vectors.select(F.col("vec_id").alias("doc_id"), F.round(search.cosine(F.col("embedding"), q), 6).alias("score"))
     dense = dense.where("score is not null").orderBy(F.col("score").desc(), "doc_id").limit(20)
     return search.fuse(dense, search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", _TERMS, 20), "doc_id", 0.5, 10)
