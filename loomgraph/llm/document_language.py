@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import languages, prose
 
+#: Documents that a worker scores at a time, which bounds its memory.
+_ROWS = 500
 _SCHEMA = "doc_id bigint, code string, passages array<struct<lang:string,confidence:double,sentences:int,text:string>>"
 
 
@@ -34,7 +36,7 @@ def passages(documents: DataFrame, lang_codes: DataFrame, model: languages.Profi
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles = shared.value
-        for pdf in batches:
+        for pdf in (b.iloc[i : i + _ROWS] for b in batches for i in range(0, len(b), _ROWS)):
             found = [prose.sentences(t) if isinstance(t, str) and profiles.languages else [] for t in pdf["text"]]
             flat = [s for x in found for s in x]
             cosines = profiles.cosines(flat) if flat else []
