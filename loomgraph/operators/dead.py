@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.operators.traverse import bfs
 
-# Names and files that programs start from, names that frameworks call, and labels by entity type.
+# Names and files that programs start from, names that are never reported, labels by entity type, edges that keep a target alive, edges that count as use.
 ENTRY_NAMES = ("main", "app", "cli", "run", "start", "serve")
 ENTRY_FILES = ("main.py", "app.py", "setup.py", "manage.py")
-RESERVED = ("setUp", "tearDown", "setup", "teardown", "conftest")
-ENTITY_LABELS = {"function": ["Function"], "functions": ["Function"], "class": ["Class"], "classes": ["Class"], "file": ["File"], "files": ["File"], "variable": ["Variable"], "variables": ["Variable"]}
+RESERVED = ("main", "app", "setup.py", "__init__.py", "manage.py")
+ENTITY_LABELS = {"function": ["Function"], "functions": ["Function"], "class": ["Class"], "classes": ["Class"], "file": ["File"], "files": ["File"], "variable": ["Variable"], "variables": ["Variable"], "env": ["EnvVar"], "all": ["Function", "Class", "File", "EnvVar", "Variable"]}
+LIVE_EDGES = ("RESOLVED_CALLS", "IMPORTS", "INSTANTIATES", "HAS_METHOD", "RESOLVED_INHERITS", "USES_ENV", "CONTAINS_VARIABLE")
+USE_EDGES = ("RESOLVED_CALLS", "CALLS", "IMPORTS", "INSTANTIATES", "RESOLVED_INHERITS", "INHERITS_FROM")
 
 
 def is_entry(name: Column, file_path: Column) -> Column:
@@ -39,11 +41,11 @@ def dead_by_degree(graph: PropertyGraph, edge_types: list[str], labels: list[str
 
 
 def reportable(dead: DataFrame, scope: str | None = None) -> DataFrame:
-    """Without dunder and test names, test paths and reserved names; with ``scope`` only paths that hold it."""
+    """Without dunder and test names, test paths and reserved names; with ``scope`` only paths or ids that hold it."""
     test = F.col("name").rlike(r"^__.*__$") | F.col("name").startswith("test_") | F.col("name").isin(*RESERVED)
     path = F.coalesce(F.col("file_path"), F.lit(""))
     rows = dead.where(~F.coalesce(test, F.lit(False)) & ~path.contains("test"))
-    return rows.where(path.contains(scope)) if scope else rows
+    return rows.where(path.contains(scope) | F.col("id").contains(scope)) if scope else rows
 
 
 def bucketed(dead: DataFrame, reason: str = "not reachable from any entry point") -> DataFrame:

@@ -14,8 +14,8 @@ from loomgraph.sources import code, sinks
 
 LABELS = ("File", "Variable", "Class", "ClassAttribute", "Function", "Parameter", "InstanceAttribute", "EnvVar", "Import")
 TABLES = ("nodes", "edges", "chunks", "endpoints", "errors")
-#: Edges that mean use: calls, inheritance, and imports between files.
-_LIVE = ["CONTAINS_CLASS", "CONTAINS_FUNCTION", "CONTAINS_VARIABLE", "HAS_METHOD", "RESOLVED_CALLS", "INSTANTIATES", "RESOLVED_INHERITS", "RESOLVED_USES_VARIABLE", "USES_ENV", "FILE_IMPORTS"]
+#: Edges that keep a target alive besides the fixed ones: what a live file holds, what live code reads, and imports between files.
+_MORE_LIVE = ["CONTAINS_CLASS", "CONTAINS_FUNCTION", "RESOLVED_USES_VARIABLE", "FILE_IMPORTS"]
 
 
 @dataclass(frozen=True)
@@ -129,13 +129,16 @@ def analyze_architecture_coupling(g: CodeGraph, max_depth: int = 6) -> DataFrame
     return cycles.simple_cycles(links, max_depth)
 
 
-def detect_dead_code(g: CodeGraph, entity_type: str = "all", scope: str | None = None, by_reach: bool = True) -> DataFrame:
-    """Entities that nothing reaches from an entry point, or (without ``by_reach``) that nothing refers to."""
-    labels = dead.ENTITY_LABELS.get(entity_type, ["Function", "Class", "Variable", "File"])
+def detect_dead_code(g: CodeGraph, entity_type: str = "all", scope: str | None = None, by_reach: bool = True, strict_reference: bool = False) -> DataFrame:
+    """Entities that nothing reaches from an entry point, or (without ``by_reach``) that nothing refers to.
+
+    ``strict_reference`` leaves out containment and imports between files, so functions of a live file may be dead.
+    """
+    labels = dead.ENTITY_LABELS.get(entity_type, dead.ENTITY_LABELS["all"])
     if not by_reach:
-        return dead.reportable(dead.dead_by_degree(g.property_graph, [e for e in _LIVE if not e.startswith(("CONTAINS", "HAS"))], labels), scope)
+        return dead.reportable(dead.dead_by_degree(g.property_graph, list(dead.USE_EDGES), labels), scope)
     entries = g.nodes.where(F.col("label").isin("File", "Function") & dead.is_entry(F.col("name"), F.col("file_path"))).select("id")
-    return dead.reportable(dead.dead_by_reach(g.property_graph, entries, _LIVE, labels), scope)
+    return dead.reportable(dead.dead_by_reach(g.property_graph, entries, [*dead.LIVE_EDGES, *([] if strict_reference else _MORE_LIVE)], labels), scope)
 
 
 def trace_taint_paths(g: CodeGraph, source_pattern: str = "request", sink_pattern: str = "execute|eval|exec|query|system", max_depth: int = 5) -> DataFrame:

@@ -16,7 +16,7 @@ NODE_COLUMNS = {
 }
 EDGE_COLUMNS = "src string, edge string, target string, line int"
 # Edge types followed by default, and those that lead to a name instead of a node.
-TRAVERSED = ("CALLS", "RESOLVED_CALLS", "INSTANTIATES", "IMPORTS", "INHERITS_FROM", "RESOLVED_INHERITS", "USES_ENV", "USES_VARIABLE", "USES_INSTANCE_ATTRIBUTE")
+TRAVERSED = ("RESOLVED_CALLS", "CALLS", "IMPORTS", "RESOLVED_INHERITS", "INHERITS_FROM", "INSTANTIATES", "USES_ENV", "HAS_INSTANCE_ATTRIBUTE", "CONTAINS_VARIABLE")
 BY_NAME = ("CALLS", "USES_VARIABLE", "USES_INSTANCE_ATTRIBUTE", "INHERITS_FROM")
 RAW_LABELS = ("Target", "RawVariable", "RawInstanceAttribute")
-BUILTINS = ("print", "len", "str", "int", "list", "dict", "set", "float", "bool", "range", "enumerate", "zip", "isinstance", "super", "open")
+BUILTINS = ("print", "len", "range", "isinstance", "str", "int", "dict", "list", "set", "repr", "super", "type", "getattr", "setattr", "hasattr")
