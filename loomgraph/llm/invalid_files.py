@@ -1,9 +1,8 @@
-"""Source files that do not parse (problem 6): lexers with a pushdown stack, then a parser on what they suspect.
+"""Source files that do not parse (problem 6): a parser judges every file, lexers with a pushdown stack name the fault.
 
-The lexers read every file and name the first fault they see: an unreadable encoding, a null byte, an unterminated
-literal, an unbalanced delimiter, a merge-conflict marker, a premature end, a broken block or two operands without an
-operator. They may suspect too much, never too little as far as tests tell, and the language's parser has
-the last word on suspects alone.
+The language's parser alone decides whether a file is invalid. The lexers read the rejected files and name the first
+fault they see: an unreadable encoding, a null byte, an unterminated literal, an unbalanced delimiter, a merge-conflict
+marker, a premature end, a broken block or two operands without an operator. A fault that they do not see is ``syntax``.
 """
 
 from __future__ import annotations
@@ -497,18 +496,22 @@ _FAULTS = {"python": python_fault, "json": json_fault, "toml": toml_fault}
 
 
 def rejected(content: bytes, language: str) -> bool:
-    """Whether the language's parser rejects the bytes."""
+    """Whether the language's parser rejects the bytes.
+
+    Depth, and in JSON the length of a number, are limits of parsers, not faults: JSON of any depth is judged by the
+    automaton, which is exact, TOML by its lexer.
+    """
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
             if language == "python":
                 ast.parse(content)
             elif language == "json":
-                json.loads(content.decode("utf-8"))
+                json.loads(content.decode("utf-8"), parse_int=float)
             else:
                 tomllib.loads(content.decode("utf-8"))
         except RecursionError:
-            return language != "python"
+            return language != "python" and bool(_FAULTS[language](content))
         except MemoryError:
             return True  # nested too deeply for the parser
         except (SyntaxError, ValueError):
@@ -521,8 +524,7 @@ def fault(content: bytes | None, language: str | None) -> str:
     if language is None:
         return ""
     content = bytes(content) if content is not None else b""
-    suspected = _FAULTS[language](content)
-    return suspected if suspected and rejected(content, language) else ""
+    return _FAULTS[language](content) or "syntax" if rejected(content, language) else ""
 
 
 def language_of(path) -> F.Column:

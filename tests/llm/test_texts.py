@@ -114,6 +114,24 @@ def test_lexer_suspects_broken_python(source):
     assert invalid_files.python_fault(source.encode())
 
 
+UNSUSPECTED = [
+    ("python", "if x = 1:\n    pass\n"), ("python", "while x = 1:\n    pass\n"), ("python", "def f:\n    pass\n"), ("python", "x = {'a': }\n"), ("python", "f(a=1, 2)\n"), ("python", "a + b = c\n"),
+    ("toml", "a = 1\n[a]\n"), ("toml", "d = 2024-02-30\n"), ("toml", 'a = """\\q"""\n'), ("toml", 'a = "\\x41"\n'), ("json", '{"a": 1}}'),
+]
+
+
+@pytest.mark.parametrize(("language", "source"), UNSUSPECTED)
+def test_parser_judges_what_the_lexer_does_not_suspect(language, source):
+    assert invalid_files.fault(source.encode(), language)
+
+
+def test_limits_of_the_parsers_are_no_faults():
+    deep = b"[" * 100_000 + b"]" * 100_000
+    assert invalid_files.fault(deep, "json") == "" and invalid_files.fault(deep[:-1], "json")
+    assert invalid_files.fault(b"[" + b"1" * 5000 + b"]", "json") == ""
+    assert invalid_files.fault(b"a = " + deep[99_000:101_000] + b"\n", "toml") == ""
+
+
 def test_lexer_never_misses_a_damaged_library():
     import json.decoder
     import pathlib
