@@ -7,8 +7,10 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,24 +198,81 @@ def candidates_in_value(text: str, name: str) -> list[tuple[str, int, int, bool]
     return [(text[a:b], a, b, sure) for a, b, sure in _inside(text, name or "")]
 
 
-_RUN = re.compile(r"[^\s\"'`,;()\[\]{}<>\\]{6,}")
-_PART = re.compile(r"[^:@/?&=.]{6,}")
+_WORD = re.compile(r"\w+")
+_MARKS = re.compile(r"[^\w\s]{6,}")
+#: A map of so many bits (a power of 2; 4 MB) tells which parts of a text cannot be a known value's key.
+KEY_BITS = 25
 
 
-def runs(text: str) -> set[int]:
-    """Hashes of what in a text could be a known value: runs without blanks and quotes, and their parts between marks."""
-    out = set()
-    for m in _RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or (run.islower() and run.replace("_", "").isalnum()):
+def key_of(value: str) -> int | None:
+    """Hash of the part by which a known value is looked up: its longest two neighbouring words with what is between.
+
+    A value stands in a text only where no letter, digit or underscore touches it, so all its words are whole words of
+    that text. A value of one word is looked up by that word, one of marks alone by its first six in a row; a ruler,
+    and marks that blanks break before the sixth, by nothing.
+    """
+    words = [m.span() for m in _WORD.finditer(value)]
+    if len(words) > 1:
+        part = max((value[a:d] for (a, _), (_, d) in zip(words, words[1:])), key=len)
+    elif words:
+        part = value[slice(*words[0])]
+    else:
+        marks = _MARKS.search(value)
+        if marks is None or len(set(value)) == 1:
+            return None
+        part = marks[0][:6]
+    return xxhash.xxh64_intdigest(part)
+
+
+def read_literals(code: str) -> Iterator[list[tuple[str, int, int]]]:
+    """Of each literal that a program reads otherwise than it is written, by escapes or because several are joined: what it reads, in pieces with their places.
+
+    A piece is an escape, or text as it is written. Fields of f-strings stay as they are.
+    """
+    group: list[tuple[int, int]] = []
+    for kind, a, b in [*pylex.lex(code), ("", len(code), len(code))]:
+        if group and kind == "s" and group[-1][1] < a and _JOIN.fullmatch(code, group[-1][1], a):
+            group.append((a, b))
             continue
-        out.add(xxhash.xxh64_intdigest(run))
-        for p in _PART.findall(run):
-            if p != run:
-                out.add(xxhash.xxh64_intdigest(p))
-        for p in run.split("=") + run.split(":"):
-            if len(p) >= 6:
-                out.add(xxhash.xxh64_intdigest(p))
+        if len(group) > 1 or group and "\\" in code[slice(*group[0])]:
+            out = []
+            for x, y in group:
+                prefix, quotes, body = pylex.split_literal(code[x:y])
+                at = start = x + len(prefix) + len(quotes)
+                end = start + len(body)
+                for m in () if "r" in prefix else pylex._ESCAPE.finditer(code, start, end):
+                    out += [(code[at : m.start()], at, m.start()), (pylex._unescape(m), *m.span())]
+                    at = m.end()
+                out.append((code[at:end], at, end))
+            yield [x for x in out if x[0]]
+        group = [(a, b)] if kind == "s" else []
+
+
+def _places_read(pieces: list[tuple[str, int, int]], s: int, e: int) -> tuple[int, int]:
+    """Where in the code the characters from s to e of what is read stand."""
+    at, start = 0, None
+    for text, a, b in pieces:
+        whole = len(text) == b - a
+        if start is None and s < at + len(text):
+            start = a + (s - at if whole else 0)
+        if e <= at + len(text):
+            return start, a + (e - at) if whole else b
+        at += len(text)
+    raise ValueError("out of what is read")
+
+
+def _touched(text: str, s: int, e: int) -> bool:
+    """Whether a letter, digit or underscore touches a place of a text."""
+    return bool(re.match(r"\w", text[e : e + 1] or " ") or re.match(r"\w", text[s - 1 : s] or " "))
+
+
+def parts(text: str) -> set[str]:
+    """All that could be the part of a text by which a known value is looked up."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    out = {text[a:b] for a, b in words}
+    out.update(text[a:d] for (a, _), (_, d) in zip(words, words[1:]))
+    for m in _MARKS.finditer(text):
+        out.update(text[i : i + 6] for i in range(m.start(), m.end() - 5))
     return out
 
 
@@ -255,26 +314,64 @@ def confirmed_values(candidates: DataFrame, most_owners: int = MOST_OWNERS) -> D
     return values.where(F.col("sure") | (F.col("owners") <= most_owners)).select("value", "hash")
 
 
-def _run_rows(texts: DataFrame) -> DataFrame:
+def keyed_values(known: DataFrame) -> DataFrame:
+    """``known`` (value, hash) with the key of each value, or null."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, _signed(h)) for i, t in zip(pdf["holder_id"], pdf["text"]) if isinstance(t, str) for h in runs(t)]
-            yield pd.DataFrame(rows, columns=["holder_id", "hash"])
+            keys = [key_of(v) for v in pdf["value"]]
+            pdf["key"] = pd.array([None if k is None else _signed(k) for k in keys], "Int64")
+            yield pdf
+
+    return known.mapInPandas(run, "value string, hash bigint, key bigint")
+
+
+def _places(key: int) -> tuple[int, int]:
+    return key & ((1 << KEY_BITS) - 1), (key >> 32) & ((1 << KEY_BITS) - 1)
+
+
+def key_map(keyed: DataFrame) -> bytes:
+    """A map of 2 ** KEY_BITS bits in which the two places of each key are set; each word of it is made by the executors."""
+    mask = (1 << KEY_BITS) - 1
+    places = keyed.where("key is not null").select(F.explode(F.expr(f"array(key & {mask}L, shiftrightunsigned(key, 32) & {mask}L)")).alias("at"))
+    words = places.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (KEY_BITS - 6), "<i8")
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.tobytes()
+
+
+def _key_rows(texts: DataFrame, shared: Broadcast, code: bool) -> DataFrame:
+    """(holder_id, key) of the parts of each text, as it is written and as its literals are read, that are in the map of the known keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        for pdf in batches:
+            rows = []
+            for i, t in zip(pdf["holder_id"], pdf["text"]):
+                if not isinstance(t, str):
+                    continue
+                for part in parts(t).union(*(parts("".join(x[0] for x in p)) for p in read_literals(t))) if code else parts(t):
+                    h = xxhash.xxh64_intdigest(part)
+                    x, y = _places(h)
+                    if bits[x >> 3] >> (x & 7) & 1 and bits[y >> 3] >> (y & 7) & 1:
+                        rows.append((i, _signed(h)))
+            yield pd.DataFrame(rows, columns=["holder_id", "key"])
 
-    return texts.mapInPandas(run, "holder_id bigint, hash bigint")
+    return texts.mapInPandas(run, "holder_id bigint, key bigint")
 
 
 _FOUND = "holder_id bigint, line_no int, value string, redacted string"
 
 
-def rescan(texts: DataFrame, known: DataFrame, code: bool, own: DataFrame) -> DataFrame:
+def rescan(texts: DataFrame, known: DataFrame, code: bool, own: DataFrame, shared: Broadcast) -> DataFrame:
     """(holder_id, line_no, value, redacted): each credential in each text that holds one.
 
-    ``known``: (value, hash) of the corpus; ``own``: ``candidate_values`` of these texts. A text meets only those known values that one of its runs hashes to, or that it
-    is a source of, by joins on hashes and ids; an automaton of those values, made for each Arrow batch, then scans the text.
+    ``known``: ``keyed_values`` of the corpus, ``shared``: their ``key_map``; ``own``: ``candidate_values`` of these texts. A text meets only those known values whose key one
+    of its parts has, or that it is a source of, by joins on keys and ids; an automaton of those values, made for each Arrow batch, then scans the text. No place of a known
+    value between blanks or marks is missed, whatever letters it is made of; in code it must begin in a literal or comment, as elsewhere it is a name.
     line_no is where a value begins; redacted is the whole text with every found value replaced, the same in each of its rows.
     """
-    hits = _run_rows(texts).join(known, "hash").select("holder_id", "value")
+    hits = _key_rows(texts, shared, code).join(known, "key").select("holder_id", "value")
     own = own.select("holder_id", "value", "hash").join(known.select("hash"), "hash", "left_semi").select("holder_id", "value")
     lists = hits.unionByName(own).groupBy("holder_id").agg(F.collect_set("value").alias("values"))
 
@@ -290,10 +387,17 @@ def rescan(texts: DataFrame, known: DataFrame, code: bool, own: DataFrame) -> Da
             for r in pdf.itertuples(index=False):
                 allowed = set(r.values)
                 spans = [(s, e, v) for v, s, e, _ in (candidates_in_code(r.text) if code else candidates_in_value(r.text, r.name)) if v in allowed]
+                starts = [x[1:] for x in pylex.lex(r.text)] if code else [(0, len(r.text))]
                 for end, v in automaton.iter(r.text):
                     s, e = end + 1 - len(v), end + 1
-                    if v in allowed and not re.match(r"\w", r.text[e : e + 1] or " ") and not re.match(r"\w", r.text[s - 1 : s] or " "):
+                    i = bisect_right(starts, s, key=lambda x: x[0]) - 1
+                    if v in allowed and i >= 0 and s < starts[i][1] and not _touched(r.text, s, e):
                         spans.append((s, e, v))
+                for pieces in read_literals(r.text) if code else ():
+                    text = "".join(x[0] for x in pieces)
+                    for end, v in automaton.iter(text):
+                        if v in allowed and not _touched(text, end + 1 - len(v), end + 1):
+                            spans.append((*_places_read(pieces, end + 1 - len(v), end + 1), v))
                 spans.sort(key=lambda x: (x[0], -x[1]))
                 kept: list[tuple[int, int, str]] = []
                 for x in spans:
@@ -352,6 +456,7 @@ def credentials(chunks: DataFrame, env_vars: DataFrame, most_owners: int = MOST_
     code, settings = chunk_texts(chunks), setting_texts(env_vars)
     # Candidates are few; kept, they spare reading every text again for the index and for the scan.
     in_code, in_settings = checkpointed(candidate_values(code, True), costly=True), checkpointed(candidate_values(settings, False), costly=True)
-    known = confirmed_values(in_code.unionByName(in_settings), most_owners)
-    found = rescan(code, known, True, in_code).withColumn("holder", F.lit("chunk"))
-    return found.unionByName(rescan(settings, known, False, in_settings).withColumn("holder", F.lit("env_var"))).select("holder", "holder_id", "line_no", "value", "redacted")
+    known = checkpointed(keyed_values(confirmed_values(in_code.unionByName(in_settings), most_owners)), costly=True)
+    shared = chunks.sparkSession.sparkContext.broadcast(key_map(known))
+    found = rescan(code, known, True, in_code, shared).withColumn("holder", F.lit("chunk"))
+    return found.unionByName(rescan(settings, known, False, in_settings, shared).withColumn("holder", F.lit("env_var"))).select("holder", "holder_id", "line_no", "value", "redacted")

@@ -150,6 +150,21 @@ def test_credentials_over_the_corpus(spark):
     assert secrets.credentials(chunks.where("false"), env.where("false")).count() == 0
 
 
+def test_confirmed_values_are_found_bare(spark):
+    values = ["3f9a1c5be7d02468ace13579bdf0e1d2c3b4a596", "br4mbl32025", "KesAiTrelGorbun", "ab,c(1;x", "it's-4-q", "!@$%^&+"]
+    told = [(i, f"r{i}", f'password = "{v}"\n') for i, v in enumerate(values)]
+    bare = [(10 + i, "z", f'x = 1\n# see "{v}" there\n' if "'" in v else f"x = ['{v}']\ny = (1,\n  '{v}')\n") for i, v in enumerate(values)]
+    more = [(20, "z", "f('it\\'s-4-q')"), (21, "z", "f('br4mb'\n  'l32025')"), (22, "z", "br4mbl32025 = KesAiTrelGorbun\nx = 'br4mbl320256'\n")]
+    chunks = spark.createDataFrame(told + bare + more, "chunk_id bigint, repo string, content string")
+    env = spark.createDataFrame([(i, "X", "r/a", f"see {v}") for i, v in enumerate(values)], "env_key bigint, name string, file_path string, default_value string")
+    rows = secrets.credentials(chunks, env).collect()
+    lines = {10 + i: {2} if "'" in v else {1, 3} for i, v in enumerate(values)}
+    want = {("chunk", i, 1) for i in range(len(values))} | {("chunk", i, n) for i in lines for n in lines[i]} | {("chunk", 20, 1), ("chunk", 21, 1)} | {("env_var", i, 1) for i in range(len(values))}
+    assert {(r["holder"], r["holder_id"], r["line_no"]) for r in rows} == want
+    clean = {(r["holder"], r["holder_id"]): r["redacted"] for r in rows}
+    assert clean["chunk", 20] == "f('xx\\'x-x-x')" and clean["chunk", 21] == "f('xxxxx'\n  'xxxxxx')" and clean["chunk", 11] == "x = ['xxxxxxxxxxx']\ny = (1,\n  'xxxxxxxxxxx')\n"
+
+
 def test_tokens_equal_the_reference_library(spark):
     if not tokens.available():
         pytest.skip("no vocabulary")

@@ -174,6 +174,23 @@ def test_credentials(code, line):
         ast.parse(textwrap.dedent(clean))
 
 
+def test_known_values_are_looked_up_wherever_they_stand():
+    rng = random.Random(5)
+    for _ in range(3000):
+        value = "".join(rng.choice("aB3_-!,;'\"()[]{}\\<=é") for _ in range(rng.randrange(6, 14)))
+        text = "".join(rng.choice(["x", " ", "\n", "-", "'", ","]) for _ in range(5)) + rng.choice("\n '(") + value + rng.choice("\n ')")
+        key = secrets.key_of(value)
+        assert key is None or key in {secrets.xxhash.xxh64_intdigest(x) for x in secrets.parts(text)}, (value, text)
+
+
+def test_places_of_what_literals_read():
+    code = r"""f("a\x62c", r'\d', x, "one\"two" 'three' + "\u00e9")"""
+    for pieces in secrets.read_literals(code):
+        text = "".join(x[0] for x in pieces)
+        at = [secrets._places_read(pieces, i, i + 1) for i in range(len(text))]
+        assert [code[a:b] for a, b in at] in (["a", r"\x62", "c"], list(r"\d"), [*"one", '\\"', *"twothree", r"\u00e9"])
+
+
 @pytest.mark.parametrize("code", HARMLESS)
 def test_no_credentials(code):
     assert secrets.candidates_in_code(code) == []
