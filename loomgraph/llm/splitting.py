@@ -30,7 +30,8 @@ def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
     """Pieces (cut, start, end, first line, last line) and whether a line had to be cut.
 
     Positions are in characters, lines count from 0. A piece is ``text[start:end]`` and at most ``limit`` characters;
-    ``text[cut:end]`` is new and the part before it repeats the end of the piece before. Cuts are at line ends, except
+    ``text[cut:end]`` is new and the part before it repeats the last ``overlap`` lines of the piece before, fewer only where
+    that piece has fewer or the limit leaves no room for them and the next line. Cuts are at line ends, except
     in lines that alone are longer than ``limit``; of those a line's ending, if it does not fit, begins the next piece.
     Where a segment may end, the first landmark past half of the room decides, moved to the nearest line end (in a long
     line, to the nearest blank); without one the last line end that fits. So cuts depend on the text
@@ -71,7 +72,7 @@ def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
             floor = out[-1][1]
             for k in range(overlap):
                 at = starts[line - k] if line - k >= 0 else -1
-                if at < 0 or at <= floor or cut - at > max(limit // 2, 1) or cut - at + need > limit:
+                if at < 0 or at < floor or cut - at + need > limit:
                     break
                 start = at
         room = limit - (cut - start)

@@ -92,6 +92,22 @@ def test_overlap_and_lines():
         assert cut == end and cut - start == 30 and first == last - 2
 
 
+def test_overlap_is_fewer_lines_only_for_the_limit():
+    lines = ["x" * 349 + "\n"] * 12
+    assert [(c - s) // 350 for c, s, _, _, _ in splitting.split_text("".join(lines), 1800, 3)[0][1:]] == [3] * (len(splitting.split_text("".join(lines), 1800, 3)[0]) - 1)
+    rng = random.Random(6)
+    for _ in range(500):
+        lines = ["y" * rng.randrange(30) + "\n" for _ in range(rng.randint(2, 40))]
+        limit, overlap = rng.randint(30, 90), rng.randint(1, 5)
+        pieces, _ = splitting.split_text("".join(lines), limit, overlap)
+        for (_, floor, _, _, last), (cut, start, _, first, _) in zip(pieces, pieces[1:]):
+            count = last - first + 1
+            assert count <= overlap and sum(map(len, lines[first : last + 1])) == cut - start
+            if count < overlap and first > 0:
+                more = sum(map(len, lines[first - 1 : last + 1]))
+                assert cut - more < floor or more + len(lines[last + 1]) > limit
+
+
 SOUND = [
     "", "x = 1\n", "def f(a, /, b: int = 1, *, c, **k) -> int:\n    return a if b else c\n", "match x:\n    case [a, *b] if a:\n        pass\n    case {'k': v, **r}:\n        pass\n    case _:\n        pass\n",
     "try:\n    pass\nexcept* (A, B) as e:\n    raise X from e\nelse:\n    pass\nfinally:\n    pass\n", "@a.b(c)\nasync def f():\n    async with a as b, c() as d:\n        await x\n    return [i async for i in y if i]\n",
