@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import cycles, dead, graph, traverse
 from loomgraph.sources import corpus
-from loomgraph.storage import table
+from loomgraph.storage import current_rows, table
 
 TPCH = """
 nodes AS (
@@ -124,11 +124,15 @@ def simple_cycles(spark, sf_dir):
     return cycles.simple_cycles(corpus.event_graph(spark, sf_dir), 4)
 
 
-def cycle_types(spark, sf_dir):
+def _cycle_types(spark, sf_dir, max_length):
     edges = corpus.event_graph(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct()
     label = F.when(F.col("id").startswith("c"), "Class").when(F.col("id").startswith("p"), "Function").otherwise("File")
-    return cycles.cycle_kinds(cycles.simple_cycles(edges, 3), nodes.withColumn("label", label))
+    return cycles.cycle_kinds(cycles.simple_cycles(edges, max_length), nodes.withColumn("label", label))
+
+
+def cycle_types(spark, sf_dir):
+    return _cycle_types(spark, sf_dir, 3)
 
 
 def coupling(spark, sf_dir):
@@ -162,11 +166,14 @@ def dead_buckets(spark, sf_dir):
     return dead.bucketed(dead.dead_by_degree(g, ["SUPP_NATION", "PLACED_BY"], ["Nation", "Customer", "Region"]), "no incoming edge")
 
 
+def _sinks(g):
+    return g.nodes.where(F.col("name").rlike("NATION_7|EUROPE|ASIA") | (F.col("label") == "Nation"))
+
+
 def taint_shortest(spark, sf_dir):
     g = _tpch(spark, sf_dir)
     sources = g.nodes.where("label = 'Order' and cast(split(id, '::')[1] as bigint) <= 40")
-    sinks = g.nodes.where(F.col("name").rlike("NATION_7|EUROPE|ASIA") | (F.col("label") == "Nation"))
-    return traverse.shortest_paths(g, sources, sinks, _REACH, 4)
+    return traverse.shortest_paths(g, sources, _sinks(g), _REACH, 4)
 
 
 def test_trace(spark, sf_dir):
@@ -175,6 +182,47 @@ def test_trace(spark, sf_dir):
     return found.where("distance > 0 and label = 'Order'").select("id", "distance")
 
 
+# The queries above that stand beside SQL take a part of the tables or short cycles; these take all, and have no SQL.
+
+
+def edge_ingest_whole(spark, sf_dir):
+    """All edges, and classes' links to their parents, of which many lead nowhere."""
+    g = _tpch(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    classes = table(spark, sf_dir, "class_nodes").where("id is not null").select("id", F.lit("Class").alias("label"), none.alias("name"), none.alias("file_path")).distinct()
+    links = current_rows(table(spark, sf_dir, "inheritance_map"), "child_id", "ingest_seq")
+    links = links.select(F.col("child_id").alias("src"), F.lit("INHERITS_FROM").alias("edge"), F.col("parent_id").alias("target"), F.lit(None).cast("int").alias("line"))
+    return graph.ingest_edges(g.edges.unionByName(links), g.nodes.unionByName(classes), ())
+
+
+def raw_calls_whole(spark, sf_dir):
+    g = corpus.import_graph(spark, sf_dir)
+    return traverse.raw_calls(g, g.nodes.where("label = 'File'")).select("caller_id", "target_name")
+
+
+def simple_cycles_whole(spark, sf_dir):
+    return cycles.simple_cycles(corpus.event_graph(spark, sf_dir), 6)
+
+
+def cycle_types_whole(spark, sf_dir):
+    return _cycle_types(spark, sf_dir, 6)
+
+
+def dead_reachability_whole(spark, sf_dir):
+    """What no urgent order leads to."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    entries = urgent.select(F.concat(F.lit("Order::"), F.col("o_orderkey").cast("string")).alias("id"))
+    return dead.dead_by_reach(_tpch(spark, sf_dir), entries, _REACH, ["Customer", "Part", "Supplier", "Nation"]).select("id", "label")
+
+
+def taint_shortest_whole(spark, sf_dir):
+    """From every order. Sinks are few and orders many, so the ways are followed from the sinks back."""
+    g = _tpch(spark, sf_dir)
+    back = graph.PropertyGraph(g.nodes, g.edges.select(F.col("target").alias("src"), "edge", F.col("src").alias("target"), "line"))
+    found = traverse.shortest_paths(back, _sinks(g), g.nodes.where("label = 'Order'"), _REACH, 4)
+    return found.select(F.col("sink").alias("source"), F.col("source").alias("sink"), "hops")
+
+
 _MODULE_FILE = "CASE WHEN module LIKE '.%' THEN regexp_replace(file_path, '/[^/]*$', '') ELSE split_part(file_path, '/', 1) END || '/' || replace(ltrim(module, '.'), '.', '/')"
 _REACH_SQL = ", ".join(f"'{x}'" for x in _REACH)
 
@@ -184,7 +232,7 @@ def _bfs_sql(start: str, direction: str, depth: int, label: str = "id, min(d) AS
     return f"WITH RECURSIVE {TPCH}, walk(id, d) AS (SELECT id, 0 FROM (VALUES {start}) t(id) UNION SELECT e.{far}, d + 1 FROM walk w JOIN edges e ON e.{near} = w.id WHERE d < {depth} {where}) SELECT {label} FROM walk GROUP BY id"
 
 
-_NAMES = (node_upsert_last_wins, edge_ingest_inner_dedupe, placeholder_targets, anchor_resolve, one_hop_in, one_hop_out, bfs_incoming, bfs_outgoing, bfs_both, bfs_paths, raw_calls, file_index, blast_radius, blast_radius_summary, scc, cyclic_scc, simple_cycles, cycle_types, coupling, dead_reachability, dead_indegree, dead_buckets, taint_shortest, test_trace)
+_NAMES = (node_upsert_last_wins, edge_ingest_inner_dedupe, placeholder_targets, anchor_resolve, one_hop_in, one_hop_out, bfs_incoming, bfs_outgoing, bfs_both, bfs_paths, raw_calls, file_index, blast_radius, blast_radius_summary, scc, cyclic_scc, simple_cycles, cycle_types, coupling, dead_reachability, dead_indegree, dead_buckets, taint_shortest, test_trace, edge_ingest_whole, raw_calls_whole, simple_cycles_whole, cycle_types_whole, dead_reachability_whole, taint_shortest_whole)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}
 
 _BOTH = f"""WITH RECURSIVE {TPCH},
