@@ -21,19 +21,17 @@ def _trimmed(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return edges
 
 
-def components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components of (src, target); component is its smallest id.
 
     Colouring: colours (ids) spread forward and the smallest wins; the nodes of a colour that reach its own node
-    backward are its component, and the rest goes round again. Nodes that can be on no cycle are trimmed first.
+    backward are its component, and the rest goes round again until nothing is left; each round frees a component. Nodes that can be on no cycle are trimmed first.
     """
     edges = edges.where("src is not null and target is not null").select("src", "target").distinct()
     every = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct()
     left = _trimmed(edges.where("src <> target"))
     done = None
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         color = checkpointed(left.select(F.col("src").alias("id")).distinct().withColumn("color", F.col("id")))
         while True:
             pushed = left.join(color.withColumnRenamed("id", "src"), "src").groupBy(F.col("target").alias("id")).agg(F.min("color").alias("pushed"))

@@ -58,6 +58,13 @@ def test_nested_component_within_colour(spark):
     assert found == {"a": "a", "m": "m", "n": "m", "y": "y", "z": "y"}
 
 
+def test_components_have_no_last_round(spark, monkeypatch):
+    # Each pair frees one round later than the one before it, whatever number of rounds a counted loop may have.
+    monkeypatch.setattr(cycles, "range", lambda n: range(min(n, 1)), raising=False)
+    e = edges(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("e", "f"), ("f", "e")])
+    assert {tuple(r) for r in cycles.cyclic_components(e).collect()} == {("a", 2), ("c", 2), ("e", 2)}
+
+
 def test_dead_entities(spark):
     g = golden(spark)
     assert {r["id"] for r in dead.dead_by_degree(g, ["CALLS", "IMPORTS"], ["Function"]).collect()} == {"loaders.py::save_characters", "player.py::create_character_form", "player.py::display_character_list"}
