@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm import pylex
 from loomgraph.storage import checkpointed
 
-#: A literal that more than this many owners hold is a placeholder, unless its form alone makes it a credential.
-MOST_OWNERS = 20
+#: A literal that more than this share of all owners hold, and more than this many of them, is a placeholder, unless its form alone makes it a credential.
+MOST_SHARE, FEW_OWNERS = 0.25, 3
+#: Bits of entropy that the characters of a confirmed value have on average, and altogether.
+LEAST_BITS, LEAST_ENTROPY = 1.5, 12.0
 
 # Forms of credentials that providers publish.
 FORMS = [
@@ -44,17 +46,21 @@ _STRONG = re.compile(r"pass(?:word|wd|phrase|code)?$|pass(?:word|wd|phrase)(?![a
 _WEAK = re.compile(r"(?:budget|limit|prefix|count|size|length|field|name|url|uri|path|file|dir|host|port|ttl|timeout|type|format|header|pattern|regex|policy|method|mode|level|enabled|min|max|expir\w*|pub(?:lic)?(?:[_-]?key)?|hint|model|digest|revision|version|id)$", re.I)
 _HASHES = re.compile(r"(?:^|[_.-])(?:rev(?:ision)?|commit|digest|sha\d*|hash|etag|checksum|md5|version|build|id|uuid|guid|fingerprint|nonce|tree|ref)s?$", re.I)
 _PUBLIC = re.compile(r"pub(?:lic)?(?:$|[_-])", re.I)
-# What people write where a secret would stand.
-_PLACEHOLDERS = {"", "changeme", "change_me", "change-me", "unset", "none", "null", "nil", "undefined", "todo", "fixme", "tbd", "password", "passwd", "pass", "secret", "token", "key", "apikey", "api_key", "api-key", "user", "username", "admin", "root", "test", "testing", "example", "dummy", "default", "auto", "empty", "n/a", "na", "true", "false", "redacted", "hidden", "replace_me", "replaceme", "insert_here", "my-secret", "mysecret", "letmein", "foo", "bar", "foobar", "xxx", "string", "value", "placeholder", "basic", "bearer", "required", "optional", "disabled", "enabled"}
-_PLACEHOLDER = re.compile(r"^(?:[<\[{(].*[>\]})]|\$\{?.*|%.*%|\{\{.*|%\(.*|your[-_ ].*|my[-_ ].*|.*(?:change|replace)[-_ ]?(?:me|this).*|.*placeholder.*|.*example.*|.*dummy.*|.*redacted.*|insert[-_ ].*|enter[-_ ].*|([xX*.#_?0-])\1{2,}|\*+|x{3,}.*|.*\.\.\.)$", re.I)
+#: Marks of a place that something else fills, or of a value left out.
+_TEMPLATE = re.compile(r"^(?:[<\[{(].*[>\]})]|\$\{?.*|%.*%|\{\{.*|%\(.*|([xX*.#_?0-])\1{2,}|\*+|.*\.\.\.)$")
 _REFERENCE = re.compile(r"^(?:(?:vault|file|env|ssm|secret|secrets|aws|gcp|az|arn|kms|sops|op|ref|config|param|path|http|https)[:/]|[/~.]{1,2}[\w/]|[A-Z]:\\|/|process\.env|os\.)|^(?-i:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)$", re.I)
+#: Words, numbers, names and calls have no structure of a secret.
 _PLAIN = re.compile(r"^(?:[a-z]+(?:[_./:-][a-z]+){0,2}|[A-Z]?[a-z]+(?: [A-Za-z]+)*[:.]?\s*|[\d.,:_-]+|[A-Za-z_]\w*\(.*\)|[a-z_]+\.[a-z_.]+)$")
 
 
 def is_secret(value: str, strong: bool, hashes: bool = False) -> bool:
-    """Whether a value that stands at a name or place for secrets (``strong``: a telling one) could open something."""
+    """Whether a value that stands at a name or place for secrets (``strong``: a telling one) has a secret's structure.
+
+    No list of words decides: what people write where a secret would stand is told by how many owners hold it
+    (``confirmed_values``). A value with blanks is a text and none.
+    """
     v = value.strip()
-    if len(v) < 6 or len(v) > 4096 or v.lower() in _PLACEHOLDERS or _PLACEHOLDER.match(v) or _REFERENCE.match(v) or " " in v or "://" in v or not v.isascii():
+    if len(v) < 6 or _TEMPLATE.match(v) or _REFERENCE.match(v) or " " in v or "://" in v or not v.isascii():
         return False
     if v.lower().startswith(("sha256:", "sha1:", "sha512:", "md5:", "data:", "idx:")) or re.search(r"\{[\w.]*\}|%s|%d", v):
         return False
@@ -83,28 +89,29 @@ def _inside(text: str, name: str) -> list[tuple[int, int, bool]]:
             out.append((a, b, sure))
 
     data = text.startswith("data:") or _PUBLIC.search(name or "") is not None
-    pem = -1
-    for m in _PEM.finditer(text):
+    pem, n = -1, len(text)
+    equals, colon = "=" in text, ":" in text
+    for m in _PEM.finditer(text) if "-----BEGIN" in text else ():
         if m.start() < pem:
             continue
         end = _PEM_END.search(text, m.end())
         pem = end.end() if end else len(text)
         if len(re.sub(r"[^A-Za-z0-9+/=]", "", text[m.end() : end.start() if end else pem])) >= 16:
             add(m.start(), pem, True)
-    public = [m.span() for m in re.finditer(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE)-----.*?(?:-----END [A-Z ]+-----|\Z)", text, re.S)]
-    for m in _FORM.finditer(text):
+    public = [m.span() for m in re.finditer(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE)-----.*?(?:-----END [A-Z ]+-----|\Z)", text, re.S)] if "-----BEGIN" in text else []
+    for m in _FORM.finditer(text) if n >= 20 else ():
         add(*m.span(), True)
-    for m in _ADDRESS.finditer(text):
+    for m in _ADDRESS.finditer(text) if "://" in text else ():
         user, password = m[1], m[2]
         if is_secret(password, True) and not re.search(r"^\W*\{|[{}$<>]", password) and password.lower() != user.lower():
             add(*m.span(2), True)
-    for m in _PARAMETER.finditer(text):
+    for m in _PARAMETER.finditer(text) if equals else ():
         if is_secret(m[2], True):
             add(*m.span(2), True)
-    for m in _HEADER.finditer(text):
+    for m in _HEADER.finditer(text) if n >= 14 else ():
         if is_secret(m[2], True) and len(m[2]) >= 12 or re.search(r"=$", m[2]):
             add(*m.span(2), True)
-    for m in _SHELL.finditer(text):
+    for m in _SHELL.finditer(text) if colon and "-" in text else ():
         if is_secret(m[2], True) and re.search(r"\b(?:curl|wget|http|ftp|ldap|mysql|psql|redis)\b|://", text):
             add(*m.span(2), True)
     for m in _LOGIN.finditer(text):
@@ -112,9 +119,9 @@ def _inside(text: str, name: str) -> list[tuple[int, int, bool]]:
         if is_secret(value, True):
             add(m.start(1), m.start(1) + len(value), False)
     if not data:
-        for m in _PREFIXED.finditer(text):
+        for m in _PREFIXED.finditer(text) if n >= 27 else ():
             add(*m.span(), False)
-        for m in _NAMED.finditer(text):
+        for m in _NAMED.finditer(text) if equals or colon else ():
             i = 4 if m[4] is not None else 5
             value = m[i]
             if _telling(m[2]) and is_secret(value, True, bool(_HASHES.search(m[2]))) and not value.endswith(("(", ".")) and not re.match(r"[A-Za-z_]+[.(\[]", value):
@@ -139,10 +146,11 @@ _ARG_BEFORE = re.compile(r"^\s*,\s*(?:default\s*=\s*)?\(?\s*$")
 _JOIN = re.compile(r"[\s\\]*\+?[\s\\]*")
 
 
-def candidates_in_code(code: str) -> list[tuple[str, int, int, bool]]:
+def candidates_in_code(code: str, literals: set[str] | None = None) -> list[tuple[str, int, int, bool]]:
     """(value, start, end, sure) of the credentials in source; positions are those of the literal's raw text.
 
-    A value split over several literals starts in the first and ends in the last.
+    A value split over several literals starts in the first and ends in the last. ``literals`` gets the value of every
+    literal of six characters or more without blanks, credential or not.
     """
     out = []
     pieces = list(pylex.lex(code))
@@ -161,7 +169,9 @@ def candidates_in_code(code: str) -> list[tuple[str, int, int, bool]]:
             parts.append((pieces[i][1], b))
         texts = [pylex.value(code[x:y]) for x, y in parts]
         text = "".join(texts)
-        before = code[max(last_end, a - 160) : a]
+        # What a literal is assigned to stands before it on the line of the last code.
+        before = code[last_end:a]
+        before = before[max(before.rfind(x, 0, len(before.rstrip())) for x in "\r\n") + 1 :]
         name = ""
         m = _NAME_BEFORE.search(before)
         if m:
@@ -176,6 +186,8 @@ def candidates_in_code(code: str) -> list[tuple[str, int, int, bool]]:
         if any("f" in pylex.split_literal(code[x : x + 8])[0] and "{" in code[x:y] for x, y in parts):
             name = ""  # made from other values at run time
         if len(text) >= 6:
+            if literals is not None and len(text.split(None, 1)) == 1:
+                literals.add(text.strip())
             starts = [0]
             for t in texts:
                 starts.append(starts[-1] + len(t))
@@ -188,7 +200,7 @@ def candidates_in_code(code: str) -> list[tuple[str, int, int, bool]]:
                 start = parts[p][0] + head + (s - starts[p] if exact else 0)
                 end = parts[q][0] + tail + (e - starts[q]) if exact else parts[q][1] - (tail - len(re.match(r"[A-Za-z]*", code[parts[q][0] : parts[q][1]])[0]))
                 out.append((text[s:e], start, max(end, start + 1), sure))
-        last_value, last_end = text[:200], b
+        last_value, last_end = text, b
         i += 1
     return out
 
@@ -285,45 +297,67 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-_CANDIDATES = "holder_id bigint, owner string, value string, hash bigint, sure boolean"
+_INDEX = "hash bigint, owner string, holder_id bigint, value string, sure boolean"
+
 
+def literal_index(texts: DataFrame, code: bool) -> DataFrame:
+    """The index of the corpus's literals: (hash, owner, holder_id, value, sure). ``texts``: holder_id, owner, name, text.
 
-def candidate_values(texts: DataFrame, code: bool) -> DataFrame:
-    """(holder_id, owner, value, hash, sure) of each credential-like value. ``texts``: holder_id, owner, name, text."""
+    A row for each literal of an owner, credential or not, once a batch of texts, by the hash of its value alone. Of what
+    stands at a place or in a form of credentials, value and holder are kept too; ``sure``: the form alone makes it one.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, seen = [], set()
             for r in pdf.itertuples(index=False):
-                if isinstance(r.text, str):
-                    for value, _, _, sure in candidates_in_code(r.text) if code else candidates_in_value(r.text, r.name):
-                        rows.append((r.holder_id, r.owner, value, _signed(xxhash.xxh64_intdigest(value)), sure))
-            yield pd.DataFrame(rows, columns=["holder_id", "owner", "value", "hash", "sure"])
-
-    return texts.mapInPandas(run, _CANDIDATES)
-
-
-def confirmed_values(candidates: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """(value, hash): values whose form is that of a credential, and others that at most ``most_owners`` owners hold.
-
-    (value, owner) pairs are made distinct before they are counted, so a value with a third of all sightings is one
-    row a partition and owner.
+                if not isinstance(r.text, str):
+                    continue
+                literals: set[str] = set()
+                found = candidates_in_code(r.text, literals) if code else candidates_in_value(r.text, r.name)
+                for value, sure in {(value, sure) for value, _, _, sure in found}:
+                    rows.append((_signed(xxhash.xxh64_intdigest(value)), r.owner, r.holder_id, value, sure))
+                if not code and len(r.text.strip()) >= 6:
+                    literals.add(r.text.strip())
+                for value in literals:
+                    h = _signed(xxhash.xxh64_intdigest(value))
+                    if (h, r.owner) not in seen:
+                        seen.add((h, r.owner))
+                        rows.append((h, r.owner, None, None, False))
+            out = pd.DataFrame(rows, columns=["hash", "owner", "holder_id", "value", "sure"])
+            out["holder_id"] = out["holder_id"].astype("Int64")
+            yield out
+
+    return texts.mapInPandas(run, _INDEX)
+
+
+def _rich(value: str) -> bool:
+    """Whether a value's characters vary enough to have been made up to be kept."""
+    counts = np.unique(list(value), return_counts=True)[1] / len(value)
+    bits = float(-(counts * np.log2(counts)).sum())
+    return bits >= LEAST_BITS and bits * len(value) >= LEAST_ENTROPY
+
+
+def confirmed_values(index: DataFrame, most_share: float = MOST_SHARE, few: int = FEW_OWNERS) -> DataFrame:
+    """(value, hash, key): the confirmed credentials of ``literal_index``, with the key by which each is looked up, or null.
+
+    Confirmed is a value that stood at a place for credentials, whose characters vary enough, and which at most ``few`` owners
+    or ``most_share`` of all owners hold, wherever it stands among their literals; one whose form alone makes it a
+    credential, whoever holds it. (hash, owner) pairs are made distinct before they are counted, so a value with a
+    third of all sightings is one row a partition and owner.
     """
-    held = candidates.groupBy("value", "hash", "owner").agg(F.max("sure").alias("sure"))
-    values = held.groupBy("value", "hash").agg(F.count("*").alias("owners"), F.max("sure").alias("sure"))
-    return values.where(F.col("sure") | (F.col("owners") <= most_owners)).select("value", "hash")
-
-
-def keyed_values(known: DataFrame) -> DataFrame:
-    """``known`` (value, hash) with the key of each value, or null."""
+    owners = index.select("owner").distinct().count()
+    held = index.groupBy("hash", "owner").agg(F.max("value").alias("value"), F.max("sure").alias("sure"))
+    values = held.groupBy("hash").agg(F.count("*").alias("owners"), F.max("value").alias("value"), F.max("sure").alias("sure"))
+    values = values.where(F.col("value").isNotNull() & (F.col("sure") | (F.col("owners") <= max(few, most_share * owners))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf[[bool(sure) or _rich(v) for v, sure in zip(pdf["value"], pdf["sure"])]]
             keys = [key_of(v) for v in pdf["value"]]
-            pdf["key"] = pd.array([None if k is None else _signed(k) for k in keys], "Int64")
-            yield pdf
+            yield pd.DataFrame({"value": pdf["value"], "hash": pdf["hash"], "key": pd.array([None if k is None else _signed(k) for k in keys], "Int64")})
 
-    return known.mapInPandas(run, "value string, hash bigint, key bigint")
+    return values.select("value", "hash", "sure").mapInPandas(run, "value string, hash bigint, key bigint")
 
 
 def _places(key: int) -> tuple[int, int]:
@@ -363,17 +397,18 @@ def _key_rows(texts: DataFrame, shared: Broadcast, code: bool) -> DataFrame:
 _FOUND = "holder_id bigint, line_no int, value string, redacted string"
 
 
-def rescan(texts: DataFrame, known: DataFrame, code: bool, own: DataFrame, shared: Broadcast) -> DataFrame:
+def rescan(texts: DataFrame, known: DataFrame, code: bool, index: DataFrame, shared: Broadcast) -> DataFrame:
     """(holder_id, line_no, value, redacted): each credential in each text that holds one.
 
-    ``known``: ``keyed_values`` of the corpus, ``shared``: their ``key_map``; ``own``: ``candidate_values`` of these texts. A text meets only those known values whose key one
-    of its parts has, or that it is a source of, by joins on keys and ids; an automaton of those values, made for each Arrow batch, then scans the text. No place of a known
-    value between blanks or marks is missed, whatever letters it is made of; in code it must begin in a literal or comment, as elsewhere it is a name.
+    ``known``: the corpus's ``confirmed_values``, ``shared``: their ``key_map``; ``index``: the ``literal_index`` of these texts. Every text is scanned: all its
+    words are looked up in the map, and a text meets, by joins on keys, those confirmed values whose key it holds, and those that the index places in it.
+    That stands for one automaton of all confirmed values, whose size would grow with the corpus: an automaton of the values that are met, made for each Arrow batch, scans the texts.
+    No place of a confirmed value between blanks or marks is missed, whatever letters it is made of; in code it must begin in a literal or comment, as elsewhere it is a name.
     line_no is where a value begins; redacted is the whole text with every found value replaced, the same in each of its rows.
     """
     hits = _key_rows(texts, shared, code).join(known, "key").select("holder_id", "value")
-    own = own.select("holder_id", "value", "hash").join(known.select("hash"), "hash", "left_semi").select("holder_id", "value")
-    lists = hits.unionByName(own).groupBy("holder_id").agg(F.collect_set("value").alias("values"))
+    placed = index.where("value is not null").select("hash", "holder_id").join(known, "hash").select("holder_id", "value")
+    lists = hits.unionByName(placed).groupBy("holder_id").agg(F.collect_set("value").alias("values"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -385,8 +420,7 @@ def rescan(texts: DataFrame, known: DataFrame, code: bool, own: DataFrame, share
                 automaton.make_automaton()
             rows = []
             for r in pdf.itertuples(index=False):
-                allowed = set(r.values)
-                spans = [(s, e, v) for v, s, e, _ in (candidates_in_code(r.text) if code else candidates_in_value(r.text, r.name)) if v in allowed]
+                allowed, spans = set(r.values), []
                 starts = [x[1:] for x in pylex.lex(r.text)] if code else [(0, len(r.text))]
                 for end, v in automaton.iter(r.text):
                     s, e = end + 1 - len(v), end + 1
@@ -448,15 +482,17 @@ def setting_texts(env_vars: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("env_key").alias("holder_id")).agg(F.min(F.struct(F.split("file_path", "/")[0].alias("owner"), "name", F.col("default_value").alias("text"))).alias("x")).select("holder_id", "x.owner", "x.name", "x.text")
 
 
-def credentials(chunks: DataFrame, env_vars: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
+def credentials(chunks: DataFrame, env_vars: DataFrame, most_share: float = MOST_SHARE, few: int = FEW_OWNERS) -> DataFrame:
     """(holder, holder_id, line_no, value, redacted) of each credential in chunks' contents and settings' defaults.
 
-    Null and empty texts hold none; repeated env_keys count once (if their rows differ, the smallest counts).
+    All literals are indexed by owner, widely shared ones are placeholders, rare structured ones at places for credentials are confirmed, and
+    an automaton finds the confirmed ones in every text. Null and empty texts hold none; repeated env_keys count
+    once (if their rows differ, the smallest counts).
     """
     code, settings = chunk_texts(chunks), setting_texts(env_vars)
-    # Candidates are few; kept, they spare reading every text again for the index and for the scan.
-    in_code, in_settings = checkpointed(candidate_values(code, True), costly=True), checkpointed(candidate_values(settings, False), costly=True)
-    known = checkpointed(keyed_values(confirmed_values(in_code.unionByName(in_settings), most_owners)), costly=True)
-    shared = chunks.sparkSession.sparkContext.broadcast(key_map(known))
+    # The index holds hashes; kept, it spares reading every text again.
+    in_code, in_settings = checkpointed(literal_index(code, True), costly=True), checkpointed(literal_index(settings, False), costly=True)
+    known = checkpointed(confirmed_values(in_code.unionByName(in_settings), most_share, few), costly=True)
+    shared = chunks.sparkSession.sparkContext.broadcast(key_map(known))  # 4 MB whatever the input
     found = rescan(code, known, True, in_code, shared).withColumn("holder", F.lit("chunk"))
     return found.unionByName(rescan(settings, known, False, in_settings, shared).withColumn("holder", F.lit("env_var"))).select("holder", "holder_id", "line_no", "value", "redacted")
