@@ -1,8 +1,9 @@
 """Parent links to hierarchies: roots, depths, paths and descendants, with cycles told apart (problem 3).
 
-Links are walked by pointer doubling, so a chain of d links takes log2(d) rounds of joins, each over rows of a few
-ids; every round is checkpointed. Trees are then cut into heavy chains (Sleator and Tarjan): a node's heavy child is
-the one with the largest subtree, and any way to a root crosses at most log2(n) chains.
+Nodes whose way up never ends are told apart by pointer doubling, whose rounds also sum up the subtrees: a depth of d takes
+log2(d) rounds of joins over rows of a few ids; every round is checkpointed. Trees are then cut into heavy chains (Sleator and
+Tarjan): a node's heavy child is the one with the largest subtree, and any way to a root crosses at most log2(n)
+chains. Roots, depths, paths and intervals are those of the chains, plus a node's place in its own.
 """
 
 from __future__ import annotations
@@ -10,10 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.storage import checkpointed, current_rows
+from loomgraph.storage import checkpointed, current_rows, hot_keys, lookup
 
 #: Parts in which the children of one parent are numbered, so that no task numbers all children of a wide class.
 PARTS = 64
+#: Rows of one key from which on they are spread over tasks.
+HOT_ROWS = 100_000
+#: Widths of the blocks of positions by which intervals meet the nodes in them.
+WIDTHS = (1, 16, 256, 4096)
 
 
 def spelled(path: Column) -> Column:
@@ -65,105 +70,133 @@ def parent_links(class_nodes: DataFrame, inheritance_map: DataFrame, import_node
     return classes.select("id").join(links, "id", "left").join(first, "id", "left").select("id", F.coalesce("mapped", "based").alias("parent")).where("parent is not null")
 
 
-def _climb(nodes: DataFrame, rounds: int) -> DataFrame:
-    """(id, top, steps, looped) of nodes (id, up; up null at a top): the highest node reached and the links to it.
+def _separated(tree: DataFrame, hot_rows: int) -> tuple[DataFrame, int]:
+    """``tree`` (id, parent) with looped and size, and its number of rows: whether the way up never ends, and, where it ends, the nodes of the subtree, its top included.
 
-    After round k a row knows its node 2^k links up. Depths have no gaps, so a round that ends no row's way
-    means that the rest goes round for ever.
+    After round k a row knows the node 2^k links up and the size of its subtree to depth 2^k: that and those of the nodes
+    2^k below make the next. Depths have no gaps, so a round that ends no row's way means that the rest goes round for
+    ever. Nothing below a node whose way ends is looped, so its size is right.
     """
-    state = checkpointed(nodes.select("id", F.col("up").alias("jump"), F.col("id").alias("top"), F.lit(0).alias("steps")))
-    open_rows = state.where("jump is not null").count()
-    for k in range(rounds):
-        if not open_rows:
-            break
-        above = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("top").alias("above_top"), F.col("steps").alias("above_steps"))
-        moved = state.where("jump is not null").join(above, "jump", "left").select("id", F.col("next").alias("jump"), F.coalesce("above_top", "jump").alias("top"), (F.lit(1 << k) + F.coalesce("above_steps", F.lit(0))).alias("steps"))
-        state = checkpointed(state.where("jump is null").unionByName(moved))
+    state = checkpointed(tree.select("id", "parent", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("size")))
+    n, left = state.agg(F.count("*"), F.count("jump")).first()
+    before = None
+    while left and left != before:
+        before = left
+        below = state.where("jump is not null").groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("more"))
+        summed = state.join(below, "id", "left").select("id", "parent", "jump", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        above = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"))
+        moved = lookup(summed, above, "jump", hot_keys(state, "jump", n, hot_rows))
+        state = checkpointed(moved.select("id", "parent", F.col("next").alias("jump"), "size"))
         left = state.where("jump is not null").count()
-        if left == open_rows:
-            break
-        open_rows = left
-    return state.select("id", "top", "steps", F.col("jump").isNotNull().alias("looped"))
+    return state.select("id", "parent", F.col("jump").isNotNull().alias("looped"), "size"), n
 
 
-def roots(links: DataFrame) -> DataFrame:
-    """(class_id, root_id, depth) for each row of ``links`` (id, parent; ids unique): the topmost node and the number of links to it.
-
-    Where the way up never ends, root_id is ``cycle`` and depth -1. Without links there are no rows.
-    """
-    tops = links.select(F.col("parent").alias("id")).distinct().join(links.select("id"), "id", "left_anti").withColumn("up", F.lit(None).cast("string"))
-    climbed = _climb(links.select("id", F.col("parent").alias("up")).unionByName(tops), 62)
-    own = climbed.join(links.select("id"), "id", "left_semi")
-    return own.select(F.col("id").alias("class_id"), F.when(F.col("looped"), F.lit("cycle")).otherwise(F.col("top")).alias("root_id"), F.when(F.col("looped"), F.lit(-1)).otherwise(F.col("steps")).cast("int").alias("depth"))
-
-
-def _subtree_sizes(nodes: DataFrame, deepest: int) -> DataFrame:
-    """(id, size): nodes of each subtree, its top included. A node's subtree to depth 2^(k+1) is that to 2^k and those of the nodes 2^k below."""
-    state = checkpointed(nodes.select("id", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("size")))
-    k = 0
-    while 1 << k <= deepest:
-        below = state.where("jump is not null").groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("more"))
-        above = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"))
-        moved = state.where("jump is not null").join(above, "jump").select("id", F.col("next").alias("jump"), "size").unionByName(state.where("jump is null"))
-        state = checkpointed(moved.join(below, "id", "left").select("id", "jump", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-        k += 1
-    return state.select("id", "size")
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, up) with head and place: the first node of each row's chain and the links to it. Each node is ``up`` of one row at most, so no key is hot."""
+    kept = [c for c in rows.columns if c != "up"]
+    state = checkpointed(rows.select(*kept, F.col("up").alias("jump"), F.col("id").alias("head"), F.lit(0).cast("bigint").alias("place")))
+    step = 1
+    while not state.where("jump is not null").isEmpty():
+        above = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("head").alias("above_head"), F.col("place").alias("above_place"))
+        moved = state.where("jump is not null").drop("head", "place").join(above, "jump").select(*kept, F.col("next").alias("jump"), F.col("above_head").alias("head"), (F.lit(step) + F.col("above_place")).alias("place"))
+        state = checkpointed(state.where("jump is null").unionByName(moved))
+        step *= 2
+    return state.drop("jump")
 
 
-def hierarchy(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(id, root_id, depth, path, descendants, first, last) of each node.
+def hierarchy(links: DataFrame, nodes: DataFrame | None = None, paths: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, root_id, depth) of each node, and with ``paths`` path, descendants, first, last.
 
     ``links``: id, parent; ``nodes`` (id): further nodes, roots if they have no link. path goes from the root to the node.
     first and last number the tree from its root (0) so that a node's descendants are the nodes of the same root with a first
     above its own and at most its last. Nodes whose way up never ends have root_id ``cycle``, depth -1 and null
     path, descendants, first and last. A null id is no node; of repeated links the smallest parent counts.
+
+    The nodes of a chain are gathered in one row; its last node's path holds them all anyway. Keys with more than
+    ``hot_rows`` rows (parents, chains) are spread over tasks.
     """
     links = links.where("id is not null and parent is not null").groupBy("id").agg(F.min("parent").alias("parent"))
-    every = links.select("id").unionByName(links.select(F.col("parent").alias("id")))
-    every = every if nodes is None else every.unionByName(nodes.where("id is not null").select("id"))
-    tree = every.distinct().join(links, "id", "left")
-    climbed = _climb(tree.select("id", F.col("parent").alias("up")), 62)
-    tree = checkpointed(tree.join(climbed, "id"))
-    cyclic, sound = tree.where("looped"), tree.where("not looped")
-    deepest = sound.agg(F.max("steps")).first()[0] or 0
-
-    sizes = _subtree_sizes(sound, deepest)
-    sound = checkpointed(sound.join(sizes, "id").select("id", "parent", "top", "steps", "size"))
-    heavy = sound.where("parent is not null").groupBy("parent").agg(F.min_by(F.struct("id", "size"), F.struct(-F.col("size"), "id")).alias("h")).select("parent", F.col("h.id").alias("heavy"), F.col("h.size").alias("heavy_size"))
-    sound = sound.join(heavy, "parent", "left")
-    on_chain = sound.select("id", F.when(F.col("heavy") == F.col("id"), F.col("parent")).alias("up"))
-    chains = _climb(on_chain, 62).select("id", F.col("top").alias("head"), F.col("steps").alias("place"))
+    every = links.unionByName(links.select(F.col("parent").alias("id"), F.lit(None).cast("string").alias("parent")))
+    every = every if nodes is None else every.unionByName(nodes.where("id is not null").select("id", F.lit(None).cast("string").alias("parent")))
+    tree, n = _separated(every.groupBy("id").agg(F.max("parent").alias("parent")), hot_rows)
+    cyclic, sound = tree.where("looped"), tree.where("not looped").select("id", "parent", "size")
 
-    # Numbers of light children: behind the heavy sibling, in parts by hash, so two small prefix sums do for a wide parent.
-    light = sound.where("parent is not null and heavy <> id").select("id", "parent", "size", "heavy_size", F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part"))
-    before = Window.partitionBy("parent", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    wide = hot_keys(sound, "parent", n, hot_rows)
+    heavy = sound.where("parent is not null").groupBy("parent").agg(F.min_by(F.struct("id", "size"), F.struct(-F.col("size"), "id")).alias("h")).select("parent", F.col("h.id").alias("heavy"), F.col("h.size").alias("heavy_size"))
+    linked = lookup(sound, heavy, "parent", wide).select("id", "parent", "size", "heavy_size", F.when(F.col("heavy") == F.col("id"), F.col("parent")).alias("up"))
+    placed = _ranked(linked)
+    # Chains: each head, and the node on another chain that it hangs on.
+    heads = placed.where("place = 0").select("head", "parent", "size", F.col("heavy_size").alias("sibling_size"))
+    attach = placed.select(F.col("id").alias("parent"), F.col("head").alias("above"), F.col("place").alias("at"))
+    chains = lookup(heads, attach, "parent", wide)
+    carried: dict[str, tuple[Column, Column]] = {  # of a chain: at a root, and from the chain above
+        "root_id": (F.col("head"), F.col("above_root_id")),
+        "depth": (F.lit(0).cast("bigint"), F.col("above_depth") + F.col("at") + 1),
+    }
+    if paths:
+        chains = chains.join(_light_steps(chains), "head", "left")
+        segments = placed.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("members"))
+        chains = chains.join(segments, "head")
+        carried["number"] = (F.lit(0).cast("bigint"), F.col("above_number") + F.col("at") + F.col("step"))
+        carried["prefix"] = (F.array().cast("array<string>"), F.concat("above_prefix", F.slice("above_members", 1, F.col("at").cast("int") + 1)))
+        carried["members"] = (F.col("members"), F.col("members"))
+    chains = checkpointed(chains)
+    # From the roots down: a chain starts behind the node that it hangs on, whose chain is done.
+    level = checkpointed(chains.where("parent is null").select("head", *[top.alias(c) for c, (top, _) in carried.items()]))
+    crowded, whole = hot_keys(chains, "above", n, hot_rows), level
+    while not level.isEmpty():
+        upper = level.select(F.col("head").alias("above"), *[F.col(c).alias(f"above_{c}") for c in carried])
+        level = checkpointed(lookup(chains.where("above is not null"), upper, "above", crowded, "inner").select("head", *[below.alias(c) for c, (_, below) in carried.items()]))
+        whole = whole.unionByName(level)
+    out = lookup(placed.select("id", "head", "place", "size"), whole, "head", hot_keys(placed, "head", n, hot_rows), "inner")
+    columns = {"id": F.col("id"), "root_id": F.col("root_id"), "depth": (F.col("depth") + F.col("place")).cast("int")}
+    none = {"id": F.col("id"), "root_id": F.lit("cycle"), "depth": F.lit(-1)}
+    if paths:
+        first = F.col("number") + F.col("place")
+        columns |= {"path": F.concat("prefix", F.slice("members", 1, F.col("place").cast("int") + 1)), "descendants": F.col("size") - 1, "first": first, "last": first + F.col("size") - 1}
+        none |= {"path": F.lit(None).cast("array<string>")} | {c: F.lit(None).cast("bigint") for c in ("descendants", "first", "last")}
+    return out.select(*[c.alias(x) for x, c in columns.items()]).unionByName(cyclic.select(*[c.alias(x) for x, c in none.items()]))
+
+
+def _light_steps(chains: DataFrame) -> DataFrame:
+    """(head, step): how far behind its parent a chain's head is numbered: behind the heavy sibling's subtree and its light siblings before it.
+
+    In parts by hash, so two small prefix sums do for a wide parent.
+    """
+    light = chains.where("parent is not null").select("head", "parent", "size", "sibling_size", F.pmod(F.xxhash64("head"), F.lit(PARTS)).alias("part"))
+    before = Window.partitionBy("parent", "part").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
     parts_before = Window.partitionBy("parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = light.groupBy("parent", "part").agg(F.sum("size").alias("s")).withColumn("offset", F.coalesce(F.sum("s").over(parts_before), F.lit(0))).drop("s")
     light = light.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0))).join(parts, ["parent", "part"])
-    light = light.select(F.col("id").alias("head"), "parent", (1 + F.col("heavy_size") + F.col("own") + F.col("offset")).alias("step"))
+    return light.select("head", (1 + F.col("sibling_size") + F.col("own") + F.col("offset")).alias("step"))
 
-    placed = checkpointed(chains.join(sound.select("id", "top", "steps", "size"), "id"))
-    segments = placed.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("members"))
-    # Chains from the roots down: a chain starts behind its light link's node on a chain that is done.
-    heads = segments.join(light, "head", "left")
-    attach = placed.select(F.col("id").alias("parent"), F.col("head").alias("above"), F.col("place").alias("at"))
-    heads = checkpointed(heads.join(attach, "parent", "left"))
-    done = heads.where("parent is null").select("head", "members", F.array().cast("array<string>").alias("prefix"), F.lit(0).cast("bigint").alias("number"))
-    level, whole = checkpointed(done), None
-    while not level.isEmpty():
-        whole = level if whole is None else whole.unionByName(level)
-        upper = level.select(F.col("head").alias("above"), F.col("members").alias("above_members"), F.col("prefix").alias("above_prefix"), F.col("number").alias("above_number"))
-        level = heads.join(upper, "above").select("head", "members", F.concat("above_prefix", F.slice("above_members", 1, F.col("at") + 1)).alias("prefix"), (F.col("above_number") + F.col("at") + F.col("step")).alias("number"))
-        level = checkpointed(level)
-    columns = ["id", "root_id", "depth", "path", "descendants", "first", "last"]
-    cyclic = cyclic.select("id", F.lit("cycle").alias("root_id"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("bigint").alias("descendants"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"))
-    if whole is None:
-        return cyclic.select(*columns)
-    out = placed.join(whole, "head").select("id", F.col("top").alias("root_id"), F.col("steps").cast("int").alias("depth"), F.concat("prefix", F.slice("members", 1, F.col("place") + 1)).alias("path"), (F.col("size") - 1).alias("descendants"), (F.col("number") + F.col("place")).alias("first"), (F.col("number") + F.col("place") + F.col("size") - 1).alias("last"))
-    return out.select(*columns).unionByName(cyclic.select(*columns))
+
+def _block_of(width: int):
+    return lambda k: F.struct(F.lit(width).alias("width"), k.alias("block"))
 
 
 def descendant_pairs(found: DataFrame) -> DataFrame:
-    """(id, descendant, distance) of every node above every node, from the paths of ``hierarchy``."""
-    rows = found.where("path is not null").select(F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("level", "id"))
-    return rows.where("level < depth").select("id", "descendant", (F.col("depth") - F.col("level")).alias("distance"))
+    """(id, descendant, distance) of every node above every node, from the intervals of ``hierarchy``.
+
+    A node's descendants are numbered from ``first`` + 1 to ``last``. The interval is cut into whole blocks of ``WIDTHS``
+    positions, the widest in its middle, and a node is in one block of each width: an equality join in which no key has more
+    than 4096 nodes, and no pair comes twice.
+    """
+    rows = found.where("first is not null").select("id", "root_id", "depth", "first", "last")
+    inside = rows.select("root_id", F.col("id").alias("descendant"), F.col("depth").alias("deep"), F.explode(F.array(*[F.struct(F.lit(w).alias("width"), F.floor(F.col("first") / w).alias("block")) for w in WIDTHS])).alias("b"))
+    inside = inside.select("root_id", "b.width", "b.block", "descendant", "deep")
+    # At each width: whole blocks of the interval that lie outside the next width's whole blocks.
+    low, high, parts = F.col("first") + 1, F.col("last") + 1, []
+    for w, wider in zip(WIDTHS, [*WIDTHS[1:], None]):
+        a, b = F.ceil(low / w), F.floor(high / w)
+        if wider is None:
+            spans = [(a, b)]
+        else:
+            c, d = F.ceil(low / wider) * (wider // w), F.floor(high / wider) * (wider // w)
+            whole = c < d
+            spans = [(a, F.when(whole, c).otherwise(b)), (F.when(whole, d).otherwise(b), b)]
+        for x, y in spans:
+            blocks = F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+            parts.append(F.transform(blocks, _block_of(w)))
+    cover = rows.where("last > first").select("root_id", "id", "depth", F.explode(F.concat(*parts)).alias("b")).select("root_id", "b.width", "b.block", "id", "depth")
+    return cover.join(inside, ["root_id", "width", "block"]).select("id", "descendant", (F.col("deep") - F.col("depth")).alias("distance"))

@@ -16,9 +16,9 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each class with a parent: its root and depth. Root and depth are those of its heavy-path decomposition."""
+    """Each class with a parent: its root and depth, from its heavy chain and its place in it."""
     links = H.checkpointed(_links(spark, sf_dir))
-    found = H.hierarchy(links).join(links.select("id"), "id", "left_semi")
+    found = H.hierarchy(links, paths=False).join(links.select("id"), "id", "left_semi")
     return found.select(F.col("id").alias("class_id"), "root_id", "depth")
 
 

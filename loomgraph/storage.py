@@ -59,3 +59,25 @@ def fresh(*columns: str) -> str:
     while name in taken:
         name += "x"
     return name
+
+
+#: Tasks over which the rows of a hot key are spread.
+SALTS = 64
+
+
+def hot_keys(rows: DataFrame, key: str, n: int, least: int) -> list:
+    """The values of ``key`` that more than ``least`` and more than a 200th of ``n`` rows have, ``n`` being at least the number of rows: 200 at most."""
+    if n <= least:
+        return []
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    return [r[0] for r in counts.where(F.col("count") > max(least, n // 200)).select(key).collect()]
+
+
+def lookup(rows: DataFrame, by_key: DataFrame, key: str, hot: list, how: str = "left") -> DataFrame:
+    """``rows`` joined with the one row of ``by_key`` that has their key; rows of ``hot`` keys are spread over tasks by their hash, to each of which that one row goes."""
+    if not hot:
+        return rows.join(by_key, key, how)
+    salt = fresh(*rows.columns, *by_key.columns)
+    spread = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(SALTS))).otherwise(F.lit(0))
+    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn(salt, spread.cast("int")).join(by_key.withColumn(salt, F.explode(copies)), [key, salt], how).drop(salt)

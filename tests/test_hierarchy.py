@@ -38,9 +38,24 @@ def test_random_forests_with_cycles(spark):
             assert below == {y for y in rows if rows[y]["root_id"] == r["root_id"] and rows[y]["first"] is not None and r["first"] < rows[y]["first"] <= r["last"]}
 
 
-def test_roots_agree_with_hierarchy(spark):
+def test_roots_and_depths_without_paths(spark):
     links = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "x")], "id string, parent string")
-    assert {tuple(r) for r in H.roots(links).collect()} == {("b", "a", 1), ("c", "a", 2), ("x", "cycle", -1), ("y", "cycle", -1), ("z", "cycle", -1)}
+    assert {tuple(r) for r in H.hierarchy(links, paths=False).collect()} == {("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("x", "cycle", -1), ("y", "cycle", -1), ("z", "cycle", -1)}
+
+
+def test_hot_parents_and_chains_are_spread(spark):
+    rows = [(f"w{i}", "top") for i in range(60)] + [(f"c{i}", f"c{i - 1}" if i else "top") for i in range(60)] + [(f"v{i}", "c3") for i in range(40)] + [("l", "l2"), ("l2", "l")]
+    links = spark.createDataFrame(rows, "id string, parent string")
+    plain, spread = ({tuple(map(str, r)) for r in H.hierarchy(links, hot_rows=n).collect()} for n in (H.HOT_ROWS, 3))
+    assert plain == spread and len(plain) == 163
+
+
+def test_descendants_from_intervals(spark):
+    rng = random.Random(9)
+    links = {f"n{i}": f"n{rng.randrange(max(0, i - 40), i)}" for i in range(1, 700)} | {f"m{i}": "m" for i in range(50)} | {"l": "l"}
+    want = {(a, x, len(p) - 1 - i) for x, p in brute(links).items() if p for i, a in enumerate(p[:-1])}
+    found = H.descendant_pairs(H.hierarchy(spark.createDataFrame(list(links.items()), "id string, parent string"))).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
 
 
 def test_long_chain_and_wide_parent(spark):
@@ -54,7 +69,7 @@ def test_no_links(spark):
     empty = spark.createDataFrame([], "id string, parent string")
     assert H.hierarchy(empty).collect() == []
     assert [tuple(r)[:3] for r in H.hierarchy(empty, spark.createDataFrame([("a",), (None,), ("a",)], "id string")).collect()] == [("a", "a", 0)]
-    assert H.roots(empty).count() == 0
+    assert H.hierarchy(empty, paths=False).collect() == [] and H.descendant_pairs(H.hierarchy(empty)).collect() == []
 
 
 def test_parents_by_link_and_by_base(spark):
