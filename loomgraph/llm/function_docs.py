@@ -11,114 +11,112 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import prose, pylex
 
-_TOKENS = "chunk_id bigint, pos int, kind string, line int, end_line int, indent int, delta int, text string, word string, params string, colon boolean"
-_DEF = re.compile(r"(?:async[ \t]+)?def[ \t]+(\w+)")
+_TOKEN = "pos int, kind string, line int, end_line int, start int, end int, indent int, delta int, text string, word string, params string"
+_LEXED = f"chunk_id bigint, tokens array<struct<{', '.join(':'.join(x.split()) for x in _TOKEN.split(', '))}>>"
+#: Groups: comment, literal, opening and closing bracket, line end with the blanks after it.
+_LEXER = re.compile(r"(?P<c>#[^\r\n]*)|(?P<s>" + pylex.STRING + r")|(?P<o>[(\[{])|(?P<x>[)\]}])|(?P<n>(?:\r\n|\r|\n)[ \t\f]*)", re.S)
+_LITERAL = re.compile(pylex.STRING, re.S)
+_BLANKS = re.compile(r"[ \t\f]*")
+_HEAD = re.compile(r"(?:async[ \t]+)?def[ \t]+(\w+)|(class)\b|(@)")
+_ENDS_LINE = re.compile(r"[ \t;]*(?:[\r\n#]|\Z)")
 _PARAMS = re.compile(r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 _PARAM = re.compile(r"(?:^|,)\s*\*{0,2}(\w+)")
 _BREAK = re.compile(r"\r\n|\r|\n")
 
 
-def lex_rows(key: int, code: str) -> list[tuple]:
-    """The tokens of one text that matter for documentation.
+def lex_tokens(code: str) -> list[tuple]:
+    """The tokens of one text that matter for documentation, as ``_TOKEN``.
 
-    Kinds: ``c`` a comment on its own line, ``s`` a literal that begins a line, ``k`` the code of a line (``word``:
-    def, class, @ or empty; ``delta``: brackets opened less closed).
+    Kinds: ``c`` a comment that begins a line, ``s`` a literal that is all code of its lines, ``k`` the first code of any other line (``word``: def, class, @
+    or empty), ``l`` a literal elsewhere, ``o`` and ``x`` an opening and a closing bracket (delta 1 and -1). Only what begins a
+    line has an indent. Lines count from 0; start and end are characters, of the token's whole lines.
     """
-    rows: list[tuple] = []
-    if not code:
-        return rows
-    starts = [0, *(m.end() for m in _BREAK.finditer(code))]
-    pieces = list(pylex.lex(code))
-    p, n, line = 0, len(pieces), 0
-    while line < len(starts):
-        a = starts[line]
-        b = starts[line + 1] if line + 1 < len(starts) else len(code)
-        at, bare, first, last_line = a, [], None, line
-        while p < n and pieces[p][1] < b:
-            kind, x, y = pieces[p]
-            p += 1
-            if first is None:
-                first = (kind, x, y) if not code[at:x].strip() and not "".join(bare).strip() else ("k", a, a)
-            bare.append(code[at:x])
-            if kind == "s":
-                bare.append('""')
-                while last_line + 1 < len(starts) and y > starts[last_line + 1]:
-                    last_line += 1
-                    b = starts[last_line + 1] if last_line + 1 < len(starts) else len(code)
-            at = y
-        bare.append(code[at:b])
-        text = "".join(bare)
-        body = text.strip()
-        lead = code[a:b]
-        indent = len(lead[: len(lead) - len(lead.lstrip(" \t\f"))].expandtabs(8))
-        if first is not None and first[0] == "c" and not body:
-            rows.append((key, len(rows), "c", line, line, indent, 0, code[first[1] : first[2]], "", "", False))
-        elif body:
-            delta = body.count("(") + body.count("[") + body.count("{") - body.count(")") - body.count("]") - body.count("}")
-            m = _DEF.match(body)
-            word = "def" if m else "class" if body.startswith("class ") else "@" if body.startswith("@") else ""
-            literal = first is not None and first[0] == "s" and body.rstrip("; \t") == '""'
-            head = _PARAMS.search(code, a) if m else None
-            params = " ".join(_PARAM.findall(head[1])) if head else ""
-            rows.append((key, len(rows), "s" if literal else "k", line, last_line, indent, delta, pylex.value(code[first[1] : first[2]]) if literal else (m[1] if m else None), word, params, body.endswith(":")))
-        line = last_line + 1
-    return rows
+    out: list[tuple] = []
+    line, begin = 0, 0
+
+    def line_end(at: int) -> int:
+        m = _BREAK.search(code, at)
+        return m.start() if m else len(code)
+
+    def open_line(at: int, first: int) -> None:
+        """Emits the code that begins a line, unless a comment, a literal or nothing does."""
+        if first >= len(code) or code[first] in "\r\n#" or (code[first] in "\"'rRbBuUfFtT" and _LITERAL.match(code, first)):
+            return
+        m = _HEAD.match(code, first)
+        word = "" if m is None else "def" if m[1] else m[2] or m[3]
+        head = _PARAMS.search(code, first) if word == "def" else None
+        params = " ".join(_PARAM.findall(head[1])) if head else ""
+        out.append((len(out), "k", line, line, at, line_end(first), len(code[at:first].expandtabs(8)), 0, m[1] if word == "def" else None, word, params))
+
+    first = _BLANKS.match(code).end()
+    open_line(0, first)
+    for m in _LEXER.finditer(code):
+        kind = m.lastgroup
+        if kind == "n":
+            line += 1
+            begin, first = m.start() + (2 if m[0].startswith("\r\n") else 1), m.end()
+            open_line(begin, first)
+        elif kind in "ox":
+            out.append((len(out), kind, line, line, begin, begin, None, 1 if kind == "o" else -1, None, "", ""))
+        elif kind == "c":
+            if m.start() == first:
+                out.append((len(out), "c", line, line, begin, m.end(), len(code[begin:first].expandtabs(8)), 0, m[0], "", ""))
+        else:
+            n = len(_BREAK.findall(m[0]))
+            leads = m.start() == first
+            alone = leads and _ENDS_LINE.match(code, m.end()) is not None
+            indent = len(code[begin:first].expandtabs(8)) if leads else None
+            out.append((len(out), "s" if alone else "k" if leads else "l", line, line + n, begin, line_end(m.end()), indent, 0, pylex.value(m[0]) if alone else None, "", ""))
+            line += n
+    return out
 
 
 def tokens(chunks: DataFrame) -> DataFrame:
-    """One row for each token of ``chunks`` (chunk_id, content); see ``lex_rows``."""
+    """One row for each token of ``chunks`` (chunk_id, content); see ``lex_tokens``. Null and empty contents have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.strip().split()[0] for x in _TOKENS.split(",")]
+        names = [x.split()[0] for x in _TOKEN.split(", ")]
         for pdf in batches:
-            rows = [r for i, c in zip(pdf["chunk_id"], pdf["content"]) for r in lex_rows(i, c if isinstance(c, str) else "")]
-            yield pd.DataFrame(rows, columns=names)
+            found = [[dict(zip(names, t)) for t in lex_tokens(c)] if isinstance(c, str) else [] for c in pdf["content"]]
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "tokens": found})
 
-    return chunks.select("chunk_id", "content").mapInPandas(run, _TOKENS)
+    return chunks.select("chunk_id", "content").mapInPandas(run, _LEXED).select("chunk_id", F.inline("tokens"))
 
 
 def functions(rows: DataFrame) -> DataFrame:
-    """(chunk_id, pos, name, params, line, indent, docstring, comments): every function in the tokens of each text.
+    """(chunk_id, pos, name, params, line, end_line, start, end, docstring, comments): every function in the tokens of each text.
 
-    Brackets summed up to a token tell which tokens begin a statement. Statements that follow each other without a gap
-    and are comments or decorators form an island with the definition that ends it; its comments are the function's.
-    The statement after the definition, if it is a literal further in, is the docstring.
+    * Brackets summed up to a token tell which of those that begin a line begin a statement; tokens up to the next such are its island.
+    * Comments and decorators that follow each other without a gap form an island with the definition that ends it:
+      by lag windows; its comments are the function's.
+    * For each indent at which the text defines functions, statements no further in than it start a new island: a definition
+      at that indent and its body. The first statement of the body, if it is a literal, is the docstring.
+
+    start and end are characters of the text, from the first comment or decorator to the last line of the body. All windows
+    are by text, so one exchange does.
     """
-    by_pos = Window.partitionBy("chunk_id").orderBy("pos")
+    by_text = Window.partitionBy("chunk_id")
+    by_pos = by_text.orderBy("pos")
     depth = F.coalesce(F.sum("delta").over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    statements = rows.withColumn("depth", depth)
-    open_line = F.lag("end_line").over(by_pos)
-    # A statement that goes on over lines in brackets ends where the next statement's line before it ends.
-    statements = statements.withColumn("previous_end", open_line).where("depth <= 0")
+    lexed = rows.withColumn("begins", F.col("indent").isNotNull() & (depth <= 0)).withColumn("statement", F.sum(F.col("begins").cast("int")).over(by_pos))
+    last = Window.partitionBy("chunk_id", "statement")
+    statements = lexed.withColumn("end_line", F.max("end_line").over(last)).withColumn("end", F.max("end").over(last)).where("begins").drop("begins", "statement", "delta")
+
     loose = (F.col("kind") == "c") | (F.col("word") == "@")
-    follows = F.lag(loose).over(by_pos) & (F.col("line") - F.col("previous_end") <= 1) & (F.lag("indent").over(by_pos) == F.col("indent"))
-    island = F.sum(F.when(follows, 0).otherwise(1)).over(by_pos)
-    statements = statements.withColumn("island", island)
-    code = Window.partitionBy("chunk_id", F.col("kind") == "c").orderBy("pos")
-    after = F.lead(F.struct("kind", "indent", "text")).over(code)
-    statements = statements.withColumn("after", after).where((F.col("kind") == "c") | (F.col("word") == "def"))
-    doc = F.when((F.col("after.kind") == "s") & (F.col("after.indent") > F.col("indent")), F.col("after.text"))
-    head = F.when(F.col("word") == "def", F.struct("pos", F.col("text").alias("name"), "params", "line", "indent", doc.alias("docstring")))
-    comments = F.collect_list(F.when(F.col("kind") == "c", F.struct("pos", "text")))
-    found = statements.groupBy("chunk_id", "island").agg(F.max(head).alias("f"), comments.alias("comments")).where("f is not null")
-    return found.select("chunk_id", "f.*", F.array_join(F.transform(F.array_sort("comments"), lambda c: c["text"]), "\n").alias("comments"))
-
-
-def extents(rows: DataFrame) -> DataFrame:
-    """(chunk_id, pos, end_line): the last line of every function, lines counted from 0.
-
-    For each indent at which the text defines functions, statements no further in than it start a new island; a function
-    ends with the last line of its island. A text has as many indents as functions nest.
-    """
-    by_pos = Window.partitionBy("chunk_id").orderBy("pos")
-    depth = F.coalesce(F.sum("delta").over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    code = rows.where("kind in ('k', 's')").withColumn("depth", depth)
-    levels = code.where("word = 'def' and depth <= 0").select("chunk_id", F.col("indent").alias("level")).distinct()
-    placed = code.join(levels, "chunk_id")
-    by_level = Window.partitionBy("chunk_id", "level").orderBy("pos")
-    placed = placed.withColumn("island", F.sum(F.when((F.col("depth") <= 0) & (F.col("indent") <= F.col("level")), 1).otherwise(0)).over(by_level))
-    ends = placed.groupBy("chunk_id", "level", "island").agg(F.min(F.when((F.col("word") == "def") & (F.col("depth") <= 0) & (F.col("indent") == F.col("level")), F.col("pos"))).alias("pos"), F.max("end_line").alias("end_line"))
-    return ends.where("pos is not null").select("chunk_id", "pos", "end_line")
+    follows = F.lag(loose).over(by_pos) & (F.col("line") - F.lag("end_line").over(by_pos) <= 1) & (F.lag("indent").over(by_pos) == F.col("indent"))
+    statements = statements.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(by_pos))
+    run = Window.partitionBy("chunk_id", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    statements = statements.withColumn("comments", F.collect_list(F.when(F.col("kind") == "c", F.col("text"))).over(run)).withColumn("start", F.min("start").over(run))
+
+    levels = F.collect_set(F.when(F.col("word") == "def", F.col("indent"))).over(by_text)
+    placed = statements.where("kind <> 'c'").withColumn("levels", levels).withColumn("level", F.explode("levels"))
+    outer = F.col("indent") <= F.col("level")
+    placed = placed.withColumn("island", F.sum(F.when(outer, 1).otherwise(0)).over(Window.partitionBy("chunk_id", "level").orderBy("pos")))
+    own = outer & (F.col("word") == "def") & (F.col("indent") == F.col("level"))
+    head = F.max(F.when(own, F.struct("pos", F.col("text").alias("name"), "params", "line", "start", F.array_join("comments", "\n").alias("comments"))))
+    body = F.min(F.when(~outer, F.struct("pos", "kind", "text")))
+    found = placed.groupBy("chunk_id", "level", "island").agg(head.alias("f"), body.alias("body"), F.max("end_line").alias("end_line"), F.max("end").alias("end")).where("f is not null")
+    return found.select("chunk_id", "f.pos", "f.name", "f.params", "f.line", "end_line", "f.start", "end", F.when(F.col("body.kind") == "s", F.col("body.text")).alias("docstring"), "f.comments")
 
 
 # --- Which texts describe -------------------------------------------------------------------------------------------
@@ -170,22 +168,19 @@ def describes(text: str | None, name: str | None, params: str | None = None) ->
     return False
 
 
-_PAIR = "chunk_id bigint, name string, docstring string, source string"
-
+_PAIR = "chunk_id bigint, name string, docstring string, source string, start int, end int"
 
-def documented(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, name, docstring, source): the functions that have a description of their own.
 
-    ``chunks``: chunk_id (unique), name, docstring, content, of functions. A function's description is its docstring in the
-    content, else the docstring kept beside it, else the comments right above the definition or its decorators;
-    source says which. Descriptions that are trivial are passed over, and inner functions' are not the outer one's:
-    the first definition of a text is the chunk's function. Null and empty contents leave the docstring beside them.
-    """
-    found = functions(tokens(chunks)).withColumn("doc", F.lit(None).cast("string"))
-    # The docstring beside the text comes as a row of its own, so nothing is joined, and is read without lexing.
-    beside = chunks.where("docstring is not null").select("chunk_id", F.lit(-1).alias("pos"), F.col("docstring").alias("doc"))
-    first = F.min_by(F.struct("name", "params", "docstring", "comments"), F.when(F.col("pos") >= 0, F.col("pos")))
-    merged = found.select("chunk_id", "pos", "name", "params", "docstring", "comments", "doc").unionByName(beside, allowMissingColumns=True).groupBy("chunk_id").agg(first.alias("f"), F.max("doc").alias("doc"))
+def _described(chunks: DataFrame) -> DataFrame:
+    found = functions(tokens(chunks))
+    # What stands beside the text comes as a row of its own, so nothing is joined or lexed twice.
+    node = F.regexp_extract("node_id", r"([^.:]+)$", 1) if "node_id" in chunks.columns else F.lit(None).cast("string")
+    beside = chunks.select("chunk_id", F.lit(-1).alias("pos"), F.col("docstring").alias("doc"), F.coalesce("name", node).alias("own"))
+    first = F.min_by(F.struct("name", "params", "docstring", "comments", "start", "end"), F.when(F.col("pos") >= 0, F.col("pos")))
+    none = F.lit(None).cast("string")
+    rows = found.select("chunk_id", "pos", "name", "params", "docstring", "comments", "start", "end", none.alias("doc"), none.alias("own"))
+    merged = rows.unionByName(beside, allowMissingColumns=True).groupBy("chunk_id").agg(first.alias("f"), F.max("doc").alias("doc"), F.max("own").alias("own"))
+    flat = merged.select("chunk_id", F.coalesce("f.name", "own").alias("name"), "f.params", "f.docstring", "f.comments", "f.start", "f.end", "doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -193,18 +188,31 @@ def documented(chunks: DataFrame) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 for text, source in ((r.docstring, "docstring"), (r.doc, "kept"), (r.comments, "comments")):
                     if isinstance(text, str) and describes(text, r.name, r.params):
-                        out.append((r.chunk_id, r.name, text, source))
+                        out.append((r.chunk_id, r.name, text, source, r.start, r.end))
                         break
-            yield pd.DataFrame(out, columns=["chunk_id", "name", "docstring", "source"])
+            rows = pd.DataFrame(out, columns=["chunk_id", "name", "docstring", "source", "start", "end"])
+            yield rows.astype({"start": "Int64", "end": "Int64"})
 
-    own = chunks.select("chunk_id", F.col("name").alias("chunk_name"), F.regexp_extract("node_id", r"([^.:]+)$", 1).alias("node_name")) if "node_id" in chunks.columns else None
-    flat = merged.select("chunk_id", "f.name", "f.params", "f.docstring", "f.comments", "doc")
-    if own is not None:
-        only = flat.where("name is null").select("chunk_id", "doc").join(own, "chunk_id")
-        flat = flat.where("name is not null").unionByName(only.select("chunk_id", F.coalesce("chunk_name", "node_name").alias("name"), "doc"), allowMissingColumns=True)
     return flat.mapInPandas(run, _PAIR)
 
 
+def documented(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, name, docstring, source): the functions that have a description of their own.
+
+    ``chunks``: chunk_id (unique), name, docstring, content, of functions. A function's description is its docstring in the
+    content, else the docstring kept beside it, else the comments right above the definition or its decorators;
+    source says which. Descriptions that are trivial are passed over, and inner functions' are not the outer one's:
+    the first definition of a text is the chunk's function. Null and empty contents leave the docstring beside them.
+    """
+    return _described(chunks).drop("start", "end")
+
+
 def pairs(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, name, docstring, source, content): description–code pairs of the documented functions."""
-    return documented(chunks).join(chunks.select("chunk_id", "content"), "chunk_id")
+    """(chunk_id, name, docstring, source, content): description–code pairs of the documented functions.
+
+    content is the function as delimited, from its first comment or decorator to the end of its body; the whole text where that
+    holds no function.
+    """
+    rows = _described(chunks).join(chunks.select("chunk_id", F.col("content").alias("text")), "chunk_id")
+    code = F.when(F.col("start").isNull(), F.col("text")).otherwise(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    return rows.select("chunk_id", "name", "docstring", "source", code.alias("content"))
