@@ -8,9 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm import languages, prose, pylex
+from loomgraph.llm import languages, prose
 
-BLOCK = 1 << 16
 _SPANS = "chunk_id bigint, file_path string, kind string, lang string, confidence double, chars int, text string"
 
 
@@ -20,46 +19,14 @@ def fit_regression(documents: DataFrame, lang_codes: DataFrame) -> languages.Reg
     return languages.Regression().fit(texts, labels) if texts else languages.Regression()
 
 
-def _block_rows(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            for i, b in enumerate(pylex.blocks(r.content, size)):
-                rows.append((r.chunk_id, r.file_path, i, b, pylex.block_map(b)))
-        yield pd.DataFrame(rows, columns=["chunk_id", "file_path", "block", "content", "map"])
-
-
-def lexer_states(chunks: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(chunk_id, file_path, block, content, state): texts in blocks, each with the lexer's state at its start.
-
-    Each block gives its state-transition function on its own; the functions of a text's blocks are composed by prefix over
-    the block numbers. That carries five small numbers a block, never the text, so the longest text Spark can hold
-    is a few hundred kilobytes here. chunk_id is unique.
-    """
-
-    @F.pandas_udf("array<int>")
-    def states(maps: pd.Series) -> pd.Series:
-        return maps.map(lambda m: pylex.compose([list(x) for x in m]))
-
-    rows = chunks.mapInPandas(lambda it: _block_rows(it, size), "chunk_id bigint, file_path string, block int, content string, map array<int>")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "map"))), lambda x: x["map"])
-    before = rows.groupBy("chunk_id").agg(ordered.alias("maps")).select("chunk_id", F.posexplode(states("maps")).alias("block", "state"))
-    return rows.drop("map").join(before, ["chunk_id", "block"])
-
-
-def _tail(content: str, state: int) -> tuple[str, str]:
-    """What a literal from the block before adds, as text, and the source after it."""
-    pieces = pylex.run_block(content, state)[0]
-    end = pieces[0][2] if pieces else 0
-    return pylex.value(pylex.STATES[state] + content[:end]), content[end:]
-
-
-def language_spans(chunks: DataFrame, model: languages.Regression, size: int = BLOCK) -> DataFrame:
+def language_spans(chunks: DataFrame, model: languages.Regression, size: int = prose.BLOCK) -> DataFrame:
     """(chunk_id, file_path, kind, lang, confidence, chars, text): the sentences in comments, docstrings and literals.
 
-    ``chunks``: chunk_id, file_path, docstring, inline_comments, content; other columns are left out. Docstring and
-    comments count beside the content, as the content may have lost them; a text found twice in a chunk comes once.
-    Nulls and empty texts give no rows. Texts longer than ``size`` are lexed in blocks.
+    ``chunks``: chunk_id, file_path, docstring, inline_comments, content; other columns are left out. Every content is lexed in
+    blocks of ``size`` characters, whose state-transition functions are composed by parallel prefix (``pylex.pieces``);
+    literals that go on over blocks are joined before sentences are cut, so the rows do not depend on ``size``. A text is one
+    row, so its blocks are lexed where it is. Each occurrence in the content counts; sentences of docstring and comments count
+    beside it only if the content has lost them, each once. Nulls and empty texts give no rows.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(model)  # 4 MB whatever the input
 
@@ -68,23 +35,13 @@ def language_spans(chunks: DataFrame, model: languages.Regression, size: int = B
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                seen: set[str] = set()
-                parts: list[tuple[str, list[str]]] = []
-                source = r.content
-                if isinstance(source, str):
-                    if r.state:
-                        text, source = _tail(source, int(r.state))
-                        parts.append(("literal", prose.sentences(text)))
-                    parts += [(kind, found) for kind, _, _, found in prose.code_sentences(source)]
-                if isinstance(r.docstring, str):
-                    parts.append(("docstring", prose.sentences(r.docstring)))
+                inside = [(kind, s) for kind, _, _, found in prose.code_sentences(r.content, size) for s in found] if isinstance(r.content, str) else []
+                beside = [("docstring", s) for s in prose.sentences(r.docstring)] if isinstance(r.docstring, str) else []
                 if r.inline_comments is not None:
-                    parts.append(("comment", [s for c in r.inline_comments if c for s in prose.sentences(c)]))
-                for kind, found in parts:
-                    for s in found:
-                        if s not in seen:
-                            seen.add(s)
-                            rows.append((r.chunk_id, r.file_path, kind, len(s), s))
+                    beside += [("comment", s) for c in r.inline_comments if c for s in prose.sentences(c)]
+                seen = {s for _, s in inside}
+                lost = {s: kind for kind, s in reversed(beside) if s not in seen}
+                rows += [(r.chunk_id, r.file_path, kind, len(s), s) for kind, s in [*inside, *((kind, s) for s, kind in lost.items())]]
             if not rows or not regression.languages:
                 continue
             out = pd.DataFrame(rows, columns=["chunk_id", "file_path", "kind", "chars", "text"])
@@ -94,13 +51,7 @@ def language_spans(chunks: DataFrame, model: languages.Regression, size: int = B
             out["confidence"] = [float(got[t][1]) for t in out["text"]]
             yield out[["chunk_id", "file_path", "kind", "lang", "confidence", "chars", "text"]]
 
-    rows = chunks.select("chunk_id", "file_path", "docstring", "inline_comments", "content")
-    long = F.length("content") > size
-    short = rows.where(~F.coalesce(long, F.lit(False))).withColumn("state", F.lit(0))
-    blocks = lexer_states(rows.where(long).select("chunk_id", "file_path", "content"), size)
-    rest = rows.where(long).select("chunk_id", "file_path", "docstring", "inline_comments", F.lit(None).cast("string").alias("content"), F.lit(0).alias("state"))
-    blocks = blocks.select("chunk_id", "file_path", F.lit(None).cast("string").alias("docstring"), F.lit(None).cast("array<string>").alias("inline_comments"), "content", "state")
-    return short.unionByName(blocks).unionByName(rest).mapInPandas(label, _SPANS)
+    return chunks.select("chunk_id", "file_path", "docstring", "inline_comments", "content").mapInPandas(label, _SPANS)
 
 
 def file_languages(spans: DataFrame) -> DataFrame:

@@ -106,28 +106,40 @@ def _normal(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-_SCRIPTS = [re.compile(x) for x in (r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff]", r"[\u0400-\u052f]", r"[\u3040-\u30ff]", r"[\u3400-\u9fff]", r"[\uac00-\ud7af\u1100-\u11ff]", r"[\u0370-\u03ff]", r"[\u0590-\u06ff]", r"[\u0900-\u0dff\u0e00-\u0eff]")]
+# The letters of each script, as first and last points.
+_SCRIPTS = [
+    [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)], [(0x400, 0x52F)], [(0x3040, 0x30FF)], [(0x3400, 0x9FFF)], [(0xAC00, 0xD7AF), (0x1100, 0x11FF)], [(0x370, 0x3FF)], [(0x590, 0x6FF)], [(0x900, 0xDFF), (0xE00, 0xEFF)],
+]
 _KANA = 2
+_SCRIPT_OF = np.full(0x110000, len(_SCRIPTS), np.uint8)
+for _i, _ranges in enumerate(_SCRIPTS):
+    for _a, _b in _ranges:
+        _SCRIPT_OF[_a : _b + 1] = _i
 
 
-def script(text: str) -> int:
-    """The script of most letters of a text; Japanese if a tenth of them is kana. -1: no letters."""
-    n = [len(x.findall(text)) for x in _SCRIPTS]
-    if not any(n):
-        return -1
-    return _KANA if n[_KANA] * 10 >= sum(n) else int(np.argmax(n))
+def scripts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The script of most letters of each text (of ``_points``); Japanese if a tenth of them is kana. -1: no letters."""
+    texts, k = len(starts) - 1, len(_SCRIPTS) + 1
+    owner = np.repeat(np.arange(texts), np.diff(starts))
+    n = np.bincount(owner * k + _SCRIPT_OF[points], minlength=texts * k).reshape(texts, k)[:, :-1]
+    total = n.sum(1)
+    return np.where(total == 0, -1, np.where(n[:, _KANA] * 10 >= total, _KANA, n.argmax(1)))
 
 
 def script_mask(texts: list[str], labels: list[str], languages: list[str]) -> np.ndarray:
     """(script, language): 0 where at least a twentieth of a language's sentences has the script, else a large negative number."""
     n = np.zeros((len(_SCRIPTS) + 1, len(languages)))
-    np.add.at(n, ([script(t) for t in texts], [languages.index(x) for x in labels]), 1)
+    np.add.at(n, (scripts(*_points([_normal(t) for t in texts])), [languages.index(x) for x in labels]), 1)
     mask = np.where(n >= 0.05 * np.maximum(n.sum(0), 1), 0.0, -1e3)
     mask[-1] = 0
     mask[(mask < 0).all(1)] = 0
     return mask.astype(np.float32)
 
 
+#: Slots of the table of n-grams that a worker keeps, and the most scores in it: 24 MB, and 16 MB at 20 languages.
+_SLOT_BITS, _MOST_SCORES = 21, 200_000
+
+
 class Profiles:
     """Hyperdimensional language profiles of letter n-grams (n = 3)."""
 
@@ -135,7 +147,6 @@ class Profiles:
         self.size, self.seed = size, seed
         self.languages: list[str] = []  # none until fitted
         self.letters: dict[int, np.ndarray] = {}
-        self.scores: dict[int, np.ndarray] = {}
 
     def _letter(self, point: int) -> np.ndarray:
         v = self.letters.get(point)
@@ -150,7 +161,10 @@ class Profiles:
     @staticmethod
     def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The trigrams of each text and how many each text has; a text has at least one."""
-        p, at = _points([_normal(t) or " " for t in texts])
+        return Profiles._cut(*_points([_normal(t) or " " for t in texts]))
+
+    @staticmethod
+    def _cut(p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = np.concatenate((p, [32, 32]))
         grams = (p[:-2] << 42) | (p[1:-1] << 21) | p[2:]
         counts = np.maximum(np.diff(at) - 2, 1)
@@ -177,8 +191,9 @@ class Profiles:
             p[k] = encoded[y == k].mean(0)
         p -= p.mean(0)
         p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-        mask = script_mask(texts, labels, self.languages)[[script(t) for t in texts]]
-        margin = 0.1
+        points = _points([_normal(t) or " " for t in texts])
+        self.mask = script_mask(texts, labels, self.languages)
+        mask, margin = self.mask[scripts(*points)], 0.1
         for _ in range(rounds if len(p) > 1 else 0):
             c = encoded @ p.T + mask
             right = c[np.arange(len(y)), y].copy()
@@ -190,34 +205,67 @@ class Profiles:
             for k in range(len(p)):
                 p[k] += 0.5 / max(1, (y == k).sum()) * (encoded[wrong[y[wrong] == k]].sum(0) - encoded[wrong[other[wrong] == k]].sum(0))
             p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-        self.prototypes, self.scores = p, {}
-        self.mask = script_mask(texts, labels, self.languages)
+        self.prototypes = p
+        self._forget()
         return self
 
+    def _forget(self) -> None:
+        """Empties the table of scores, which otherwise grows with the n-grams that are met."""
+        self.slots = np.full(1 << _SLOT_BITS, -1, np.int64)
+        self.rows = np.zeros(1 << _SLOT_BITS, np.int32)
+        self.scores = np.zeros((0, len(self.languages)), np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("slots", "rows", "scores", "letters")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.letters = {}
+        if self.languages:
+            self._forget()
+
+    def _rows(self, grams: np.ndarray) -> np.ndarray:
+        """The row of ``scores`` of each n-gram: its bound vector's products with the prototypes, made when it is first met."""
+        if len(self.scores) > _MOST_SCORES:
+            self._forget()
+        slot = ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        out = self.rows[slot]
+        other = np.flatnonzero(self.slots[slot] != grams)
+        if len(other):  # not met yet, or a slot's second n-gram, which is made again
+            distinct, first, at = np.unique(grams[other], return_index=True, return_inverse=True)
+            made = [np.stack([self._bound(g) for g in distinct[i : i + 4096].tolist()]) @ self.prototypes.T for i in range(0, len(distinct), 4096)]
+            rows = np.arange(len(self.scores), len(self.scores) + len(distinct), dtype=np.int32)
+            self.scores = np.concatenate((self.scores, *made))
+            own = slot[other[first]]
+            free = self.slots[own] == -1
+            self.slots[own[free]], self.rows[own[free]] = distinct[free], rows[free]
+            # Of several that fell on one free slot the last stays, with its row.
+            out[other] = rows[at]
+        return out
+
     def cosines(self, texts: list[str]) -> np.ndarray:
-        """Cosine of each text's bundle with each prototype.
+        """Cosine of each text's bundle with each prototype; languages that are not written in a text's script are far below.
+
+        Trigrams that no labelled sentence holds are noise to every prototype, and a short text of many letters, as in Chinese, can
+        hold none but such; its letters' script still tells which languages it can be in.
 
         A dot product is a sum over n-grams, so an n-gram's products with the prototypes are made once;
         bound vectors of different n-grams are orthogonal but for chance, which gives the bundle's length.
         """
-        if not texts:
-            return np.zeros((0, len(self.languages)), np.float32)
-        grams, counts = self._grams(texts)
-        distinct, at = np.unique(grams, return_inverse=True)
-        if len(self.scores) > 200_000:
-            self.scores = {}
-        new = [g for g in distinct.tolist() if g not in self.scores]
-        for i in range(0, len(new), 4096):
-            for g, row in zip(new[i : i + 4096], np.stack([self._bound(g) for g in new[i : i + 4096]]) @ self.prototypes.T):
-                self.scores[g] = row
-        table = np.stack([self.scores[g] for g in distinct.tolist()])
-        starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        dots = np.add.reduceat(np.ascontiguousarray(table.T)[:, at], starts, axis=1).T
-        pair = np.repeat(np.arange(len(texts), dtype=np.int64), counts) * len(distinct) + at
-        _, times = np.unique(pair, return_counts=True)
-        owner = np.unique(pair) // len(distinct)
-        square = np.bincount(owner, weights=times.astype(np.float64) ** 2, minlength=len(texts))
-        return dots / np.sqrt(square * self.size)[:, None] + self.mask[[script(t) for t in texts]]
+        out = [np.zeros((0, len(self.languages)), np.float32)]
+        for i in range(0, len(texts), 4000):
+            points = _points([_normal(t) or " " for t in texts[i : i + 4000]])
+            grams, counts = self._cut(*points)
+            rows = self._rows(grams)
+            starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+            dots = np.stack([np.add.reduceat(column[rows], starts) for column in np.ascontiguousarray(self.scores.T)], 1)
+            owner = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
+            pair = np.sort((owner << 32) | rows)
+            cuts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            times = np.diff(np.append(cuts, len(pair))).astype(np.float64)
+            square = np.bincount(pair[cuts] >> 32, weights=times * times, minlength=len(counts))
+            out.append((dots / np.sqrt(square * self.size)[:, None] + self.mask[scripts(*points)]).astype(np.float32))
+        return np.concatenate(out)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language of each text, and a confidence: the softmax of its cosines at the best one."""
@@ -235,9 +283,8 @@ class Regression:
         self.languages: list[str] = []  # none until fitted
         self.bits, self.rounds, self.rate, self.decay, self.most = bits, rounds, rate, decay, most
 
-    def _features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashed n-grams text by text, where each text's begin, and each text's weight of an n-gram."""
-        p, at = _points([_normal(t) for t in texts])
+    def _features(self, p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashed n-grams of texts (``_points``) text by text, where each text's begin, and each text's weight of an n-gram."""
         pad = np.concatenate((p, np.full(3, 32)))
         h, out = np.zeros(len(p), np.uint64), []
         for n in range(4):
@@ -257,7 +304,7 @@ class Regression:
         texts, labels = [texts[i] for i in keep], [labels[i] for i in keep]
         self.languages = sorted(set(labels))
         k = len(self.languages)
-        hashed, starts, weight = self._features(texts)
+        hashed, starts, weight = self._features(*_points([_normal(t) for t in texts]))
         counts = np.diff(np.concatenate((starts, [len(hashed)])))
         owner = np.repeat(np.arange(len(texts)), counts)
         used, at = np.unique(hashed, return_inverse=True)
@@ -286,8 +333,9 @@ class Regression:
         names, sure, turned = [], [], np.ascontiguousarray(self.weights.T)
         for i in range(0, len(texts), 2000):
             part = texts[i : i + 2000]
-            hashed, starts, weight = self._features(part)
-            z = np.add.reduceat(turned[:, hashed], starts, axis=1).T * weight[:, None] + self.mask[[script(t) for t in part]]
+            points = _points([_normal(t) for t in part])
+            hashed, starts, weight = self._features(*points)
+            z = np.stack([np.add.reduceat(row[hashed], starts) for row in turned], 1) * weight[:, None] + self.mask[scripts(*points)]
             z = np.exp(z - z.max(1, keepdims=True))
             z /= z.sum(1, keepdims=True)
             best = z.argmax(1)

@@ -13,6 +13,8 @@ _CJK = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3005-\u3007"
 _CJK_CHAR = re.compile(f"[{_CJK}]")
 #: A word of an alphabet; Korean syllables count as letters, and its words are set apart by blanks.
 _WORD = re.compile(rf"(?:(?![{_CJK}])[^\W\d_])+(?:['’ʼ`´-](?:(?![{_CJK}])[^\W\d_])+)*\.?")
+#: The same for text without Chinese and Japanese, which needs no look ahead at each letter.
+_PLAIN_WORD = re.compile(r"[^\W\d_]+(?:['’ʼ`´-][^\W\d_]+)*\.?")
 _CODE_SPAN = re.compile(r"``.*?``|`[^`\n]*`")
 #: What is no word although it has letters: addresses, paths, dotted or underscored or mixed-case names, calls, tags, numbers with letters.
 _IDENTIFIER = re.compile(
@@ -21,6 +23,9 @@ _IDENTIFIER = re.compile(
     r"|\b[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+\b|\b_+\w+|\b[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*)+\b"
     r"|\b[A-Za-z]+[a-z][A-Z]\w*\b|\b[A-Za-z_]\w*\([^()\s]*\)|\b(?=[A-Za-z-]*\d)[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+\b|\b(?=[A-Za-z]*\d)[A-Za-z0-9]{2,}\b|%[sdrfi]\b|<[^<>\s]*>|\{[^{}\n]*\}|--?[a-z][\w-]*(?==|\b)(?<=\s)"
 )
+#: Without one of these no part of a text is such a thing.
+_MAYBE_IDENTIFIER = re.compile(r"[/@_:(%<{\d]|\w\.\w|[a-z][A-Z]|www")
+_CAPITALS = re.compile(r"[A-Z]{3}|BY")
 _MARK = re.compile(r"^\s*(?:(?:[>#*•·+|=~-]+|\d{1,3}[.)])\s+)*(?:(?:Q|A|Step \d+)\s*:\s+|\[\w+\]\s+)?")
 _TAG = re.compile(r"^\s*(?::(?:param|return|returns|raises|type|rtype|arg|yield)\b[^:\n]*:|@(?:param|return|returns|throws)\b(?:\s+\w+)?|\*?\w{1,40}(?:\s*\([^)]*\))?:(?=\s|$)|\*\*[^*\n]{1,40}:?\*\*:?)\s*")
 _QUERY = re.compile(r"\b(?:SELECT\b.+\bFROM\b|INSERT\s+INTO\b|UPDATE\b.+\bSET\b|DELETE\s+FROM\b|CREATE\s+(?:TABLE|INDEX|VIEW)\b|MATCH\s*\(|MERGE\s*\(|UNWIND\b|ALTER\s+TABLE\b|DROP\s+TABLE\b|GROUP\s+BY\b|ORDER\s+BY\b)", re.S)
@@ -32,55 +37,70 @@ _STOP = re.compile(rf"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])|(?<=[!?
 
 def units(text: str) -> tuple[int, int]:
     """Words of alphabets, and characters of Chinese and Japanese, in ``text``."""
-    n = len(_CJK_CHAR.findall(text))
-    return sum(len(w) > 1 or w.lower() in "aeiouyàéèôóòíìоуіаівикяzw" for w in _WORD.findall(text)), n
+    n = 0 if text.isascii() else len(_CJK_CHAR.findall(text))
+    words = (_WORD if n else _PLAIN_WORD).findall(text)
+    return len(words) - sum(len(w) == 1 and w.lower() not in _SINGLE for w in words), n
+
+
+# The letters that are words.
+_SINGLE = set("aeiouyàéèôóòíìоуіаивікяzw")
 
 
 def is_phrase(text: str) -> bool:
     """At least four words, or eight characters of Chinese or Japanese; mixed text counts two characters as a word."""
+    return _phrase(text) is not None
+
+
+def _phrase(text: str) -> tuple[int, int] | None:
+    """The ``units`` of a phrase; None of what is none."""
+    if text.isascii() and len(text.split()) < WORDS:
+        return None
     words, han = units(text)
     if han < 4 and len(text.split()) < WORDS:
-        return False
-    return words >= WORDS or han >= HAN or (han >= 4 and words + han // 2 >= WORDS)
+        return None
+    return (words, han) if words >= WORDS or han >= HAN or (han >= 4 and words + han // 2 >= WORDS) else None
 
 
 def plain(text: str) -> str:
     """``text`` without code spans, addresses, paths and identifiers."""
-    return _IDENTIFIER.sub(" ", _CODE_SPAN.sub(" ", text))
+    if "`" in text:
+        text = _CODE_SPAN.sub(" ", text)
+    return _IDENTIFIER.sub(" ", text) if _MAYBE_IDENTIFIER.search(text) else text
 
 
 def parses(line: str) -> bool:
     """Whether a line is Python by itself, as a block's head, or as the inside of brackets."""
     line = line.strip()
-    if len(line) > 2000 or "\x00" in line:
-        return False
-    tries = [line]
-    if line.endswith(":"):
-        tries = ["try:\n pass\n" + line + "\n pass", line + "\n pass", "match x:\n " + line + "\n  pass", "if x:\n pass\n" + line + "\n pass", "try:\n pass\n" + line + "\n pass\nexcept A:\n pass"]
+    if line.endswith(":") and not line.startswith("#"):
+        line = _BEFORE.get(_FIRST.match(line)[0], "") + line + _AFTER.get(_FIRST.match(line)[0], "\n pass")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        for t in tries:
-            try:
-                ast.parse(t)
-                return True
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                pass
-    return False
+        try:
+            ast.parse(line)
+            return True
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return False
+
+
+_FIRST = re.compile(r"\w*")
+#: What a head that cannot stand alone stands behind, and what follows it.
+_BEFORE = {"elif": "if x:\n pass\n", "else": "if x:\n pass\n", "except": "try:\n pass\n", "finally": "try:\n pass\n", "case": "match x:\n "}
+_AFTER = {"case": "\n  pass", "try": "\n pass\nfinally:\n pass"}
 
 
 def is_code(line: str) -> bool:
     """Whether a line of text or of a comment is code rather than language."""
     if not line.strip():
         return False
-    if _QUERY.search(line):
+    if _CAPITALS.search(line) and _QUERY.search(line):
         return True
     if line.isupper():
         line = line.lower()
     if not _CODEISH.search(line):
         return False
-    bare = _CODE_SPAN.sub("x", line)
-    if _HARD_CODE.search(bare) and units(plain(bare))[1] < HAN:
-        words = units(plain(bare))[0]
+    bare = _CODE_SPAN.sub("x", line) if "`" in line else line
+    if _HARD_CODE.search(bare) and (counted := units(plain(bare)))[1] < HAN:
+        words = counted[0]
         symbols = len(re.findall(r"[=(){}\[\]<>|%:;\"'+*/]", bare))
         if words < 6 or symbols * 2 >= words:
             return True
@@ -106,38 +126,50 @@ def without_code(lines: list[str]) -> list[str]:
     return out
 
 
+_SYMBOLS = re.compile(r"[=(){}\[\]<>|%\\^$_+*/~#&]")
+_LINES = re.compile(r"[\r\n\u2028\x0b\x0c]+")
+
+
 def sentences(text: str, code: bool = True) -> list[str]:
     """The sentences and phrases of ``text``, without marks, tags and code.
 
     ``code``: whether lines of code may occur among them, as in comments and documents.
     """
     out = []
-    lines = [x for x in re.split(r"[\r\n\u2028\x0b\x0c]+", text) if x.strip() and not _FRAME.match(x)]
+    lines = [x for x in _LINES.split(text) if x.strip() and not _FRAME.match(x)]
     for line in without_code(lines) if code else lines:
-        if not code and _QUERY.search(line):
+        if not code and _CAPITALS.search(line) and _QUERY.search(line):
             continue
-        line = _TAG.sub("", _MARK.sub("", line))
+        line = line[_MARK.match(line).end() :]
+        tag = _TAG.match(line)
+        line = line[tag.end() :] if tag else line
         for s in _STOP.split(line):
+            if s.isascii() and len(s.split()) < WORDS:
+                continue
             p = plain(s)
-            if is_phrase(p):
-                words, han = units(p)
-                symbols = len(re.findall(r"[=(){}\[\]<>|%\\^$_+*/~#&]", p))
-                if symbols * 2 <= words + han // 2:
-                    out.append(re.sub(r"\s+", " ", p).strip())
+            if counted := _phrase(p):
+                words, han = counted
+                if len(_SYMBOLS.findall(p)) * 2 <= words + han // 2:
+                    out.append(" ".join(p.split()))
     return out
 
 
 _JOIN = re.compile(r"[\s\\]*\+?[\s\\]*")
 
 
-def spans(code: str) -> list[tuple[str, int, int, str]]:
+#: Characters of the blocks in which source is lexed.
+BLOCK = 1 << 16
+_ENDS_LINE = re.compile(r"[ \t;]*(?:[\r\n#]|\Z)")
+
+
+def spans(code: str, size: int = BLOCK) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, text) of the comments, docstrings and other literals of Python source.
 
-    kind is ``comment``, ``docstring`` or ``literal``. Literals that a program joins (side by side or by
+    Source is lexed in blocks of ``size`` characters, which the result does not depend on. kind is ``comment``, ``docstring`` or ``literal``. Literals that a program joins (side by side or by
     a plus) are one span; comments on lines of their own that follow each other are one span.
     """
     out: list[tuple[str, int, int, str]] = []
-    pieces = list(pylex.lex(code))
+    pieces = pylex.pieces(code, size)
     i = 0
     while i < len(pieces):
         kind, a, b = pieces[i]
@@ -156,17 +188,16 @@ def spans(code: str) -> list[tuple[str, int, int, str]]:
                 i += 1
                 b = pieces[i][2]
                 text.append(pylex.value(code[pieces[i][1] : b]))
-            rest = code[b : b + 200].lstrip(" \t;")
-            doc = alone and (not rest or rest[0] in "\r\n#") and (start == 0 or re.search(r"(?::|^|[\r\n])[ \t]*(?:#[^\r\n]*)?[\r\n]*\Z", code[max(0, start - 300) : start]) is not None)
+            doc = alone and _ENDS_LINE.match(code, b) is not None
             out.append(("docstring" if doc else "literal", a, b, "".join(text)))
         i += 1
     return out
 
 
-def code_sentences(code: str) -> list[tuple[str, int, int, list[str]]]:
+def code_sentences(code: str, size: int = BLOCK) -> list[tuple[str, int, int, list[str]]]:
     """Of each span of source that holds a sentence: kind, start, end, sentences."""
     out = []
-    for kind, a, b, text in spans(code):
+    for kind, a, b, text in spans(code, size):
         if (found := sentences(text, kind != "literal" or "\n" in text)):
             out.append((kind, a, b, found))
     return out

@@ -1,7 +1,7 @@
 """A tolerant lexer for Python source: comments, string literals and the code between them.
 
 It never fails: an unterminated literal ends at the line's or text's end. The same states serve
-``block_maps``, which lexes a file in blocks: for each block it gives the state after the block for
+``pieces``, which lexes a file in blocks: for each block it gives the state after the block for
 each state before it, so that the blocks of one file are lexed apart and composed by prefix.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 _TRIPLE = r'{q}{q}{q}[^{q}\\]*(?:(?:\\.|{q}(?!{q}{q}))[^{q}\\]*)*(?:{q}{q}{q}|\\?\Z)'
 _SINGLE = r'{q}[^{q}\\\r\n]*(?:\\(?:\r\n|.)[^{q}\\\r\n]*)*(?:{q}|(?=[\r\n])|\\?\Z)'
 _PREFIX = r"(?:(?<![A-Za-z0-9_])[rRbBuUfFtT]{1,2}(?=[\"']))?"
@@ -102,12 +104,36 @@ def block_map(block: str) -> list[int]:
 
 
 def compose(maps: list[list[int]]) -> list[int]:
-    """The states before each of the blocks with these maps, by prefix."""
-    states, now = [], 0
-    for m in maps:
-        states.append(now)
-        now = m[now]
-    return states
+    """The states before each of the blocks with these maps, and after the last, by parallel prefix.
+
+    In round k each map is composed with the one 2^k before it, which by then stands for the 2^k blocks up to that one.
+    """
+    n = len(maps)
+    prefix = np.array(maps, np.int64).reshape(n, len(STATES))
+    step = 1
+    while step < n:
+        prefix[step:] = np.take_along_axis(prefix[step:], prefix[:-step], 1)
+        step *= 2
+    return [0, *prefix[:, 0].tolist()]
+
+
+def pieces(text: str, size: int) -> list[tuple[str, int, int]]:
+    """What ``lex`` gives, from blocks of about ``size`` characters that are lexed apart.
+
+    Each block but the last gives its state-transition function; composed, they give the state in which each block begins.
+    A piece that goes on over blocks is put together again, so the result does not depend on ``size``.
+    """
+    parts = blocks(text, size)
+    out: list[tuple[str, int, int]] = []
+    offset = 0
+    for block, state in zip(parts, compose([block_map(x) for x in parts[:-1]])):
+        for kind, start, end in run_block(block, state)[0]:
+            if kind == "t":
+                out[-1] = (*out[-1][:2], offset + end)
+            else:
+                out.append((kind, offset + start, offset + end))
+        offset += len(block)
+    return out
 
 
 def blocks(text: str, size: int) -> list[str]:

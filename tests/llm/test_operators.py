@@ -23,11 +23,23 @@ def test_function_docs(spark):
     assert function_docs.documented(df.where("false")).count() == 0
 
 
-def test_function_extents(spark):
-    df = spark.createDataFrame([(1, None, None, None, "class A:\n    def f(self):\n        def g():\n            return 1\n        return g\n    x = (1,\n  2)\ndef h(): pass\n", 0)], FN)
-    rows = function_docs.tokens(df)
-    names = {(r["pos"]): r["name"] for r in function_docs.functions(rows).collect()}
-    assert {names[r["pos"]]: r["end_line"] for r in function_docs.extents(rows).collect()} == {"f": 4, "g": 3, "h": 7}
+TWO = '@dec(\n  1)\r\ndef f(a=(1,\n  2)):\n    """Opens\n    the door."""\n    def g():\n        # Closes it again.\n        return [\n 1]\n    return g\n\n# Says hello\n# to all.\n\n\n# Counts the rows.\nasync def h(): return """a\nb""" + \\\n  x\nclass A:\n    # Reads a line.\n    @p\n    def k(self):\n        pass\nz = 1\n'
+
+
+def test_functions_are_delimited(spark):
+    df = spark.createDataFrame([(1, None, None, None, "class A:\n    def f(self):\n        def g():\n            return 1\n        return g\n    x = (1,\n  2)\ndef h(): pass\n", 0), (2, None, None, None, TWO, 0), (3, None, None, None, "", 0), (4, None, None, None, None, 0)], FN)
+    found = function_docs.functions(function_docs.tokens(df)).join(df.select("chunk_id", "content"), "chunk_id")
+    rows = {(r["chunk_id"], r["name"]): r for r in found.collect()}
+    assert {k: r["end_line"] for k, r in rows.items() if k[0] == 1} == {(1, "f"): 4, (1, "g"): 3, (1, "h"): 7}
+    code = {k[1]: r["content"][r["start"] : r["end"]] for k, r in rows.items() if k[0] == 2}
+    assert code["f"] == TWO[: TWO.index("return g") + 8] and code["g"] == "    def g():\n        # Closes it again.\n        return [\n 1]"
+    assert code["h"] == '# Counts the rows.\nasync def h(): return """a\nb""" + \\\n  x' and code["k"] == "    # Reads a line.\n    @p\n    def k(self):\n        pass"
+    assert rows[2, "f"]["docstring"].split() == "Opens the door.".split() and rows[2, "h"]["comments"] == "# Counts the rows." and rows[2, "k"]["comments"] == "# Reads a line." and not rows[2, "g"]["comments"]
+
+
+def test_pairs_hold_the_delimited_code(spark):
+    df = spark.createDataFrame([(1, "f::f", "f", None, TWO, 0), (2, "f::x", "x", "Kept without its code.", None, 0), (3, "f::y", "y", "Its code is no function.", "y = 1", 0)], FN)
+    assert {(r["chunk_id"], r["content"]) for r in function_docs.pairs(df).collect()} == {(1, TWO[: TWO.index("return g") + 8]), (2, None), (3, "y = 1")}
 
 
 def brute(v, ids, k, least):
@@ -122,6 +134,9 @@ def test_embedded_languages_in_blocks(spark, texts):
     source = 'x = 1\n"""The planner keeps only the newest version\nDer Planer zerlegt lange Rümpfe in kleinere Stücke.\n"""\n' + "y = 'a'\n" * 40 + "# Таблица символов делит длинные фрагменты на части.\n"
     rows = [(1, "f", None, None, source), (2, "g", "評価ループは長い本体を小さな断片に分けます。", ["The call graph waits for the cache.", None], None), (3, "h", None, [], ""), (4, None, None, None, "# no file but a sentence here")]
     df = spark.createDataFrame(rows, "chunk_id bigint, file_path string, docstring string, inline_comments array<string>, content string")
+    every = spark.read.parquet(f"{DATA}/chunks.parquet")
+    spans = [sorted(map(tuple, embedded_language.language_spans(every.unionByName(df, allowMissingColumns=True), model, size).collect()), key=repr) for size in (1 << 16, 300, 64)]
+    assert spans[0] == spans[1] == spans[2] and len(spans[0]) > 200
     for size in (1 << 16, 64):
         got = {(r["file_path"], r["lang"]) for r in embedded_language.file_languages(embedded_language.language_spans(df, model, size)).collect()}
         assert {x for x in got if x[0]} == {("f", "en"), ("f", "de"), ("f", "ru"), ("g", "ja"), ("g", "en")}

@@ -11,26 +11,22 @@ def whole(text):
     return list(pylex.lex(text))
 
 
-def blockwise(text, size):
-    blocks = pylex.blocks(text, size)
-    states = pylex.compose([pylex.block_map(b) for b in blocks])
-    out, offset = [], 0
-    for b, s in zip(blocks, states):
-        for kind, start, end in pylex.run_block(b, s)[0]:
-            if kind == "t":
-                out[-1] = (out[-1][0], out[-1][1], offset + end)
-            else:
-                out.append((kind, offset + start, offset + end))
-        offset += len(b)
-    return out
-
-
 def test_blocks_compose_to_the_whole():
     rng = random.Random(1)
     parts = ['"""', "'''", '"', "'", "#", "\\", "\n", "x = 1\n", "r", "\\\n", "text ", "''", '""', "é"]
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
-        assert blockwise(text, rng.randrange(1, 12)) == whole(text), text
+        assert pylex.pieces(text, rng.randrange(1, 12)) == whole(text), text
+
+
+def test_prefix_of_state_functions():
+    rng = random.Random(2)
+    for n in range(20):
+        maps = [[rng.randrange(5) for _ in range(5)] for _ in range(n)]
+        states = [0]
+        for m in maps:
+            states.append(m[states[-1]])
+        assert pylex.compose(maps) == states
 
 
 def test_values_are_what_python_reads():
