@@ -67,14 +67,43 @@ def test_neighbors_against_brute_force(spark, shard_rows, factor):
     assert near_exact >= (0.99 if factor == 1.0 else 0.95) and len(got - want) <= 0.05 * len(want)
 
 
+def _clustered(seed, n=480):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 8, 32))
+    v = np.repeat(centres, 8, 0) + rng.normal(size=(n, 32)) * 0.4
+    return v, rng.permutation(10 * n)[:n].tolist()
+
+
+def test_factor_one_is_exact_over_all_shards(spark):
+    v, ids = _clustered(3)
+    v[100:260] = v[100]  # a third are copies
+    df = spark.createDataFrame(list(zip(ids, v.tolist())), "id bigint, vector array<float>").repartition(4)
+    q = neighbors.usable(df, 32)
+    stored = {r["id"]: np.frombuffer(bytes(r["q"]), np.int16).astype(float) for r in q.collect()}
+    want = brute(np.stack([stored[i] for i in ids]), ids, 5, 0.7)
+    for shards in (2400, 60, 12):
+        got = {tuple(r) for r in neighbors.pairs(neighbors.nearest(q, 32, 5, 0.7, shards, 2, factor=1.0)).collect()}
+        # Single precision can turn the sixth decimal.
+        assert len(want ^ got) <= 0.002 * len(want), shards
+
+
+def test_pivots_in_two_levels(spark):
+    v, ids = _clustered(4, 960)
+    df = spark.createDataFrame(list(zip(ids, v.tolist())), "id bigint, vector array<float>").repartition(4)
+    found = neighbors.nearest(neighbors.usable(df, 32), 32, 5, 0.7, 60, 5, 0.25, most_pivots=16)
+    got, want = {tuple(r) for r in neighbors.pairs(found).collect()}, brute(np.float32(v).astype(float), ids, 5, 0.7)
+    assert len(want & got) >= 0.95 * len(want)
+
+
 def test_crowded_shards_are_cut_into_blocks(spark):
     rng = np.random.default_rng(4)
     v = np.ones(16) + rng.normal(size=(400, 16)) * 0.05
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, vector array<float>")
-    found = neighbors.nearest(neighbors.usable(df, 16), 16, 5, 0.7, shard_rows=10_000, copies=1)
-    cut = neighbors.nearest(neighbors.usable(df, 16), 16, 5, 0.7, shard_rows=40, copies=1, factor=1.0)
-    a, b = ({tuple(r) for r in neighbors.pairs(x).collect()} for x in (found, cut))
-    assert len(a & b) > 0.3 * len(a)
+    placed = neighbors.usable(df, 16).withColumn("shard", F.lit(0).cast("bigint"))
+    blocks = neighbors._in_blocks(placed.select("shard", "id", "q"), 10)
+    assert blocks.groupBy("x", "y").count().agg(F.max("count")).first()[0] < 200
+    together = blocks.alias("l").join(blocks.alias("r"), ["shard", "x", "y"]).where("l.id < r.id").select("l.id", "r.id").distinct().count()
+    assert together == 400 * 399 // 2
 
 
 def test_unusable_vectors(spark):
