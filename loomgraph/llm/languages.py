@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import prose
+from loomgraph.storage import bounded
 
 #: Bounds of the sample: documents a language, characters of each, distinct sentences a language.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SENTENCES = 120, 3000, 300
@@ -37,9 +38,9 @@ def label_map(lang_codes) -> dict[str, str]:
 def canonical(label: Column, lang_codes: DataFrame) -> Column:
     """The code that a label means, or null. Case, blanks and a region after the code do not matter.
 
-    ``lang_codes`` is a fixed table of few rows; its spellings become a literal map.
+    ``lang_codes`` is a fixed table of few rows, which is checked; its spellings become a literal map.
     """
-    pairs = label_map(lang_codes.collect())
+    pairs = label_map(bounded(lang_codes).collect())
     known = F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv])
     x = F.lower(F.trim(label))
     return F.coalesce(known[x], known[F.regexp_extract(x, r"^([a-z]{2,3})[-_]", 1)])

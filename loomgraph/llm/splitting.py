@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.storage import bounded
+
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
 _WINDOW = 16
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 4096, np.uint32)
@@ -115,6 +117,6 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
                     rows.append((r.chunk_id, n, hard, cut - start, r.content[start:end], first + a, first + b))
             yield pd.DataFrame(rows, columns=["chunk_id", "piece", "hard", "cut", "content", "start_line", "end_line"])
 
-    known = limits.where("max_chars >= 1").select("chunk_type", "max_chars", "overlap_lines")
+    known = bounded(limits).where("max_chars >= 1").select("chunk_type", "max_chars", "overlap_lines")
     rows = chunks.select("chunk_id", "chunk_type", "content", "start_line").join(F.broadcast(known), "chunk_type").where(F.length("content") > F.col("max_chars"))
     return rows.select("chunk_id", "content", "start_line", "max_chars", "overlap_lines").mapInPandas(run, "chunk_id bigint, piece int, hard int, cut int, content string, start_line int, end_line int")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folder of the vocabularies.
@@ -107,8 +108,8 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     """(key, ids): the token ids of each text, without special tokens; an empty list for null and empty texts.
 
     Row by row in Arrow batches, without a shuffle: each task keeps the words it has met, and inserts only new ones.
-    Blank texts are text. Repeated keys give repeated rows; other columns are left out. The vocabulary is read from
-    the file on each executor.
+    Blank texts are text. Repeated keys give repeated rows; other columns are left out. The vocabulary's file need
+    only be on the driver, which sends it to the executors.
     """
     return _batches(documents, key, text, tokenizer, "ids array<int>", lambda ids: ids)
 
@@ -118,12 +119,24 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return _batches(documents, key, text, tokenizer, "tokens bigint", len)
 
 
+def shared_file(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Sends a file to the executors, once a session; gives a function that tells a task where it lies."""
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_loomgraph_files", set())
+    if path not in sent:
+        context.addFile(path)
+        sent.add(path)
+    name = os.path.basename(path)
+    return lambda: SparkFiles.get(name)
+
+
 def _batches(documents: DataFrame, key: str, text: str, tokenizer: str, column: str, make) -> DataFrame:
     name = column.split()[0]
+    place = shared_file(documents.sparkSession, tokenizer)
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(tokenizer)
+        own = encoder(place())
         for pdf in batches:
             for i in range(0, len(pdf), 1000):
                 part = pdf.iloc[i : i + 1000]

@@ -264,6 +264,16 @@ def test_pfair_deviation_is_less_than_a_block():
     assert mixing.pfair({}, {}) == []
 
 
+def test_periods_of_the_schedule():
+    from fractions import Fraction
+
+    assert mixing.period({"a": Fraction(3, 4), "b": Fraction(1, 4)}) == {"a": 3, "b": 1} and mixing.period({}) == {}
+    w = {"a": Fraction(123_457, 300_007), "b": Fraction(176_549, 300_007), "c": Fraction(1, 300_007)}
+    counts = mixing.period(w, 1000)
+    assert min(counts.values()) == 1 and all(abs(counts[s] / sum(counts.values()) - w[s]) < 0.002 for s in w)
+    assert mixing.period(w, 400_000) == {"a": 123_457, "b": 176_549, "c": 1}
+
+
 def test_mix(spark):
     docs = spark.createDataFrame([(i, "a", 10) for i in range(100)] + [(200 + i, "b", 10) for i in range(10)] + [(300, "x", 5), (301, "a", 0), (302, None, 5), (None, "a", 5)], "doc_id bigint, source string, tokens bigint")
     targets = spark.createDataFrame([("a", 0.75, 1), ("b", 0.25, 3), ("gone", 0.5, 2), (None, 0.1, 1), ("zero", 0.0, 1)], "source string, target_share double, max_repeats int")
@@ -275,6 +285,11 @@ def test_mix(spark):
     assert max(n for (s, _), n in uses.items() if s == "a") == 1 and max(n for (s, _), n in uses.items() if s == "b") == 3
     got = {r["source"]: r for r in report.collect()}
     assert abs(got["b"]["share"] - 0.25) < 0.01 and got["gone"]["uses"] == 0 and got["b"]["passes"] == 3
+    # Less than a block off at the end of any slot, but for whole documents at the blocks' ends.
+    done, order = {}, sorted(rows, key=lambda r: (r["slot"], r["at"]))
+    for slot in sorted({r["slot"] for r in rows}):
+        done |= {r["source"]: r["block"] + 1 for r in order if r["slot"] == slot}
+        assert all(abs(n - (slot + 1) * {"a": 0.75, "b": 0.25}[x]) < 1 for x, n in done.items())
     empty, none = mixing.mix(docs.where("false"), targets)
     assert empty.count() == 0 and {r["share"] for r in none.collect()} == {0.0}
 
