@@ -81,3 +81,10 @@ def lookup(rows: DataFrame, by_key: DataFrame, key: str, hot: list, how: str = "
     spread = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(SALTS))).otherwise(F.lit(0))
     copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return rows.withColumn(salt, spread.cast("int")).join(by_key.withColumn(salt, F.explode(copies)), [key, salt], how).drop(salt)
+
+
+def bounded(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """``rows`` after a check that they are at most ``most``, as of a table that is small by contract before it is broadcast; more raise an error."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a table of more than {most} rows where a small one is needed")
+    return rows
