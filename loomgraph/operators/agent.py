@@ -30,6 +30,18 @@ def parse_plan(text: str, question: str, most: int = 3) -> list[dict]:
     return [{"step_id": i + 1, "tool": s["tool"], "args": s.get("args") or {}} for i, s in enumerate(steps[:most])] or [{"step_id": 1, "tool": "semantic_search", "args": {"query": question}}]
 
 
+def parse_evaluation(text: str) -> dict | None:
+    """What an evaluator said: sufficient, failed_steps (ids), missing; None if it holds no such object. Code fences and talk around it do not matter."""
+    m = re.search(r"\{.*\}", re.sub(r"```(?:json)?", "", text or ""), re.S)
+    try:
+        said = json.loads(m[0]) if m else None
+    except ValueError:
+        said = None
+    if not isinstance(said, dict) or not isinstance(said.get("sufficient"), bool):
+        return None
+    return {"sufficient": said["sufficient"], "failed_steps": [int(x) for x in said.get("failed_steps") or [] if str(x).isdigit()], "missing": [str(x) for x in said.get("missing") or []]}
+
+
 def chat_prompt(turns: DataFrame, conversation: str, order: str, role: str, text: str) -> DataFrame:
     """(conversation, prompt): its turns in order as ``ROLE: text``, with blank lines between."""
     said = F.concat(F.upper(role), F.lit(": "), F.coalesce(text, F.lit("")))
@@ -55,11 +67,15 @@ def heuristic_verdicts(outputs: DataFrame, question: str, output: str) -> DataFr
 
 @dataclass
 class Agent:
-    """Runs plans over a registry of tools; ``planner``, ``evaluator`` and ``writer`` may be models."""
+    """Runs plans over a registry of tools; ``planner``, ``evaluator`` and ``writer`` may be models.
+
+    An evaluator says whether results suffice, or gives a text for ``parse_evaluation``: steps that it calls failed are pruned, what
+    is missing goes to the next plan. One that says nothing usable is passed over.
+    """
 
     tools: dict[str, Tool]
     planner: Callable[[str, list[str]], str] | None = None
-    evaluator: Callable[[str, list[dict]], bool] | None = None
+    evaluator: Callable[[str, list[dict]], bool | str] | None = None
     writer: Callable[[str, list[str]], str] | None = None
     most_plans: int = 2
     trace: list[dict] = field(default_factory=list)
@@ -96,10 +112,18 @@ class Agent:
                 symbol = self._symbol(r, symbol)
                 r["status"] = "VERIFIED" if self._good(r) else "PRUNED"
                 results.append(r)
+            verdict = self.evaluator(question, results) if self.evaluator else None
+            if isinstance(verdict, str):
+                said = parse_evaluation(verdict)
+                verdict = said and said["sufficient"]
+                for r in results:
+                    if said and r["step_id"] in said["failed_steps"]:
+                        r["status"] = "PRUNED"
+                bad += [f"missing: {x}" for x in said["missing"]] if said else []
             self.trace += results
-            facts += [json.dumps(r["output"], default=str, sort_keys=True) for r in results if self._good(r)]
+            facts += [json.dumps(r["output"], default=str, sort_keys=True) for r in results if r["status"] == "VERIFIED"]
             bad += [f"{r['tool']} found nothing" for r in results if not self._good(r)]
-            if self.evaluator(question, results) if self.evaluator else any(map(self._good, results)):
+            if verdict if verdict is not None else any(map(self._good, results)):
                 break
         facts = list(dict.fromkeys(facts))
         if self.writer and facts:

@@ -5,9 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.graph import PropertyGraph
 from loomgraph.storage import checkpointed
 
 
+def cycle_input(graph: PropertyGraph, edge_types: list[str], labels: tuple[str, ...] = ("File", "Function", "Class")) -> DataFrame:
+    """(src, target): the links of the types between nodes of the labels, dunder names left out. All of them, unlike a sample of the first."""
+    name = F.coalesce("name", F.lit(""))
+    kept = graph.nodes.where(F.col("label").isin(*labels) & ~(name.startswith("__") & name.endswith("__"))).select("id").distinct()
+    links = graph.edges.where(F.col("edge").isin(*edge_types)).select("src", "target").distinct()
+    links = links.join(kept.withColumnRenamed("id", "src"), "src", "left_semi")
+    return links.join(kept.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+def matching(nodes: DataFrame, symbol: str) -> DataFrame:
+    """(id): nodes whose name or id holds a symbol, whatever the case."""
+    part = symbol.lower()
+    return nodes.where(F.lower(F.coalesce("name", F.lit(""))).contains(part) | F.lower("id").contains(part)).select("id").distinct()
+
+
+def components_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of ``found`` (id, component) the components that hold any of ``wanted`` (id)."""
+    own = found.join(wanted.select("id").distinct(), "id", "left_semi").select("component").distinct()
+    return found.join(own, "component", "left_semi").select("id", "component")
+
+
+def through(cycles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of ``cycles`` (cycle, length) those with any of ``wanted`` (id) among their nodes."""
+    members = cycles.select("cycle", F.explode(F.split("cycle", " -> ")).alias("id"))
+    return cycles.join(members.join(wanted.select("id").distinct(), "id", "left_semi").select("cycle").distinct(), "cycle", "left_semi")
+
+
 def _trimmed(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Edges without those at nodes that have no way in or no way out, again and again."""
     edges, before = checkpointed(edges), -1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import io
 import re
+import sys
 import tokenize
 import warnings
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAGGED = "kind string, id string, name string, file_path string, a string, b string, c string, items array<string>, more array<string>, start_line int, end_line int, flag boolean"
+TAGGED = "kind string, id string, name string, file_path string, a string, b string, c string, items array<string>, more array<string>, start_line int, end_line int, flag boolean, text string"
 _COLUMNS = [x.split()[0] for x in TAGGED.split(", ")]
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _VERBS = ("get", "post", "put", "delete", "patch", "route", "websocket", "head", "options")
@@ -67,7 +68,7 @@ class _File:
 
     def run(self) -> list[tuple]:
         p = self.path
-        self.add("File", p, p.rpartition("/")[2], a=ast.get_docstring(self.tree), end_line=len(self.lines), items=self.lines)
+        self.add("File", p, p.rpartition("/")[2], a=ast.get_docstring(self.tree), end_line=len(self.lines), text="\n".join(self.lines))
         self._module_variables(self.tree.body, set())
         for stmt in self.tree.body:
             self._import(stmt)
@@ -101,6 +102,23 @@ class _File:
                 if x.name != "*":
                     self.add("Import", f"{self.path}::import::{module}::{x.name}", None, a=module, b=x.name, c=x.asname, flag=True)
 
+    def _slice(self, node: ast.AST) -> str:
+        return "\n".join(self.lines[node.lineno - 1 : node.end_lineno])
+
+    def _bases(self, node: ast.ClassDef) -> str:
+        """The list of bases and keywords in brackets as it is written."""
+        args = [*node.bases, *node.keywords]
+        if not args:
+            return "()"
+        source = "\n".join(self.lines).encode()
+        starts = [0]
+        for line in self.lines:
+            starts.append(starts[-1] + len(line.encode()) + 1)
+        at = lambda line, col: starts[line - 1] + col
+        first = min(at(x.lineno, x.col_offset) for x in args)
+        last = max(at(x.end_lineno, x.end_col_offset) for x in args)
+        return source[source.rfind(b"(", at(node.lineno, node.col_offset), first) : source.find(b")", last) + 1].decode()
+
     def _definitions(self, node: ast.AST, cls: str | None) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.ClassDef):
@@ -115,13 +133,12 @@ class _File:
     def _class(self, node: ast.ClassDef) -> None:
         id = f"{self.path}::{node.name}"
         bases = [ast.unparse(b) for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
-        inside = [ast.unparse(b) for b in node.bases] + [f"{k.arg}={ast.unparse(k.value)}" if k.arg else f"**{ast.unparse(k.value)}" for k in node.keywords]
         attributes: dict[str, int] = {}
         for stmt in node.body:
             for target in _targets(stmt):
                 for name in _names(target):
                     attributes.setdefault(name.id, name.lineno)
-        self.add("Class", id, node.name, a=f"({', '.join(inside)})", b=ast.get_docstring(node), items=bases, more=sorted(attributes), start_line=node.lineno, end_line=node.end_lineno)
+        self.add("Class", id, node.name, a=self._bases(node), b=ast.get_docstring(node), items=bases, more=sorted(attributes), start_line=node.lineno, end_line=node.end_lineno, text=self._slice(node))
         for name, line in attributes.items():
             self.add("ClassAttribute", f"{id}::class_attr::{name}", name, a=id, b=node.name, start_line=line)
 
@@ -129,7 +146,7 @@ class _File:
         id = f"{self.path}::{cls}.{node.name}" if cls else f"{self.path}::{node.name}"
         args = node.args
         params = [x.arg for x in (*args.posonlyargs, *args.args)] + ([f"*{args.vararg.arg}"] if args.vararg else []) + [x.arg for x in args.kwonlyargs] + ([f"**{args.kwarg.arg}"] if args.kwarg else [])
-        self.add("Function", id, node.name, a=f"({ast.unparse(args)})", b=cls, c=ast.get_docstring(node), items=params, start_line=node.lineno, end_line=node.end_lineno, flag=cls is not None)
+        self.add("Function", id, node.name, a=f"({ast.unparse(args)})", b=cls, c=ast.get_docstring(node), items=params, start_line=node.lineno, end_line=node.end_lineno, flag=cls is not None, text=self._slice(node))
         for x in params:
             self.add("Parameter", f"{id}::param::{x}", x, a=id)
         for d in node.decorator_list:
@@ -155,7 +172,7 @@ class _File:
         if isinstance(node, _DEFS):
             for d in node.decorator_list:
                 self._visit(d, scope, cls, local)
-            plain = {a.arg for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs)}
+            plain = self._plain_parameters(node.args)
             shared = {n for x in ast.walk(node) if isinstance(x, (ast.Global, ast.Nonlocal)) for n in x.names}
             own = {n.id for s in node.body for t in _targets(s) for n in _names(t)}
             self._scope(node.body, f"{self.path}::{cls}.{node.name}" if cls else f"{self.path}::{node.name}", None, (plain | own) - shared)
@@ -177,6 +194,13 @@ class _File:
         for child in ast.iter_child_nodes(node):
             self._visit(child, scope, cls, local)
 
+    @staticmethod
+    def _plain_parameters(args: ast.arguments) -> set[str]:
+        """Parameters that are a name alone: without annotation, default or star."""
+        before = [*args.posonlyargs, *args.args]
+        bare = before[: len(before) - len(args.defaults)] + [a for a, d in zip(args.kwonlyargs, args.kw_defaults) if d is None]
+        return {a.arg for a in bare if a.annotation is None}
+
     def _edge(self, src: str, edge: str, target: str, line: int | None = None) -> None:
         self.add("Edge", src, target, a=edge, start_line=line)
 
@@ -197,7 +221,7 @@ def extract(files: DataFrame) -> DataFrame:
                         warnings.simplefilter("ignore")
                         rows += _File(path, bytes(content or b"").decode("utf-8", "replace").removeprefix("﻿")).run()
                 except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-                    rows.append(("_error", path, None, path, f"{type(e).__name__}: {e}", *[None] * 7))
+                    rows.append(("_error", path, None, path, f"{type(e).__name__}: {e}", *[None] * 8))
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return files.where("file_path is not null").select("file_path", "content").mapInPandas(run, TAGGED)
@@ -236,14 +260,14 @@ def _first(rows: DataFrame) -> DataFrame:
 
 
 def with_internal(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``imports`` with is_internal: a leading dot, or a scanned file or folder of that path (from the root or below one folder)."""
+    """``imports`` with is_internal: a leading dot, or, but for the standard library's modules, a scanned file or folder of that path (from the root or below one folder)."""
     parts = F.split("file_path", "/")
     stem = F.regexp_replace("file_path", r"(?:/__init__)?\.py$", "")
     stems = files.select(parts.alias("parts"), F.split(stem, "/").alias("s"))
     tails = stems.select(F.explode(F.array(F.col("s"), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(1))))).alias("s"))
     paths = tails.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda n: F.array_join(F.slice(F.col("s"), 1, n), "."))).alias("known")).distinct()
     known = paths.select(F.col("known").alias("module"), F.lit(True).alias("hit"))
-    return imports.join(known, "module", "left").withColumn("is_internal", F.coalesce(F.col("module").startswith(".") | F.col("hit"), F.lit(False))).drop("hit")
+    return imports.join(known, "module", "left").withColumn("is_internal", F.coalesce(F.col("module").startswith(".") | (F.col("hit") & ~F.split("module", r"\.")[0].isin(*sorted(sys.stdlib_module_names))), F.lit(False))).drop("hit")
 
 
 def edge_table(tagged: DataFrame) -> DataFrame:
@@ -279,22 +303,20 @@ def code_chunks(tagged: DataFrame) -> DataFrame:
         return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"# {title}: "), value))
 
     none = F.array().cast("array<string>")
-    lines = tagged.where("kind = 'File'").select("file_path", F.col("items").alias("lines"))
     top = tagged.where("kind = 'Comment' and flag and name <> ''").groupBy("file_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "name"))), lambda x: x["name"]).alias("comments"))
     files = tagged.where("kind = 'File'").join(top, "file_path", "left").withColumn("comments", F.coalesce("comments", none))
     code = lambda text: F.concat(F.lit("\n# Code:\n"), text)
     file_chunks = files.select(
         F.col("id").alias("node_id"), "file_path", "name", F.lit("file").alias("chunk_type"), F.col("a").alias("docstring"), F.col("comments").alias("inline_comments"), F.lit(1).alias("start_line"), "end_line",
-        F.concat_ws("\n", F.concat(F.lit("# File: "), "file_path"), section("Module Docstring", F.col("a")), section("Top-Level Comments", F.array_join("comments", ", ")), code(F.array_join("items", "\n"))).alias("content"),
+        F.concat_ws("\n", F.concat(F.lit("# File: "), "file_path"), section("Module Docstring", F.col("a")), section("Top-Level Comments", F.array_join("comments", ", ")), code(F.col("text"))).alias("content"),
     )
     out = file_chunks
     for kind in ("Function", "Class"):
-        rows = tagged.where(F.col("kind") == kind).join(comments_of(tagged, kind), "id", "left").join(lines, "file_path").withColumn("comments", F.coalesce("comments", none))
+        rows = tagged.where(F.col("kind") == kind).join(comments_of(tagged, kind), "id", "left").withColumn("comments", F.coalesce("comments", none))
         doc = F.col("c") if kind == "Function" else F.col("b")
-        body = F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
         extra = F.concat(F.lit("# Signature: "), "name", "a") if kind == "Function" else F.concat(F.lit("# Bases: "), F.array_join("items", ", "))
         out = out.unionByName(rows.select(
             F.col("id").alias("node_id"), "file_path", "name", F.lit(kind.lower()).alias("chunk_type"), doc.alias("docstring"), F.col("comments").alias("inline_comments"), "start_line", "end_line",
-            F.concat_ws("\n", F.concat(F.lit("# File: "), "file_path"), F.concat(F.lit(f"# {kind}: "), "name"), extra, section("Docstring", doc), section("Comments", F.array_join("comments", ", ")), code(body)).alias("content"),
+            F.concat_ws("\n", F.concat(F.lit("# File: "), "file_path"), F.concat(F.lit(f"# {kind}: "), "name"), extra, section("Docstring", doc), section("Comments", F.array_join("comments", ", ")), code(F.col("text"))).alias("content"),
         ))
     return out

@@ -38,6 +38,13 @@ def duplicate_ids(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
 
 
+def checked_ids(nodes: DataFrame) -> DataFrame:
+    """``nodes`` after a check that no id occurs twice, as a uniqueness constraint would make at writing."""
+    if twice := duplicate_ids(nodes).limit(3).collect():
+        raise ValueError(f"ids that occur more than once: {', '.join(str(r['id']) for r in twice)}")
+    return nodes
+
+
 def ingest_edges(edges: DataFrame, nodes: DataFrame, by_name: tuple[str, ...] = BY_NAME) -> DataFrame:
     """Edges whose ends exist, each once: src must be a node; target too, but for the types that make their target by name.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.hierarchy import module_files
-from loomgraph.storage import checkpointed
+from loomgraph.storage import checkpointed, hot_keys, lookup
 
 
 def alias_targets(imports: DataFrame, files: DataFrame | None = None, strict_reference: bool = False) -> DataFrame:
@@ -59,21 +59,34 @@ def resolved_edges(edges: DataFrame, aliases: DataFrame, functions: DataFrame, c
     return rows.join(best, ["edge", "resolved"]).select("src", F.col("kind").alias("edge"), F.col("resolved").alias("target")).distinct()
 
 
-def attribute_uses(edges: DataFrame, inherits: DataFrame, attributes: DataFrame, max_depth: int = 30) -> DataFrame:
-    """(src, edge, target): RESOLVED_USES_INST_ATTR from methods to the attribute of their class or the nearest class above.
+def ordered_bases(classes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(src, target, position): the classes that a class's bases mean, with the place of each base in the list."""
+    bases = classes.select(F.col("id").alias("src"), F.posexplode("bases").alias("line", "target")).withColumn("edge", F.lit("INHERITS_FROM"))
+    rows = resolved_targets(bases, aliases).select("src", F.col("resolved").alias("target"), F.col("line").alias("position"))
+    return rows.join(classes.select(F.col("id").alias("target")).distinct(), "target", "left_semi").select("src", "target", "position")
 
-    ``inherits``: src, target, in the order of bases by target; ``attributes``: id, name, class_id. Ways up go level by
-    level, and a class is passed once, so cyclic bases end.
+
+def attribute_uses(edges: DataFrame, inherits: DataFrame, attributes: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+    """(src, edge, target): RESOLVED_USES_INST_ATTR from methods to the attribute of their class or of the first class above that has it.
+
+    ``inherits``: src, target, and position if the order of bases is known (else bases are in the order of targets); ``attributes``: id, name, class_id.
+    First is meant depth first: a base and all above it come before the next base. So each class above is reached with the
+    list of positions on the way, the smallest list wins, and ways go on from a class only where its list became smaller.
+    A way round a cycle only makes a list longer, so cyclic bases end; there is no limit of depth.
     """
     uses = edges.where("edge = 'USES_INSTANCE_ATTRIBUTE'").select("src", F.col("target").alias("name"), F.regexp_replace("src", r"\.[^.]*$", "").alias("class_id")).distinct()
-    up = inherits.select(F.col("src").alias("class_id"), F.col("target").alias("parent")).distinct()
-    seen = checkpointed(uses.select("class_id").distinct().select(F.col("class_id").alias("own"), "class_id", F.lit(0).alias("level")))
-    frontier = seen
-    for level in range(1, max_depth + 1):
-        above = frontier.join(up, "class_id").select("own", F.col("parent").alias("class_id")).distinct()
-        frontier = checkpointed(above.join(seen, ["own", "class_id"], "left_anti").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    held = seen.join(attributes.select("class_id", "name", F.col("id").alias("attribute")), "class_id").groupBy("own", "name").agg(F.min_by("attribute", F.struct("level", "attribute")).alias("target"))
+    place = F.col("position").cast("int") if "position" in inherits.columns else F.lit(0)
+    # One row a class, so that a base that many have is spread (``lookup``).
+    up = inherits.groupBy(F.col("src").alias("class_id")).agg(F.array_sort(F.collect_set(F.struct(place.alias("position"), F.col("target").alias("parent")))).alias("bases"))
+    if "position" not in inherits.columns:
+        up = up.withColumn("bases", F.transform("bases", lambda x, i: F.struct(i.cast("int").alias("position"), x["parent"].alias("parent"))))
+    up = checkpointed(up)
+    best = frontier = checkpointed(uses.select(F.col("class_id").alias("own"), "class_id", F.array().cast("array<int>").alias("way")).distinct())
+    while n := frontier.count():
+        above = lookup(frontier, up, "class_id", hot_keys(frontier, "class_id", n, hot_rows), "inner").select("own", "way", F.inline("bases"))
+        above = above.groupBy("own", F.col("parent").alias("class_id")).agg(F.min(F.concat("way", F.array("position"))).alias("way"))
+        known = best.select("own", "class_id", F.col("way").alias("known"))
+        frontier = checkpointed(above.join(known, ["own", "class_id"], "left").where("known is null or way < known").select("own", "class_id", "way"))
+        best = checkpointed(best.unionByName(frontier).groupBy("own", "class_id").agg(F.min("way").alias("way")))
+    held = best.join(attributes.select("class_id", "name", F.col("id").alias("attribute")), "class_id").groupBy("own", "name").agg(F.min_by("attribute", F.struct("way", "attribute")).alias("target"))
     return uses.select("src", "name", F.col("class_id").alias("own")).join(held, ["own", "name"]).select("src", F.lit("RESOLVED_USES_INST_ATTR").alias("edge"), "target").distinct()

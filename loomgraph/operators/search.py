@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -33,11 +34,17 @@ def embed_query(text: str, size: int = 128) -> tuple[float, ...]:
     return tuple(hashed_embedding(text, size))
 
 
-def embed(rows: DataFrame, text: str, size: int = 128) -> DataFrame:
-    """``rows`` with ``vector``, the embedding of a text column; null texts are embedded as empty."""
+def embed(rows: DataFrame, text: str, size: int = 128, model: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
+    """``rows`` with ``vector``, the embedding of a text column; null texts are embedded as empty.
+
+    ``model`` gives a row of numbers for each of a batch of texts; it is called on the executors, so it has to be
+    picklable. Without one, words are hashed.
+    """
 
     @F.pandas_udf("array<float>")
     def vector(texts: pd.Series) -> pd.Series:
+        if model is not None:
+            return pd.Series(list(np.asarray(model(texts.tolist()), np.float32)), index=texts.index)
         return texts.map(lambda t: hashed_embedding(t, size).astype(np.float32))
 
     return rows.withColumn("vector", vector(F.coalesce(text, F.lit(""))))
@@ -149,6 +156,24 @@ def bm25(documents: DataFrame, key: str, text: str, terms: list[str], k: int | N
     return scored.orderBy(F.col("score").desc(), key).limit(k) if k else scored
 
 
+def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, key, tf, len): an inverted index: how often each word is in each text, and the text's words. Texts without words have no row."""
+    words = documents.select(key, tokens(F.coalesce(text, F.lit(""))).alias("w")).select(key, F.size("w").alias("len"), F.explode("w").alias("term"))
+    return words.groupBy("term", key, "len").agg(F.count("*").alias("tf")).select("term", key, "tf", "len")
+
+
+def bm25_index(index: DataFrame, key: str, terms: list[str], texts: int, words: int, k: int | None = None) -> DataFrame:
+    """``bm25`` from ``postings``, of ``texts`` texts with ``words`` words in all: only the terms' postings are read."""
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    own = index.where(F.col("term").isin(*terms))
+    idf = own.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (texts - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    average = words / max(texts, 1) or 1.0
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))
+    # A row a term of the query.
+    scored = own.join(F.broadcast(idf), "term").groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    return scored.orderBy(F.col("score").desc(), key).limit(k) if k else scored
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, key: str, alpha: float = 0.5, k: int = 5) -> DataFrame:
     """(key, score): the k best of alpha x dense + (1 - alpha) x sparse score, each scaled to 0..1 over its own results.
 

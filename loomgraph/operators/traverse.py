@@ -1,6 +1,6 @@
 """Breadth-first traversal of property graphs, and the tools that are made of it.
 
-A level is one join of the frontier with the edges and one anti join with what was visited; levels are checkpointed. The
+Links that may be taken are written once; a level is one join of the frontier with them and one anti join with what was visited, over ids. Levels are checkpointed. The
 frontier may be any size: Spark broadcasts it while it measures small and shuffles it otherwise.
 """
 
@@ -28,9 +28,10 @@ def is_boilerplate(name: Column) -> Column:
     return (name.startswith("__") & name.endswith("__")) | name.isin(*BUILTINS)
 
 
-def anchors(nodes: DataFrame, symbols: list[str], labels: list[str] | None = None, limit: int = 100) -> DataFrame:
-    """The nodes that symbols mean: by name, by id, or by the end of an id after a dot or ``::``; ordered by id, at most ``limit``.
+def anchors(nodes: DataFrame, symbols: list[str], labels: list[str] | None = None, limit: int | None = None, file_path: str | None = None) -> DataFrame:
+    """The nodes that symbols mean: by name, by id, or by the end of an id after a dot or ``::``; all of them, or the first ``limit`` by id.
 
+    ``file_path``: only nodes of that file, or whose id begins so.
     Symbols come from a caller, so they are few; an id's possible ends are compared as equalities, not as a theta join.
     """
     c = F.col("id")
@@ -40,7 +41,10 @@ def anchors(nodes: DataFrame, symbols: list[str], labels: list[str] | None = Non
         hit = hit | c.endswith("." + s) | c.endswith("::" + s)
     rows = nodes.where(hit)
     rows = rows.where(F.col("label").isin(*labels)) if labels else rows
-    return rows.dropDuplicates(["id"]).orderBy("id").limit(limit)
+    if file_path:
+        rows = rows.where(F.coalesce(F.col("file_path") == file_path, F.lit(False)) | c.startswith(file_path))
+    rows = rows.dropDuplicates(["id"])
+    return rows.orderBy("id").limit(limit) if limit else rows
 
 
 def one_hop(graph: PropertyGraph, frontier: DataFrame, direction: str, edge_types: list[str] | None = None, labels: list[str] | None = None, exclude_boilerplate: bool = True) -> DataFrame:
@@ -54,26 +58,25 @@ def one_hop(graph: PropertyGraph, frontier: DataFrame, direction: str, edge_type
     return rows.select(F.col(near).alias("id"), "edge", "line", F.col(far).alias("neighbor"), "neighbor_label", "neighbor_name")
 
 
-def bfs(graph: PropertyGraph, start: DataFrame, direction: str = "incoming", edge_types: list[str] | None = None, max_depth: int = 4, exclude_boilerplate: bool = False, expand_raw: bool = False) -> DataFrame:
+def bfs(graph: PropertyGraph, start: DataFrame, direction: str = "incoming", edge_types: list[str] | None = None, max_depth: int = 4, exclude_boilerplate: bool = False, expand_raw: bool = False, labels: list[str] | None = None, include_raw: bool = True) -> DataFrame:
     """(id, distance, parent, edge): every node within ``max_depth`` (1 to 30) links of the start, once, at its least distance.
 
     parent and edge are those of the smallest (edge, parent id) that reaches it at that distance. Placeholders of names
-    are reached but not passed, unless ``expand_raw``. direction ``both`` is two traversals; a node in both takes the
+    are reached but not passed, unless ``expand_raw``, and not even reached without ``include_raw``. With ``labels`` only nodes of these are reached. direction ``both`` is two traversals; a node in both takes the
     outgoing one's distance.
     """
     if direction == "both":
-        inward = bfs(graph, start, "incoming", edge_types, max_depth, exclude_boilerplate, expand_raw)
-        outward = bfs(graph, start, "outgoing", edge_types, max_depth, exclude_boilerplate, expand_raw)
+        inward = bfs(graph, start, "incoming", edge_types, max_depth, exclude_boilerplate, expand_raw, labels, include_raw)
+        outward = bfs(graph, start, "outgoing", edge_types, max_depth, exclude_boilerplate, expand_raw, labels, include_raw)
         return outward.unionByName(inward.join(outward.select("id"), "id", "left_anti"))
     depth = max(1, min(max_depth, 30))
     none = F.lit(None).cast("string")
     seen = checkpointed(start.select("id").distinct().select("id", F.lit(0).alias("distance"), none.alias("parent"), none.alias("edge"), F.lit(False).alias("raw")))
-    frontier = seen
+    links, frontier = checkpointed(_links(graph, direction, edge_types, exclude_boilerplate, labels, include_raw)), seen
     for level in range(1, depth + 1):
-        hop = one_hop(graph, frontier.where("not raw"), direction, edge_types, None, exclude_boilerplate)
-        new = hop.join(seen.select(F.col("id").alias("neighbor")), "neighbor", "left_anti")
-        best = F.min(F.struct("edge", "id", F.col("neighbor_label").alias("label"))).alias("m")
-        raw = F.lit(False) if expand_raw else F.col("m.label").isin(*RAW_LABELS)
+        new = frontier.where("not raw").select("id").join(links, "id").join(seen.select(F.col("id").alias("neighbor")), "neighbor", "left_anti")
+        best = F.min(F.struct("edge", "id", "raw")).alias("m")
+        raw = F.lit(False) if expand_raw else F.col("m.raw")
         frontier = checkpointed(new.groupBy("neighbor").agg(best).select(F.col("neighbor").alias("id"), F.lit(level).alias("distance"), F.col("m.id").alias("parent"), F.col("m.edge").alias("edge"), raw.alias("raw")))
         if frontier.isEmpty():
             break
@@ -83,6 +86,17 @@ def bfs(graph: PropertyGraph, start: DataFrame, direction: str = "incoming", edg
     return seen.select("id", "distance", "parent", "edge")
 
 
+def _links(graph: PropertyGraph, direction: str, edge_types: list[str] | None, exclude_boilerplate: bool, labels: list[str] | None, include_raw: bool) -> DataFrame:
+    """(id, neighbor, edge, raw): the links that a traversal may take. Labels and names are looked up here, once, so that levels join ids alone."""
+    near, far = ("target", "src") if direction == "incoming" else ("src", "target")
+    edges = graph.edges.where(F.col("edge").isin(*edge_types)) if edge_types else graph.edges
+    raw = F.coalesce(F.col("label").isin(*RAW_LABELS), F.lit(False))
+    nodes = graph.nodes.where(F.col("label").isin(*labels)) if labels else graph.nodes
+    nodes = nodes.where(~is_boilerplate(F.col("name"))) if exclude_boilerplate else nodes
+    nodes = nodes if include_raw else nodes.where(~raw)
+    return edges.select(F.col(near).alias("id"), F.col(far).alias("neighbor"), "edge").join(nodes.select(F.col("id").alias("neighbor"), raw.alias("raw")), "neighbor").select("id", "neighbor", "edge", "raw")
+
+
 def chains(found: DataFrame) -> DataFrame:
     """(id, distance, chain): the ids from each node of ``bfs`` back to the start, joined by `` -> ``."""
     levels = found.agg(F.max("distance")).first()[0]
@@ -136,6 +150,21 @@ def shortest_paths(graph: PropertyGraph, sources: DataFrame, sinks: DataFrame, e
     return seen.where("hops > 0").join(sinks.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("source", F.col("node").alias("sink"), "hops")
 
 
+def parameter_lineage(graph: PropertyGraph, functions: DataFrame, max_depth: int = 30) -> DataFrame:
+    """(function, caller, hops, line, bound_argument): who calls each function (id), directly or through others.
+
+    line is that of a direct call, for which the argument is bound by position as far as edges tell; callers of callers have none.
+    """
+    back = PropertyGraph(graph.nodes, graph.edges.where("edge = 'RESOLVED_CALLS'").select(F.col("target").alias("src"), "edge", F.col("src").alias("target"), "line"))
+    found = shortest_paths(back, functions, graph.nodes, ["RESOLVED_CALLS"], max_depth).select(F.col("source").alias("function"), F.col("sink").alias("caller"), "hops")
+    last = lambda c: F.regexp_extract(c, r"([^.:]+)$", 1)
+    calls = graph.edges.where("edge = 'CALLS'").select(F.col("src").alias("caller"), last("target").alias("called"), "line").distinct()
+    lines = found.where("hops = 1").withColumn("called", last("function")).join(calls, ["caller", "called"], "left")
+    direct = lines.select("function", "caller", "hops", "line", F.lit("positional/inferred").alias("bound_argument"))
+    none = F.lit(None)
+    return direct.unionByName(found.where("hops > 1").select("function", "caller", "hops", none.cast("int").alias("line"), none.cast("string").alias("bound_argument")))
+
+
 def reaching_tests(graph: PropertyGraph, target: DataFrame, edge_types: list[str], max_depth: int = 3) -> DataFrame:
     """(id, distance): functions named ``test_*`` or in a path with ``test`` that reach the target within ``max_depth`` links."""
     found = bfs(graph, target, "incoming", edge_types, max_depth).join(graph.nodes, "id")

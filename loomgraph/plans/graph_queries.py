@@ -39,8 +39,7 @@ _BOILER = "(name LIKE '\\_\\_%' ESCAPE '\\' AND name LIKE '%\\_\\_' ESCAPE '\\')
 
 
 def _tpch(spark: SparkSession, sf_dir: str) -> graph.PropertyGraph:
-    """The graph that the queries share, kept as a stored graph would be."""
-    return corpus.tpch_graph(spark, sf_dir).persist()
+    return corpus.tpch_graph(spark, sf_dir)
 
 
 def _one(spark: SparkSession, *ids: str) -> DataFrame:
@@ -52,12 +51,6 @@ def node_upsert_last_wins(spark, sf_dir):
     return rows.select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
-def edge_ingest_inner_dedupe(spark, sf_dir):
-    g = _tpch(spark, sf_dir)
-    nodes = g.nodes.where("label <> 'Part' or pmod(cast(split(id, '::')[1] as int), 2) = 0")
-    return graph.ingest_edges(g.edges, nodes, ())
-
-
 def placeholder_targets(spark, sf_dir):
     g = corpus.import_graph(spark, sf_dir)
     return graph.placeholders(g.edges, g.nodes.where("label = 'File'"), "CALLS").select("name", "label")
@@ -91,11 +84,6 @@ def bfs_paths(spark, sf_dir):
     return traverse.chains(traverse.bfs(_tpch(spark, sf_dir), _one(spark, "Order::1"), "outgoing", None, 5))
 
 
-def raw_calls(spark, sf_dir):
-    g = corpus.import_graph(spark, sf_dir)
-    return traverse.raw_calls(g, g.nodes.where("label = 'File' and id like 'amber-%'")).select("caller_id", "target_name")
-
-
 def file_index(spark, sf_dir):
     g = corpus.import_graph(spark, sf_dir)
     found = traverse.bfs(g, _one(spark, "threading", "functools"), "incoming", None, 2, expand_raw=True)
@@ -120,10 +108,6 @@ def cyclic_scc(spark, sf_dir):
     return cycles.cyclic_components(corpus.event_graph(spark, sf_dir))
 
 
-def simple_cycles(spark, sf_dir):
-    return cycles.simple_cycles(corpus.event_graph(spark, sf_dir), 4)
-
-
 def _cycle_types(spark, sf_dir, max_length):
     edges = corpus.event_graph(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct()
@@ -131,10 +115,6 @@ def _cycle_types(spark, sf_dir, max_length):
     return cycles.cycle_kinds(cycles.simple_cycles(edges, max_length), nodes.withColumn("label", label))
 
 
-def cycle_types(spark, sf_dir):
-    return _cycle_types(spark, sf_dir, 3)
-
-
 def coupling(spark, sf_dir):
     """Files of a repository and how many of its files import each other's modules."""
     rows = table(spark, sf_dir, "import_nodes").where("file_path is not null and module is not null").select("file_path", "module").distinct()
@@ -151,12 +131,6 @@ def coupling(spark, sf_dir):
 _REACH = ["PLACED_BY", "CUST_NATION", "IN_REGION", "HAS_ITEM", "SUPPLIED_BY", "SUPP_NATION"]
 
 
-def dead_reachability(spark, sf_dir):
-    g = _tpch(spark, sf_dir)
-    entries = g.nodes.where("label = 'Order' and cast(split(id, '::')[1] as bigint) <= 500").select("id")
-    return dead.dead_by_reach(g, entries, _REACH, ["Customer", "Part", "Supplier", "Nation"]).select("id", "label")
-
-
 def dead_indegree(spark, sf_dir):
     return dead.dead_by_degree(_tpch(spark, sf_dir), ["SUPP_NATION", "PLACED_BY"], ["Nation", "Customer", "Part"]).select("id", "label")
 
@@ -170,22 +144,7 @@ def _sinks(g):
     return g.nodes.where(F.col("name").rlike("NATION_7|EUROPE|ASIA") | (F.col("label") == "Nation"))
 
 
-def taint_shortest(spark, sf_dir):
-    g = _tpch(spark, sf_dir)
-    sources = g.nodes.where("label = 'Order' and cast(split(id, '::')[1] as bigint) <= 40")
-    return traverse.shortest_paths(g, sources, _sinks(g), _REACH, 4)
-
-
-def test_trace(spark, sf_dir):
-    g = _tpch(spark, sf_dir)
-    found = traverse.bfs(g, _one(spark, "Nation::3"), "incoming", None, 3).join(g.nodes, "id")
-    return found.where("distance > 0 and label = 'Order'").select("id", "distance")
-
-
-# The queries above that stand beside SQL take a part of the tables or short cycles; these take all, and have no SQL.
-
-
-def edge_ingest_whole(spark, sf_dir):
+def edge_ingest_inner_dedupe(spark, sf_dir):
     """All edges, and classes' links to their parents, of which many lead nowhere."""
     g = _tpch(spark, sf_dir)
     none = F.lit(None).cast("string")
@@ -195,27 +154,27 @@ def edge_ingest_whole(spark, sf_dir):
     return graph.ingest_edges(g.edges.unionByName(links), g.nodes.unionByName(classes), ())
 
 
-def raw_calls_whole(spark, sf_dir):
+def raw_calls(spark, sf_dir):
     g = corpus.import_graph(spark, sf_dir)
     return traverse.raw_calls(g, g.nodes.where("label = 'File'")).select("caller_id", "target_name")
 
 
-def simple_cycles_whole(spark, sf_dir):
+def simple_cycles(spark, sf_dir):
     return cycles.simple_cycles(corpus.event_graph(spark, sf_dir), 6)
 
 
-def cycle_types_whole(spark, sf_dir):
+def cycle_types(spark, sf_dir):
     return _cycle_types(spark, sf_dir, 6)
 
 
-def dead_reachability_whole(spark, sf_dir):
+def dead_reachability(spark, sf_dir):
     """What no urgent order leads to."""
     urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     entries = urgent.select(F.concat(F.lit("Order::"), F.col("o_orderkey").cast("string")).alias("id"))
     return dead.dead_by_reach(_tpch(spark, sf_dir), entries, _REACH, ["Customer", "Part", "Supplier", "Nation"]).select("id", "label")
 
 
-def taint_shortest_whole(spark, sf_dir):
+def taint_shortest(spark, sf_dir):
     """From every order. Sinks are few and orders many, so the ways are followed from the sinks back."""
     g = _tpch(spark, sf_dir)
     back = graph.PropertyGraph(g.nodes, g.edges.select(F.col("target").alias("src"), "edge", F.col("src").alias("target"), "line"))
@@ -232,7 +191,7 @@ def _bfs_sql(start: str, direction: str, depth: int, label: str = "id, min(d) AS
     return f"WITH RECURSIVE {TPCH}, walk(id, d) AS (SELECT id, 0 FROM (VALUES {start}) t(id) UNION SELECT e.{far}, d + 1 FROM walk w JOIN edges e ON e.{near} = w.id WHERE d < {depth} {where}) SELECT {label} FROM walk GROUP BY id"
 
 
-_NAMES = (node_upsert_last_wins, edge_ingest_inner_dedupe, placeholder_targets, anchor_resolve, one_hop_in, one_hop_out, bfs_incoming, bfs_outgoing, bfs_both, bfs_paths, raw_calls, file_index, blast_radius, blast_radius_summary, scc, cyclic_scc, simple_cycles, cycle_types, coupling, dead_reachability, dead_indegree, dead_buckets, taint_shortest, test_trace, edge_ingest_whole, raw_calls_whole, simple_cycles_whole, cycle_types_whole, dead_reachability_whole, taint_shortest_whole)
+_NAMES = (node_upsert_last_wins, edge_ingest_inner_dedupe, placeholder_targets, anchor_resolve, one_hop_in, one_hop_out, bfs_incoming, bfs_outgoing, bfs_both, bfs_paths, raw_calls, file_index, blast_radius, blast_radius_summary, scc, cyclic_scc, simple_cycles, cycle_types, coupling, dead_reachability, dead_indegree, dead_buckets, taint_shortest)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}
 
 _BOTH = f"""WITH RECURSIVE {TPCH},
@@ -261,7 +220,10 @@ def _cycles_sql(n: int) -> str:
 
 SQL: dict[str, str] = {
     "node_upsert_last_wins": "SELECT user_id, event_id, event_type, round(value, 6) AS value FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "edge_ingest_inner_dedupe": f"WITH {TPCH}, kept AS (SELECT id FROM nodes WHERE label <> 'Part' OR CAST(split_part(id, '::', 2) AS INT) % 2 = 0) SELECT DISTINCT src, edge, target, line FROM edges WHERE src IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)",
+    "edge_ingest_inner_dedupe": f"""WITH {TPCH}, classes AS (SELECT DISTINCT id FROM class_nodes WHERE id IS NOT NULL),
+      links AS (SELECT child_id AS src, 'INHERITS_FROM' AS edge, parent_id AS target, NULL::INT AS line FROM inheritance_map WHERE child_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY ingest_seq DESC) = 1),
+      ids AS (SELECT id FROM nodes UNION SELECT id FROM classes)
+      SELECT DISTINCT src, edge, target, line FROM (SELECT * FROM edges UNION ALL SELECT * FROM links) WHERE src IN (SELECT id FROM ids) AND target IN (SELECT id FROM ids)""",
     "placeholder_targets": f"WITH {IMPORTS} SELECT DISTINCT target AS name, 'Target' AS label FROM links WHERE target NOT IN (SELECT src FROM links)",
     "anchor_resolve": f"WITH {TPCH} SELECT DISTINCT id, label, name FROM nodes WHERE name IN ('NATION_3', 'EUROPE', '7', 'Region::1') OR id IN ('NATION_3', 'EUROPE', '7', 'Region::1') OR id LIKE '%::7' ORDER BY id LIMIT 100",
     "one_hop_in": f"WITH {TPCH} SELECT e.target AS id, e.edge, e.src AS neighbor, n.label AS neighbor_label, n.name AS neighbor_name FROM edges e JOIN nodes n ON n.id = e.src WHERE e.target IN ('Nation::3', 'Region::2') AND NOT ({_BOILER})",
@@ -270,7 +232,7 @@ SQL: dict[str, str] = {
     "bfs_outgoing": _bfs_sql("('Order::1'), ('Order::7')", "outgoing", 6),
     "bfs_both": _BOTH,
     "bfs_paths": _PATHS,
-    "raw_calls": f"WITH {IMPORTS} SELECT src AS caller_id, target AS target_name FROM links WHERE src LIKE 'amber-%' AND NOT ({_BOILER.replace('name', 'target')})",
+    "raw_calls": f"WITH {IMPORTS} SELECT src AS caller_id, target AS target_name FROM links WHERE NOT ({_BOILER.replace('name', 'target')})",
     "file_index": f"""WITH {IMPORTS}, hits AS (SELECT DISTINCT src FROM links WHERE target IN ('threading', 'functools')),
       rows AS (SELECT src AS file, 'File ' || regexp_extract(src, '([^/]*)$', 1) || ' (hop 1)' AS entry FROM hits
         UNION ALL SELECT DISTINCT 'unknown', 'Target ' || target || ' (hop 0)' FROM links WHERE target IN ('threading', 'functools'))
@@ -284,8 +246,8 @@ SQL: dict[str, str] = {
         (SELECT count(DISTINCT src) FROM hits) + CASE WHEN EXISTS (SELECT 1 FROM anchor) THEN 1 ELSE 0 END AS files""",
     "scc": f"WITH RECURSIVE {_MUTUAL} SELECT id, component FROM comp",
     "cyclic_scc": f"WITH RECURSIVE {_MUTUAL} SELECT component, count(*) AS size FROM comp GROUP BY component HAVING count(*) > 1 OR bool_or(id IN (SELECT src FROM links WHERE src = target))",
-    "simple_cycles": f"WITH RECURSIVE {_cycles_sql(4)} SELECT array_to_string(nodes, ' -> ') AS cycle, len(nodes) AS length FROM cyc",
-    "cycle_types": f"""WITH RECURSIVE {_cycles_sql(3)}, members AS (SELECT row_number() OVER () AS c, nodes FROM cyc),
+    "simple_cycles": f"WITH RECURSIVE {_cycles_sql(6)} SELECT array_to_string(nodes, ' -> ') AS cycle, len(nodes) AS length FROM cyc",
+    "cycle_types": f"""WITH RECURSIVE {_cycles_sql(6)}, members AS (SELECT row_number() OVER () AS c, nodes FROM cyc),
       labels AS (SELECT c, count(DISTINCT l) AS n, any_value(l) AS l FROM (SELECT c, CASE WHEN x LIKE 'c%' THEN 'Class' WHEN x LIKE 'p%' THEN 'Function' ELSE 'File' END AS l FROM (SELECT c, unnest(nodes) AS x FROM members)) GROUP BY c)
       SELECT CASE WHEN n > 1 THEN 'heterogeneous' WHEN l = 'File' THEN 'file_import' WHEN l = 'Function' THEN 'function_call' ELSE 'class_instantiation' END AS kind, count(*) AS cycles FROM labels GROUP BY 1""",
     "coupling": f"""WITH rows AS (SELECT DISTINCT file_path, module FROM import_nodes WHERE file_path IS NOT NULL AND module IS NOT NULL),
@@ -293,14 +255,12 @@ SQL: dict[str, str] = {
       links AS (SELECT DISTINCT file_path, stem || s AS target FROM stems, (VALUES ('.py'), ('/__init__.py')) t(s) WHERE stem || s IN (SELECT file_path FROM rows) AND file_path <> stem || s),
       o AS (SELECT file_path, count(*) AS imports FROM links GROUP BY 1), i AS (SELECT target AS file_path, count(*) AS imported_by FROM links GROUP BY 1)
       SELECT coalesce(o.file_path, i.file_path) AS file_path, coalesce(imports, 0) AS imports, coalesce(imported_by, 0) AS imported_by FROM o FULL JOIN i ON o.file_path = i.file_path""",
-    "dead_reachability": f"""WITH RECURSIVE {TPCH}, walk(id, d) AS (SELECT id, 0 FROM nodes WHERE label = 'Order' AND CAST(split_part(id, '::', 2) AS BIGINT) <= 500
+    "dead_reachability": f"""WITH RECURSIVE {TPCH}, walk(id, d) AS (SELECT 'Order::' || o_orderkey, 0 FROM orders WHERE o_orderpriority = '1-URGENT'
       UNION SELECT e.target, d + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE d < 15)
       SELECT id, label FROM nodes WHERE label IN ('Customer', 'Part', 'Supplier', 'Nation') AND id NOT IN (SELECT id FROM walk)""",
     "dead_indegree": f"WITH {TPCH} SELECT id, label FROM nodes WHERE label IN ('Nation', 'Customer', 'Part') AND id NOT IN (SELECT target FROM edges WHERE edge IN ('PLACED_BY', 'SUPP_NATION'))",
     "dead_buckets": f"WITH {TPCH} SELECT label, count(*) AS dead, 'no incoming edge' AS reason FROM nodes WHERE label IN ('Nation', 'Customer', 'Region') AND id NOT IN (SELECT target FROM edges WHERE edge IN ('PLACED_BY', 'SUPP_NATION')) GROUP BY ROLLUP (label)",
-    "taint_shortest": f"""WITH RECURSIVE {TPCH}, walk(source, node, hops) AS (SELECT id, id, 0 FROM nodes WHERE label = 'Order' AND CAST(split_part(id, '::', 2) AS BIGINT) <= 40
+    "taint_shortest": f"""WITH RECURSIVE {TPCH}, walk(source, node, hops) AS (SELECT id, id, 0 FROM nodes WHERE label = 'Order'
       UNION SELECT w.source, e.target, hops + 1 FROM walk w JOIN edges e ON e.src = w.node AND e.edge IN ({_REACH_SQL}) WHERE hops < 4)
       SELECT source, node AS sink, min(hops) AS hops FROM walk WHERE node IN (SELECT id FROM nodes WHERE label = 'Nation' OR regexp_matches(name, 'NATION_7|EUROPE|ASIA')) GROUP BY 1, 2 HAVING min(hops) > 0""",
-    "test_trace": f"""WITH RECURSIVE {TPCH}, walk(id, d) AS (SELECT 'Nation::3', 0 UNION SELECT e.src, d + 1 FROM walk w JOIN edges e ON e.target = w.id WHERE d < 3)
-      SELECT id, min(d) AS distance FROM walk WHERE id LIKE 'Order::%' GROUP BY id""",
 }

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import extract, graph, resolve
+from loomgraph.operators import extract, graph, resolve, traverse
 from loomgraph.sources import code, corpus
-from loomgraph.storage import table
+from loomgraph.plans import tools
+from loomgraph.storage import checkpointed, current_rows, table
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,15 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(_files(spark, sf_dir))
 
 
+def _kept(files: DataFrame) -> DataFrame:
+    """Tagged rows that are read more than once: each file is parsed once, and what was found is written and read again."""
+    return checkpointed(extract.extract(files), costly=True)
+
+
+def _code_graph(spark: SparkSession, sf_dir: str) -> tools.CodeGraph:
+    return tools.CodeGraph.of(_files(spark, sf_dir))
+
+
 def _nodes(spark, sf_dir, label):
     return extract.node_table(_tagged(spark, sf_dir), label)
 
@@ -83,8 +93,7 @@ def ast_calls(spark, sf_dir):
 
 
 def ast_uses_variable(spark, sf_dir):
-    rows = extract.edge_table(_tagged(spark, sf_dir)).where("edge = 'USES_VARIABLE'")
-    return rows.where(F.col("target").startswith("LIMIT_") | F.col("target").startswith("helper_")).select("src", "target")
+    return extract.edge_table(_tagged(spark, sf_dir)).where("edge = 'USES_VARIABLE'").select("src", "target")
 
 
 def ast_uses_inst_attr(spark, sf_dir):
@@ -92,73 +101,133 @@ def ast_uses_inst_attr(spark, sf_dir):
 
 
 def struct_edges(spark, sf_dir):
-    tagged = _tagged(spark, sf_dir)
+    tagged = _kept(_files(spark, sf_dir))
     labels = ("Import", "Class", "Function", "Variable", "Parameter", "ClassAttribute", "InstanceAttribute", "EnvVarUsage")
     rows = graph.structural_edges({x: extract.node_table(tagged, x) for x in labels})
     return rows.groupBy("edge").agg(F.count("*").alias("edges"))
 
 
-def chunk_file(spark, sf_dir):
-    rows = extract.code_chunks(_tagged(spark, sf_dir)).where("chunk_type = 'file' and file_path like 'suppliers/%'")
-    return rows.select("node_id", "start_line", "end_line", F.substring_index("content", "\n", 1).alias("head"))
-
-
-def chunk_function(spark, sf_dir):
-    rows = extract.code_chunks(_tagged(spark, sf_dir)).where("chunk_type = 'function' and name like 'helper%'")
-    return rows.select("node_id", "docstring", "start_line", "end_line", "content")
-
+def _chunks(kind):
+    def query(spark, sf_dir):
+        rows = extract.code_chunks(_kept(_files(spark, sf_dir))).where(F.col("chunk_type") == kind)
+        return rows.select("node_id", "name", "docstring", "start_line", "end_line", F.array_join("inline_comments", ",").alias("comments"), "content")
 
-def chunk_class(spark, sf_dir):
-    rows = extract.code_chunks(_tagged(spark, sf_dir)).where("chunk_type = 'class' and file_path like 'suppliers/%'")
-    return rows.select("node_id", "docstring", "start_line", "end_line", F.array_join("inline_comments", ",").alias("comments"))
+    return query
 
 
 def comment_range_join(spark, sf_dir):
     return _joined(extract.comments_of(_tagged(spark, sf_dir), "Function"), "comments")
 
 
-def _resolved(spark, sf_dir):
-    tagged = _tagged(spark, sf_dir)
+def _resolved(spark, sf_dir, files=None):
+    files = _files(spark, sf_dir) if files is None else files
+    tagged = _kept(files)
     tables = {x: extract.node_table(tagged, x) for x in ("Function", "Class", "Variable", "Import")}
-    aliases = resolve.alias_targets(tables["Import"], _files(spark, sf_dir))
+    aliases = resolve.alias_targets(tables["Import"], tagged.where("kind in ('File', '_error')"))
     bases = tables["Class"].select(F.col("id").alias("src"), F.lit("INHERITS_FROM").alias("edge"), F.explode("bases").alias("target"), F.lit(None).cast("int").alias("line"))
     edges = extract.edge_table(tagged).unionByName(bases)
-    return tagged, edges, resolve.resolved_edges(edges, aliases, tables["Function"], tables["Class"], tables["Variable"])
+    return tagged, edges, tables["Class"], aliases, lambda: resolve.resolved_edges(edges, aliases, tables["Function"], tables["Class"], tables["Variable"])
 
 
 def _resolved_kind(kind: str):
     def query(spark, sf_dir):
-        return _resolved(spark, sf_dir)[2].where(F.col("edge") == kind).select("src", "target")
+        return _resolved(spark, sf_dir)[4]().where(F.col("edge") == kind).select("src", "target")
 
     return query
 
 
+def _attributes(spark, sf_dir, files=None):
+    tagged, edges, classes, aliases, _ = _resolved(spark, sf_dir, files)
+    return resolve.attribute_uses(edges, resolve.ordered_bases(classes, aliases), extract.node_table(tagged, "InstanceAttribute")).select("src", "target")
+
+
 def resolve_attr_hierarchy(spark, sf_dir):
-    tagged, edges, resolved = _resolved(spark, sf_dir)
-    return resolve.attribute_uses(edges, resolved.where("edge = 'RESOLVED_INHERITS'"), extract.node_table(tagged, "InstanceAttribute")).select("src", "target")
+    return _attributes(spark, sf_dir)
+
+
+def resolve_attr_order(spark, sf_dir):
+    """Attributes that several bases have: those of the first base, and of all above it, count."""
+    return _attributes(spark, sf_dir, corpus.nation_modules(spark, sf_dir))
+
+
+def ast_scope_variables(spark, sf_dir):
+    """Names read in functions whose parameters are of all kinds."""
+    rows = extract.edge_table(extract.extract(corpus.nation_modules(spark, sf_dir))).where("edge = 'USES_VARIABLE' and src like 'nations/%'")
+    return rows.select("src", "target")
+
+
+def ast_class_signatures(spark, sf_dir):
+    rows = extract.node_table(extract.extract(corpus.nation_modules(spark, sf_dir)), "Class")
+    return rows.select("id", "signature", F.array_join("bases", ",").alias("bases"), "start_line", "end_line")
+
+
+def ast_imports_standard(spark, sf_dir):
+    """A standard module stays external beside a scanned file of its name."""
+    files = corpus.nation_modules(spark, sf_dir)
+    rows = extract.with_internal(extract.node_table(extract.extract(files), "Import"), files)
+    return rows.select("id", "module", "is_internal")
 
 
 def param_lineage(spark, sf_dir):
-    """Callers of each helper, with the line, for its parameter ``amount``."""
-    tagged = _tagged(spark, sf_dir)
-    has = extract.node_table(tagged, "Parameter").where("name = 'amount'").select(F.col("function_id").alias("target"))
-    calls = _resolved(spark, sf_dir)[2].where("edge = 'RESOLVED_CALLS'").join(has, "target", "left_semi")
-    lines = extract.edge_table(tagged).where("edge = 'CALLS'").select("src", F.col("target").alias("text"), "line")
-    rows = calls.join(lines, "src").where(F.element_at(F.split("target", "::"), -1) == F.col("text"))
-    return rows.select(F.col("src").alias("caller"), F.col("target").alias("function"), "line", F.lit("positional/inferred").alias("argument")).distinct()
+    """Callers of every function that has a parameter ``amount``."""
+    g = _code_graph(spark, sf_dir)
+    has = g.nodes.where("label = 'Parameter' and name = 'amount'").select(F.regexp_replace("id", "::param::[^:]*$", "").alias("id"))
+    return traverse.parameter_lineage(g.property_graph, has)
 
 
 def state_refs(spark, sf_dir):
     """Where each symbol of three is read: environment, else instance attribute, else global variable."""
-    tagged = _tagged(spark, sf_dir)
-    symbols = spark.createDataFrame([("SUPPLIER_1",), ("total",), ("LIMIT_2",)], "symbol string")
-    env = extract.node_table(tagged, "EnvVarUsage").select(F.col("env_name").alias("symbol"), F.lit(1).alias("rank"), F.col("scope_id").alias("user"))
-    uses = extract.edge_table(tagged)
-    attr = uses.where("edge = 'USES_INSTANCE_ATTRIBUTE'").select(F.col("target").alias("symbol"), F.lit(2).alias("rank"), F.col("src").alias("user"))
-    var = uses.where("edge = 'USES_VARIABLE'").select(F.col("target").alias("symbol"), F.lit(3).alias("rank"), F.col("src").alias("user"))
-    rows = env.unionByName(attr).unionByName(var).join(F.broadcast(symbols), "symbol").distinct()
-    first = rows.groupBy("symbol").agg(F.min("rank").alias("rank"))
-    return rows.join(first, ["symbol", "rank"])
+    g, out = _code_graph(spark, sf_dir), None
+    for symbol in ("SUPPLIER_1", "total", "LIMIT_2"):
+        rows = tools.query_state_references(g, symbol).withColumn("symbol", F.lit(symbol))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def test_trace(spark, sf_dir):
+    """The tests that reach any helper by calls."""
+    g = _code_graph(spark, sf_dir)
+    return traverse.reaching_tests(g.property_graph, g.nodes.where("label = 'Function' and name like 'helper%'").select("id"), ["RESOLVED_CALLS", "CALLS"], 3)
+
+
+def type_hierarchy(spark, sf_dir):
+    """What inherits from a class, what it inherits from, and its methods."""
+    g = _code_graph(spark, sf_dir)
+    return tools.inspect_type_hierarchy(g, "Base1").unionByName(tools.inspect_type_hierarchy(g, "Supplier1"))
+
+
+def coupling_cycles(spark, sf_dir):
+    return tools.analyze_architecture_coupling(_code_graph(spark, sf_dir))
+
+
+def coupling_of_symbol(spark, sf_dir):
+    return tools.analyze_architecture_coupling(_code_graph(spark, sf_dir), "SUPPLIER1")
+
+
+def file_imports(spark, sf_dir):
+    return tools.list_file_imports(_code_graph(spark, sf_dir))
+
+
+def call_graph_in_file(spark, sf_dir):
+    """What leads to a method of one file, names that are no nodes left out."""
+    g = _code_graph(spark, sf_dir)
+    return tools.traverse_call_graph(g, "charge", file_path="suppliers/supplier_1.py", include_raw=False, limit=10_000).select("id", "distance")
+
+
+def _source_files(spark, sf_dir):
+    """Current Python files of the whole source_files table."""
+    rows = current_rows(table(spark, sf_dir, "source_files").select("file_path", "content", "commit_seq"), "file_path", "commit_seq")
+    return rows.where("file_path like '%.py'")
+
+
+def source_chunks(spark, sf_dir):
+    """The chunks of all current files that parse."""
+    return extract.code_chunks(_kept(_source_files(spark, sf_dir)))
+
+
+def source_resolved(spark, sf_dir):
+    """The resolved edges of all current files that parse."""
+    return _resolved(spark, sf_dir, _source_files(spark, sf_dir))[4]()
 
 
 def endpoints(spark, sf_dir):
@@ -167,15 +236,16 @@ def endpoints(spark, sf_dir):
 
 def source_ast_counts(spark, sf_dir):
     """Over the whole source_files table: current Python files, and what is found in each that parses."""
-    from loomgraph.storage import current_rows
-
     rows = current_rows(table(spark, sf_dir, "source_files").select("file_path", "content", "commit_seq"), "file_path", "commit_seq").where("file_path like '%.py'")
     tagged = extract.extract(rows)
     return tagged.where("kind in ('Class', 'Function', 'Import', 'Variable', 'EnvVarUsage', '_error')").groupBy("file_path", "kind").agg(F.count("*").alias("found"))
 
 
-_NAMES = (source_scan_prune, source_lines, ast_errors, ast_functions, ast_classes, ast_params, ast_vars, ast_class_attrs, ast_inst_attrs, ast_env_usages, ast_env_vars, ast_imports, ast_calls, ast_uses_variable, ast_uses_inst_attr, struct_edges, chunk_file, chunk_function, chunk_class, comment_range_join, resolve_attr_hierarchy, param_lineage, state_refs, endpoints, source_ast_counts)
+_NAMES = (source_scan_prune, source_lines, ast_errors, ast_functions, ast_classes, ast_params, ast_vars, ast_class_attrs, ast_inst_attrs, ast_env_usages, ast_env_vars, ast_imports, ast_calls, ast_uses_variable, ast_uses_inst_attr, struct_edges, comment_range_join, resolve_attr_hierarchy, resolve_attr_order, ast_scope_variables, ast_class_signatures, ast_imports_standard, param_lineage, state_refs, test_trace, type_hierarchy, coupling_cycles, coupling_of_symbol, file_imports, call_graph_in_file, endpoints, source_ast_counts, source_chunks, source_resolved)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES} | {
+    "chunk_file": _chunks("file"),
+    "chunk_function": _chunks("function"),
+    "chunk_class": _chunks("class"),
     "resolve_calls": _resolved_kind("RESOLVED_CALLS"),
     "resolve_instantiations": _resolved_kind("INSTANTIATES"),
     "resolve_inherits": _resolved_kind("RESOLVED_INHERITS"),
@@ -184,6 +254,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _S = "WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey % 5 AS b, 'suppliers/supplier_' || s_suppkey || '.py' AS f FROM supplier), r AS (SELECT r_regionkey AS k, 'shared/base.py' AS f, row_number() OVER (ORDER BY r_regionkey) - 1 AS i FROM region) "
 _NULL = "NULL::VARCHAR"
+_N = "WITH n AS (SELECT n_nationkey AS k, 'nations/nation_' || n_nationkey || '.py' AS f FROM nation) "
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The texts of the modules by line: k is null for the file of base classes.
+_TEXTS = (
+    _S
+    + f""", filled AS (SELECT f, k, replace(replace(replace({_quoted(corpus.MODULE)}, '%(key)s', CAST(k AS VARCHAR)), '%(nation)s', CAST(n AS VARCHAR)), '%(base)s', CAST(b AS VARCHAR)) AS text FROM s
+  UNION ALL SELECT 'shared/base.py', NULL, string_agg(replace({_quoted(corpus.BASE)}, '%(key)s', CAST(k AS VARCHAR)), chr(10) || chr(10) ORDER BY k) FROM r),
+ texts AS (SELECT f, k, string_split(rtrim(text, chr(10)), chr(10)) AS lines FROM filled) """
+)
 SQL: dict[str, str] = {
     "source_scan_prune": _S + "SELECT f AS file_path FROM s UNION ALL SELECT 'shared/base.py' UNION ALL SELECT 'suppliers/broken.py'",
     "source_lines": _S + "SELECT f AS file_path, 'supplier_' || k || '.py' AS name, 33 AS line_count FROM s UNION ALL SELECT 'shared/base.py', 'base.py', CAST(count(*) * 3 + (count(*) - 1) * 2 AS INT) FROM region UNION ALL SELECT 'suppliers/broken.py', 'broken.py', 1",
@@ -207,15 +291,25 @@ SQL: dict[str, str] = {
       UNION ALL SELECT f || '::import::.peer::helper_0', f, '.peer', 'helper_0', NULL, true, true FROM s""",
     "ast_calls": _S + """SELECT f || '::Supplier' || k || '.charge' AS src, 'helper_' || k AS target, 22 AS line FROM s UNION ALL SELECT f || '::Supplier' || k, 'app.get', 19 FROM s
       UNION ALL SELECT f || '::helper_' || k, 'Supplier' || k, 28 FROM s UNION ALL SELECT f || '::helper_' || k, 'os.getenv', 29 FROM s UNION ALL SELECT f || '::test_' || k, 'helper_' || k, 33 FROM s""",
-    "ast_uses_variable": _S + "SELECT f || '::Supplier' || k || '.__init__' AS src, 'LIMIT_' || k AS target FROM s UNION ALL SELECT f || '::Supplier' || k || '.charge', 'helper_' || k FROM s UNION ALL SELECT f || '::test_' || k, 'helper_' || k FROM s UNION ALL SELECT f, 'LIMIT_' || k FROM s",
+    "ast_uses_variable": _S + """SELECT f || p || m AS src, t AS target FROM s, LATERAL (VALUES ('', '', 'LIMIT_' || k), ('', '', 'RATES'), ('::Supplier' || k, '', 'rate'), ('::Supplier' || k, '', 'app'), ('::Supplier' || k, '', 'get'),
+      ('::Supplier' || k, '.__init__', 'LIMIT_' || k), ('::Supplier' || k, '.__init__', 'total'), ('::Supplier' || k, '.charge', 'helper_' || k), ('::Supplier' || k, '.charge', 'total'), ('::Supplier' || k, '.charge', 'region'),
+      ('::helper_' || k, '', 'Supplier' || k), ('::helper_' || k, '', 'os'), ('::helper_' || k, '', 'getenv'), ('::test_' || k, '', 'helper_' || k)) v(p, m, t) UNION ALL SELECT f || '::Base' || k || '.__init__', 'region' FROM r""",
     "ast_uses_inst_attr": _S + "SELECT f || '::Supplier' || k || '.__init__' AS src, a AS target FROM s, (VALUES ('name'), ('total')) t(a) UNION ALL SELECT f || '::Supplier' || k || '.charge', a FROM s, (VALUES ('total'), ('region')) t(a) UNION ALL SELECT f || '::Base' || k || '.__init__', 'region' FROM r",
     "struct_edges": """WITH n AS (SELECT (SELECT count(*) FROM supplier) AS s, (SELECT count(*) FROM region) AS r) SELECT unnest(['IMPORTS', 'CONTAINS_CLASS', 'INHERITS_FROM', 'CONTAINS_FUNCTION', 'HAS_METHOD', 'CONTAINS_VARIABLE', 'HAS_PARAMETER', 'HAS_CLASS_ATTRIBUTE', 'HAS_INSTANCE_ATTRIBUTE', 'USES_ENV']) AS edge,
       unnest([4 * s, s + r, s, 2 * s, 2 * s + r, 2 * s, 7 * s + r, s, 2 * s + r, s]) AS edges FROM n""",
-    "chunk_file": _S + "SELECT f AS node_id, 1 AS start_line, 33 AS end_line, '# File: ' || f AS head FROM s",
-    "chunk_function": _S + r"""SELECT f || '::helper_' || k AS node_id, 'Helper ' || k || '.' AS docstring, 25 AS start_line, 29 AS end_line,
-      '# File: ' || f || chr(10) || '# Function: helper_' || k || chr(10) || '# Signature: helper_' || k || '(total, amount)' || chr(10) || '# Docstring: Helper ' || k || '.' || chr(10) || '# Comments: reads the region' || chr(10) || chr(10) || '# Code:' || chr(10)
-      || 'def helper_' || k || '(total, amount):' || chr(10) || '    ' || repeat(chr(34), 3) || 'Helper ' || k || '.' || repeat(chr(34), 3) || chr(10) || '    # reads the region' || chr(10) || '    made = Supplier' || k || '(total)' || chr(10) || '    return os.getenv("SUPPLIER_' || k || '", "' || n || '")' AS content FROM s""",
-    "chunk_class": _S + "SELECT f || '::Supplier' || k AS node_id, 'Supplier ' || k || '.' AS docstring, 10 AS start_line, 22 AS end_line, 'adds the amount of ' || k AS comments FROM s",
+    "chunk_file": _TEXTS + """SELECT f AS node_id, regexp_extract(f, '([^/]*)$', 1) AS name, NULL::VARCHAR AS docstring, 1 AS start_line, CAST(len(lines) AS INT) AS end_line, '' AS comments,
+      '# File: ' || f || chr(10) || chr(10) || '# Code:' || chr(10) || array_to_string(lines, chr(10)) AS content FROM texts""",
+    "chunk_function": _TEXTS + """, defs AS (SELECT f || '::Supplier' || k || '.__init__' AS node_id, f, lines, '__init__' AS name, NULL AS docstring, '' AS comments, '(self, name, *args)' AS sig, 15 AS a, 17 AS b FROM texts WHERE k IS NOT NULL
+      UNION ALL SELECT f || '::Supplier' || k || '.charge', f, lines, 'charge', NULL, 'adds the amount of ' || k, '(self, amount=0)', 20, 22 FROM texts WHERE k IS NOT NULL
+      UNION ALL SELECT f || '::helper_' || k, f, lines, 'helper_' || k, 'Helper ' || k || '.', 'reads the region', '(total, amount)', 25, 29 FROM texts WHERE k IS NOT NULL
+      UNION ALL SELECT f || '::test_' || k, f, lines, 'test_' || k, NULL, '', '()', 32, 33 FROM texts WHERE k IS NOT NULL
+      UNION ALL SELECT t.f || '::Base' || r.k || '.__init__', t.f, lines, '__init__', NULL, '', '(self)', CAST(i * 5 + 2 AS INT), CAST(i * 5 + 3 AS INT) FROM texts t JOIN r ON t.f = r.f)
+      SELECT node_id, name, docstring, a AS start_line, b AS end_line, comments, '# File: ' || f || chr(10) || '# Function: ' || name || chr(10) || '# Signature: ' || name || sig
+      || coalesce(chr(10) || '# Docstring: ' || docstring, '') || CASE WHEN comments <> '' THEN chr(10) || '# Comments: ' || comments ELSE '' END || chr(10) || chr(10) || '# Code:' || chr(10) || array_to_string(lines[a:b], chr(10)) AS content FROM defs""",
+    "chunk_class": _TEXTS + """, defs AS (SELECT f || '::Supplier' || k AS node_id, f, lines, 'Supplier' || k AS name, 'Supplier ' || k || '.' AS docstring, 'adds the amount of ' || k AS comments, 'Root' AS bases, 10 AS a, 22 AS b FROM texts WHERE k IS NOT NULL
+      UNION ALL SELECT t.f || '::Base' || r.k, t.f, lines, 'Base' || r.k, NULL, '', '', CAST(i * 5 + 1 AS INT), CAST(i * 5 + 3 AS INT) FROM texts t JOIN r ON t.f = r.f)
+      SELECT node_id, name, docstring, a AS start_line, b AS end_line, comments, '# File: ' || f || chr(10) || '# Class: ' || name || chr(10) || '# Bases: ' || bases
+      || coalesce(chr(10) || '# Docstring: ' || docstring, '') || CASE WHEN comments <> '' THEN chr(10) || '# Comments: ' || comments ELSE '' END || chr(10) || chr(10) || '# Code:' || chr(10) || array_to_string(lines[a:b], chr(10)) AS content FROM defs""",
     "comment_range_join": _S + "SELECT f || '::Supplier' || k || '.charge' AS id, 'adds the amount of ' || k AS comments FROM s UNION ALL SELECT f || '::helper_' || k, 'reads the region' FROM s",
     "resolve_calls": _S + "SELECT f || '::Supplier' || k || '.charge' AS src, f || '::helper_' || k AS target FROM s UNION ALL SELECT f || '::test_' || k, f || '::helper_' || k FROM s",
     "resolve_instantiations": _S + "SELECT f || '::helper_' || k AS src, f || '::Supplier' || k AS target FROM s",
@@ -224,8 +318,23 @@ SQL: dict[str, str] = {
     "resolve_attr_hierarchy": _S + """SELECT f || '::Supplier' || k || '.__init__' AS src, f || '::Supplier' || k || '::inst_attr::' || a AS target FROM s, (VALUES ('name'), ('total')) t(a)
       UNION ALL SELECT f || '::Supplier' || k || '.charge', f || '::Supplier' || k || '::inst_attr::total' FROM s UNION ALL SELECT f || '::Supplier' || k || '.charge', 'shared/base.py::Base' || b || '::inst_attr::region' FROM s
       UNION ALL SELECT f || '::Base' || k || '.__init__', f || '::Base' || k || '::inst_attr::region' FROM r""",
-    "param_lineage": _S + "SELECT f || '::Supplier' || k || '.charge' AS caller, f || '::helper_' || k AS \"function\", 22 AS line, 'positional/inferred' AS argument FROM s UNION ALL SELECT f || '::test_' || k, f || '::helper_' || k, 33, 'positional/inferred' FROM s",
-    "state_refs": _S + """SELECT 'SUPPLIER_1' AS symbol, 1 AS rank, f || '::helper_1' AS "user" FROM s WHERE k = 1 UNION ALL SELECT 'total', 2, f || '::Supplier' || k || m FROM s, (VALUES ('.__init__'), ('.charge')) t(m)
-      UNION ALL SELECT 'LIMIT_2', 3, f || x FROM s, (VALUES ('::Supplier2.__init__'), ('')) t(x) WHERE k = 2""",
+    "resolve_attr_order": _N + """SELECT f || '::Node' || k || '.show' AS src, t AS target FROM n, (VALUES ('lib/parts.py::Zeta::inst_attr::color'), ('lib/parts.py::Top::inst_attr::shape')) v(t)
+      UNION ALL SELECT 'lib/parts.py::' || c || '.__init__', 'lib/parts.py::' || c || '::inst_attr::' || a FROM (VALUES ('Top', 'shape'), ('Zeta', 'color'), ('Alpha', 'color'), ('Alpha', 'shape')) v(c, a)""",
+    "ast_scope_variables": _N + """SELECT f || '::Node' || k || '.show' AS src, t AS target FROM n, (VALUES ('width'), ('item'), ('rest'), ('height'), ('color'), ('shape'), ('depth')) v(t)
+      UNION ALL SELECT f || '::order_' || k, t FROM n, (VALUES ('node'), ('show'), ('queue'), ('parts')) v(t)""",
+    "ast_class_signatures": _N + """SELECT f || '::Node' || k AS id, '(' || chr(10) || '    Zeta, Alpha,  # in this order' || chr(10) || '    metaclass=type,' || chr(10) || ')' AS signature, 'Zeta,Alpha' AS bases, 6 AS start_line, 14 AS end_line FROM n
+      UNION ALL SELECT 'lib/parts.py::' || c, g, CASE WHEN g = '()' THEN '' ELSE 'Top' END, a, b FROM (VALUES ('Top', '()', 1, 3), ('Zeta', '(Top)', 6, 8), ('Alpha', '()', 11, 14)) v(c, g, a, b)""",
+    "ast_imports_standard": _N + "SELECT f || '::import::' || i AS id, m AS module, x AS is_internal FROM n, (VALUES ('queue', 'queue', false), ('lib.parts', 'lib.parts', true), ('lib.parts::Zeta', 'lib.parts', true), ('lib.parts::Alpha', 'lib.parts', true)) v(i, m, x)",
+    "param_lineage": _S + "SELECT f || '::Supplier' || k || '.charge' AS caller, f || '::helper_' || k AS \"function\", 22 AS line, 'positional/inferred' AS bound_argument, 1 AS hops FROM s UNION ALL SELECT f || '::test_' || k, f || '::helper_' || k, 33, 'positional/inferred', 1 FROM s",
+    "state_refs": _S + """SELECT 'SUPPLIER_1' AS symbol, 'EnvVar' AS kind, 'SUPPLIER_' || k AS name, f || '::helper_' || k AS "user" FROM s WHERE 'SUPPLIER_' || k LIKE 'SUPPLIER\\_1%' ESCAPE '\\'
+      UNION ALL SELECT 'total', 'InstanceAttribute', 'total', f || '::Supplier' || k || m FROM s, (VALUES ('.__init__'), ('.charge')) t(m)
+      UNION ALL SELECT 'LIMIT_2', 'Variable', 'LIMIT_2', f || x FROM s, (VALUES ('::Supplier2.__init__'), ('')) t(x) WHERE k = 2""",
+    "test_trace": _S + "SELECT f || '::test_' || k AS id, 1 AS distance FROM s",
+    "type_hierarchy": _S + """SELECT 'descendant' AS relation, f || '::Supplier' || k AS id, 1 AS distance FROM s WHERE b = 1 UNION ALL SELECT 'method', f || '::Base1.__init__', 1 FROM r WHERE k = 1
+      UNION ALL SELECT 'ancestor', 'shared/base.py::Base' || b, 1 FROM s WHERE k = 1 UNION ALL SELECT 'method', f || '::Supplier1' || m, 1 FROM s, (VALUES ('.__init__'), ('.charge')) t(m) WHERE k = 1""",
+    "coupling_cycles": _S + "SELECT f || '::Supplier' || k || ' -> ' || f || '::Supplier' || k || '.charge -> ' || f || '::helper_' || k AS cycle, 3 AS length FROM s",
+    "coupling_of_symbol": _S + "SELECT f || '::Supplier' || k || ' -> ' || f || '::Supplier' || k || '.charge -> ' || f || '::helper_' || k AS cycle, 3 AS length FROM s WHERE 'Supplier' || k LIKE 'Supplier1%'",
+    "file_imports": _S + "SELECT f AS from_file, 'shared/base.py' AS to_file FROM s",
+    "call_graph_in_file": _S + """SELECT f || '::Supplier' || k || '.charge' AS id, 0 AS distance FROM s WHERE k = 1""",
     "endpoints": _S + "SELECT f || '::Supplier' || k || '.charge' AS id, '/suppliers/' || k AS route_path, 'GET' AS http_method, 20 AS line FROM s",
 }

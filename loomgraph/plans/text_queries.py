@@ -40,7 +40,7 @@ def snippet_top1(spark, sf_dir):
     return search.snippet(chunks, "sync_row").select("node_id", "chunk_type", "match")
 
 
-def type_hierarchy(spark, sf_dir):
+def class_methods(spark, sf_dir):
     """Methods of every class, in order of their lines."""
     chunks = current_rows(table(spark, sf_dir, "chunks").select("chunk_id", "node_id", "chunk_type", "ingest_seq"), "chunk_id", "ingest_seq")
     owner = F.regexp_extract("node_id", r"^(.*)\.[^.]*$", 1)
@@ -147,7 +147,7 @@ def plan_json(spark, sf_dir):
     return rows.where("json <> ''").select("doc_id", F.length("json").alias("chars"))
 
 
-_NAMES = (knn_cosine, bm25, hybrid_search, snippet_top1, type_hierarchy, rpm_window, tpm_window, rpd_window, capacity, wait_time, router_pick, admission_fold, token_estimate, judge_fallback, running_accuracy, eval_summary, report_rows, benchmark_select, chat_prompt, fact_dedupe, discover_symbol, heuristic_eval, plan_json)
+_NAMES = (knn_cosine, bm25, hybrid_search, snippet_top1, class_methods, rpm_window, tpm_window, rpd_window, capacity, wait_time, router_pick, admission_fold, token_estimate, judge_fallback, running_accuracy, eval_summary, report_rows, benchmark_select, chat_prompt, fact_dedupe, discover_symbol, heuristic_eval, plan_json)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}
 
 _W = "ranged AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, greatest(length(props), 1) AS tokens FROM events), used AS (SELECT *, count(*) OVER m AS rpm, sum(tokens) OVER m AS tpm, count(*) OVER d AS rpd, min(us) OVER m AS oldest FROM ranged WINDOW m AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW), d AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW))"
@@ -163,7 +163,7 @@ SQL: dict[str, str] = {
       d AS (SELECT doc_id, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END AS s FROM de), b AS (SELECT doc_id, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END AS s FROM sp)
       SELECT coalesce(d.doc_id, b.doc_id) AS doc_id, round(0.5 * coalesce(d.s, 0) + 0.5 * coalesce(b.s, 0), 6) AS score FROM d FULL JOIN b ON d.doc_id = b.doc_id ORDER BY score DESC, doc_id LIMIT 10""",
     "snippet_top1": f"WITH {_CHUNKS}, m AS (SELECT node_id, chunk_type, CASE WHEN name = 'sync_row' THEN 1 WHEN node_id LIKE '%::sync\\_row' ESCAPE '\\' THEN 3 WHEN contains(lower(name), 'sync_row') THEN 4 END AS match FROM cur) SELECT * FROM m WHERE match IS NOT NULL ORDER BY match, node_id LIMIT 1",
-    "type_hierarchy": f"WITH {_CHUNKS}, m AS (SELECT regexp_extract(node_id, '^(.*)\\.[^.]*$', 1) AS class_id, regexp_extract(node_id, '([^.]*)$', 1) AS method FROM cur WHERE chunk_type = 'function') SELECT class_id, array_to_string(list_sort(list(method)), ',') AS methods FROM m WHERE class_id IN (SELECT id FROM class_nodes) GROUP BY class_id",
+    "class_methods": f"WITH {_CHUNKS}, m AS (SELECT regexp_extract(node_id, '^(.*)\\.[^.]*$', 1) AS class_id, regexp_extract(node_id, '([^.]*)$', 1) AS method FROM cur WHERE chunk_type = 'function') SELECT class_id, array_to_string(list_sort(list(method)), ',') AS methods FROM m WHERE class_id IN (SELECT id FROM class_nodes) GROUP BY class_id",
     "rpm_window": f"WITH {_W} SELECT event_id, rpm FROM used",
     "tpm_window": f"WITH {_W} SELECT event_id, tpm::BIGINT AS tpm FROM used",
     "rpd_window": f"WITH {_W} SELECT event_id, rpd FROM used",

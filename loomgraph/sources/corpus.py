@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +50,46 @@ BASE = '''class Base%(key)s:
 '''
 
 
+#: A module with two bases whose order tells, parameters of all kinds, and the name of a standard module that the scan has too.
+NATION = '''import queue
+import lib.parts as parts
+from lib.parts import Zeta, Alpha
+
+
+class Node%(key)s(
+    Zeta, Alpha,  # in this order
+    metaclass=type,
+):
+    def show(self, plain, width: int, height=1, *rest, depth: int = 2, bare):
+        local = plain + width + bare
+        for item in rest:
+            local += height
+        return self.color + self.shape + depth + local
+
+
+async def order_%(key)s(node: Node%(key)s = None):
+    return node.show(queue, parts)
+'''
+PARTS = '''class Top:
+    def __init__(self):
+        self.shape = 1
+
+
+class Zeta(Top):
+    def __init__(self):
+        self.color = 1
+
+
+class Alpha:
+    def __init__(self):
+        self.color = 2
+        self.shape = 2
+'''
+
+
 def _filled(template: str, **columns):
     parts = []
     rest = template
-    import re
-
     for m in re.finditer(r"%\((\w+)\)s", template):
         parts += [F.lit(template[len(template) - len(rest) : m.start()]), columns[m[1]].cast("string")]
         rest = template[m.end() :]
@@ -70,6 +107,14 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("file_path", F.encode("text", "UTF-8").alias("content"))
 
 
+def nation_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, content): a module for each nation, the classes that they inherit from, and a file named like a standard module."""
+    nation = table(spark, sf_dir, "nation")
+    files = nation.select(F.concat(F.lit("nations/nation_"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("file_path"), _filled(NATION, key=F.col("n_nationkey")).alias("text"))
+    extra = spark.createDataFrame([("lib/parts.py", PARTS), ("lib/queue.py", "x = 1\n"), ("queue.py", "x = 1\n")], "file_path string, text string")
+    return files.unionByName(extra).select("file_path", F.encode("text", "UTF-8").alias("content"))
+
+
 def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, orders and parts, linked by their keys."""
     t = lambda name: table(spark, sf_dir, name)

@@ -53,6 +53,14 @@ def checkpointed(df: DataFrame, costly: bool = False) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False), spark)
 
 
+def fresh_many(n: int, *columns: str) -> list[str]:
+    """``n`` column names that none of ``columns`` has, and that begin no other's."""
+    base = fresh(*columns)
+    while any(c.lower().startswith(base) for c in columns):
+        base += "x"
+    return [f"{base}{i}" for i in range(n)]
+
+
 def fresh(*columns: str) -> str:
     """A column name that none of ``columns`` has, whatever their case."""
     taken, name = {c.lower() for c in columns}, "__x"

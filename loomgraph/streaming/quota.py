@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.storage import fresh
+from loomgraph.storage import fresh, fresh_many
 
 MINUTE, DAY = 60_000_000, 86_400_000_000
-#: Events of one key that one task holds at a time while it admits them in order.
-BATCH = 10_000
 
 
 def micros(ts: Column) -> Column:
@@ -21,16 +20,25 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _frame(key: str, span: int):
-    # An event leaves when it is ``span`` old, so the window is half open.
-    return Window.partitionBy(key).orderBy("us").rangeBetween(-(span - 1), Window.currentRow)
+def _over_span(rows: DataFrame, key: str, span: int, **measures: Column) -> DataFrame:
+    """``rows`` (us) with measures over the key's rows of the last ``span`` microseconds.
+
+    Time is cut into buckets of one span, and each row is carried into the next bucket too, where it may still count. So a
+    window partition is a key's two spans instead of all it ever had. A row leaves when it is ``span`` old: the window
+    is half open.
+    """
+    slot, own = fresh_many(2, *rows.columns)
+    bucket = F.expr(f"floor(us / {span})")
+    both = rows.withColumn(slot, F.explode(F.array(bucket, bucket + 1))).withColumn(own, F.col(slot) == bucket)
+    window = Window.partitionBy(key, slot).orderBy("us").rangeBetween(-(span - 1), Window.currentRow)
+    return both.withColumns({name: m.over(window) for name, m in measures.items()}).where(own).drop(slot, own)
 
 
 def usage(events: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """``events`` (us) with rpm, tpm and rpd: requests and tokens of the last minute and requests of the last day, this one included."""
-    rows = events.withColumn("tokens", F.greatest(tokens, F.lit(1)).cast("bigint"))
-    minute, day = _frame(key, MINUTE), _frame(key, DAY)
-    return rows.withColumn("rpm", F.count("*").over(minute)).withColumn("tpm", F.sum("tokens").over(minute)).withColumn("rpd", F.count("*").over(day)).withColumn("oldest", F.min("us").over(minute))
+    """``events`` (us) with rpm, tpm and rpd: requests and tokens of the last minute and requests of the last day, this one included. Rows without a time are left out."""
+    rows = events.withColumn("tokens", F.greatest(tokens, F.lit(1)).cast("bigint")).where("us is not null")
+    rows = _over_span(rows, key, MINUTE, rpm=F.count("*"), tpm=F.sum("tokens"), oldest=F.min("us"))
+    return _over_span(rows, key, DAY, rpd=F.count("*"))
 
 
 def capacity(used: DataFrame, rpm: int, tpm: int, rpd: int) -> Column:
@@ -58,22 +66,88 @@ class Tracker:
         self.day: deque[int] = deque()
         self.tokens, self.until = 0, 0
 
-    def admit(self, us: int, tokens: int) -> bool:
-        rpm, tpm, rpd = self.limits
+    def _drop(self, us: int) -> None:
         while self.minute and us - self.minute[0][0] >= MINUTE:
             self.tokens -= self.minute.popleft()[1]
         while self.day and us - self.day[0] >= DAY:
             self.day.popleft()
-        if us < self.until or len(self.minute) >= rpm or self.tokens + tokens > tpm or len(self.day) >= rpd:
-            return False
+
+    def can(self, us: int, tokens: int) -> bool:
+        """Whether a request of so many tokens may pass now."""
+        self._drop(us)
+        rpm, tpm, rpd = self.limits
+        return us >= self.until and len(self.minute) < rpm and self.tokens + tokens <= tpm and len(self.day) < rpd
+
+    def record(self, us: int, tokens: int) -> None:
+        """Counts a request; it has one token at least."""
         self.minute.append((us, max(tokens, 1)))
         self.tokens += max(tokens, 1)
         self.day.append(us)
+
+    def admit(self, us: int, tokens: int) -> bool:
+        if not self.can(us, tokens):
+            return False
+        self.record(us, tokens)
         return True
 
-    def cool(self, us: int, seconds: float) -> None:
+    def cool(self, us: int, seconds: float = 6.0) -> None:
         self.until = us + int(seconds * 1e6)
 
+    def failed(self, us: int, error: str) -> None:
+        """Cools down after an error: a minute if a quota is used up, else ten seconds."""
+        self.cool(us, 60.0 if "429" in error or "RESOURCE_EXHAUSTED" in error else 10.0)
+
+    def capacity(self, us: int) -> float:
+        """As ``capacity``; 0 while cooling."""
+        self._drop(us)
+        rpm, tpm, rpd = self.limits
+        if us < self.until or len(self.day) >= rpd:
+            return 0.0
+        return 0.6 * max(0.0, (rpm - len(self.minute)) / rpm) + 0.4 * max(0.0, (tpm - self.tokens) / tpm)
+
+    def wait(self, us: int) -> float:
+        """Seconds until the cooldown ends, else until the minute has room."""
+        self._drop(us)
+        if us < self.until:
+            return (self.until - us) / 1e6
+        return 0.0 if len(self.minute) < self.limits[0] else max(0.0, (self.minute[0][0] + MINUTE - us) / 1e6 + 0.1)
+
+
+class Router:
+    """Sends requests to the model that has room: preferred ones first, then the greatest capacity, then the name.
+
+    ``models``: name to (rpm, tpm, rpd); ``call``: (model, prompt) to (text, tokens). ``clock`` gives microseconds, ``sleep`` takes seconds.
+    """
+
+    def __init__(self, models: dict[str, tuple[int, int, int]], call: Callable[[str, str], tuple[str, int]], preferred: Callable[[str], bool] = lambda m: False, clock: Callable[[], int] | None = None, sleep: Callable[[float], None] = time.sleep):
+        self.trackers = {m: Tracker(*limits) for m, limits in models.items()}
+        self.call, self.preferred, self.sleep = call, preferred, sleep
+        self.clock = clock or (lambda: time.time_ns() // 1000)
+
+    def generate(self, prompt: str, extra: int = 200) -> str:
+        """The text of the first call that succeeds, in at most two attempts a model.
+
+        If the best model cannot take the request, the shortest wait is slept out; a failed call cools its model down.
+        """
+        estimate = len(prompt) // 3 + extra
+        for _ in range(2 * len(self.trackers)):
+            now = self.clock()
+            model = min(self.trackers, key=lambda m: (not self.preferred(m), -self.trackers[m].capacity(now), m))
+            tracker = self.trackers[model]
+            if not tracker.can(now, estimate):
+                wait = min(t.wait(now) for t in self.trackers.values())
+                if wait > 0.1:
+                    self.sleep(wait)
+                    continue
+            try:
+                text, tokens = self.call(model, prompt)
+            except Exception as e:  # the next attempt goes to a sibling
+                tracker.failed(self.clock(), str(e))
+                continue
+            tracker.record(self.clock(), tokens)
+            return text
+        raise RuntimeError("no model could take the request")
+
 
 def admissions(events: DataFrame, key: str, rpm: int, tpm: int, rpd: int) -> DataFrame:
     """(key, event_id, us, tokens, admitted): events in order, where only admitted ones count against the limits.
