@@ -164,6 +164,12 @@ SQL: dict[str, str] = {
       SELECT coalesce(d.doc_id, b.doc_id) AS doc_id, round(0.5 * coalesce(d.s, 0) + 0.5 * coalesce(b.s, 0), 6) AS score FROM d FULL JOIN b ON d.doc_id = b.doc_id ORDER BY score DESC, doc_id LIMIT 10""",
     "snippet_top1": f"WITH {_CHUNKS}, m AS (SELECT node_id, chunk_type, CASE WHEN name = 'sync_row' THEN 1 WHEN node_id LIKE '%::sync\\_row' ESCAPE '\\' THEN 3 WHEN contains(lower(name), 'sync_row') THEN 4 END AS match FROM cur) SELECT * FROM m WHERE match IS NOT NULL ORDER BY match, node_id LIMIT 1",
     "class_methods": f"WITH {_CHUNKS}, m AS (SELECT regexp_extract(node_id, '^(.*)\\.[^.]*$', 1) AS class_id, regexp_extract(node_id, '([^.]*)$', 1) AS method FROM cur WHERE chunk_type = 'function') SELECT class_id, array_to_string(list_sort(list(method)), ',') AS methods FROM m WHERE class_id IN (SELECT id FROM class_nodes) GROUP BY class_id",
+    "admission_fold": f"""WITH RECURSIVE ev AS (SELECT event_id, event_type AS k, epoch_us(ts) AS us, length(props) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL),
+      fold(k, i, event_id, admitted, m, d) AS (SELECT DISTINCT k, 0::BIGINT, NULL::BIGINT, false, []::STRUCT(u BIGINT, t BIGINT)[], []::BIGINT[] FROM ev
+        UNION ALL SELECT k, i, event_id, ok, CASE WHEN ok THEN list_append(m, {{'u': us, 't': greatest(t, 1)}}) ELSE m END, CASE WHEN ok THEN list_append(d, us) ELSE d END
+        FROM (SELECT k, i, event_id, us, t, m, d, len(m) < {_RPM} AND coalesce(list_sum(list_transform(m, lambda x: x.t)), 0) + t <= {_TPM} AND len(d) < {_RPD} AS ok
+          FROM (SELECT ev.k, ev.i, ev.event_id, ev.us, ev.t, list_filter(f.m, lambda x: ev.us - x.u < 60000000) AS m, list_filter(f.d, lambda x: ev.us - x < 86400000000) AS d FROM fold f JOIN ev ON ev.k = f.k AND ev.i = f.i + 1)))
+      SELECT event_id, k AS event_type, admitted FROM fold WHERE i > 0""",
     "rpm_window": f"WITH {_W} SELECT event_id, rpm FROM used",
     "tpm_window": f"WITH {_W} SELECT event_id, tpm::BIGINT AS tpm FROM used",
     "rpd_window": f"WITH {_W} SELECT event_id, rpd FROM used",

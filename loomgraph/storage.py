@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark import StorageLevel
@@ -44,6 +46,7 @@ def checkpointed(df: DataFrame, costly: bool = False) -> DataFrame:
             if not context.master.startswith("local[") and context.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     held = df.persist(StorageLevel.MEMORY_AND_DISK) if costly else df
     kept = held.checkpoint(eager=True)
