@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +27,12 @@ def fit_profiles(documents: DataFrame, lang_codes: DataFrame, text: str = "text"
     return languages.Profiles().fit(texts, labels) if texts else languages.Profiles()
 
 
-def passages(documents: DataFrame, lang_codes: DataFrame, model: languages.Profiles, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
+def passages(documents: DataFrame, lang_codes: DataFrame, model: languages.Profiles, key: str = "doc_id", text: str = "text", label: str = "lang", texts: bool = True) -> DataFrame:
     """(doc_id, code, passages): the language that the label names, or null, and the passages of each document.
 
     A passage is a run of sentences in one language, with the mean confidence of its sentences. Null, empty and blank
     texts, and texts without a sentence, have no passages. Whole texts are read; rows are handled one by one, so
-    repeated texts and ids stay apart. Other columns are left out.
+    repeated texts and ids stay apart. Other columns are left out. Without ``texts`` the passages' own are null.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # prototypes of a fixed size
 
@@ -39,23 +41,15 @@ def passages(documents: DataFrame, lang_codes: DataFrame, model: languages.Profi
         for pdf in (b.iloc[i : i + _ROWS] for b in batches for i in range(0, len(b), _ROWS)):
             found = [prose.sentences(t) if isinstance(t, str) and profiles.languages else [] for t in pdf["text"]]
             flat = [s for x in found for s in x]
-            cosines = profiles.cosines(flat) if flat else []
+            best, sure = languages.settle(profiles.cosines(flat), [len(x) for x in found]) if flat else ([], [])
+            named = [(profiles.languages[b], c) for b, c in zip(best, np.asarray(sure).tolist())]
             at, out = 0, []
             for x in found:
-                rows: list[dict] = []
-                if x:
-                    best, sure = languages.settle(cosines[at : at + len(x)])
-                    at += len(x)
-                    for s, b, c in zip(x, best, sure):
-                        lang = profiles.languages[b]
-                        if rows and rows[-1]["lang"] == lang:
-                            rows[-1]["sentences"] += 1
-                            rows[-1]["confidence"] += float(c)
-                            rows[-1]["text"] += "\n" + s
-                        else:
-                            rows.append({"lang": lang, "confidence": float(c), "sentences": 1, "text": s})
-                    for r in rows:
-                        r["confidence"] /= r["sentences"]
+                rows = []
+                for lang, run in groupby(range(at, at + len(x)), lambda i: named[i][0]):
+                    own = list(run)
+                    rows.append({"lang": lang, "confidence": sum(named[i][1] for i in own) / len(own), "sentences": len(own), "text": "\n".join(flat[own[0] : own[-1] + 1]) if texts else None})
+                at += len(x)
                 out.append(rows)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "code": pdf["code"], "passages": out})
 

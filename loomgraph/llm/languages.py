@@ -345,21 +345,24 @@ class Regression:
         return names, (np.concatenate(sure) if sure else np.zeros(0))
 
 
-def settle(cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The language and confidence of each sentence of one text, from the sentences' cosines.
+def settle(cosines: np.ndarray, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The language and confidence of each sentence of several texts, from the sentences' cosines; ``counts``: sentences of each text.
 
-    A sentence that is close between languages goes to one that another sentence of the text is surely in.
+    A sentence that is close between languages goes to one that another sentence of its text is surely in.
     """
-    n = len(cosines)
+    n = np.array([c for c in counts if c], np.int64)
+    owner = np.repeat(np.arange(len(n)), n)
+    rows = np.arange(len(cosines))
     e = np.exp((cosines - cosines.max(1, keepdims=True)) * 40)
     e /= e.sum(1, keepdims=True)
     best = cosines.argmax(1)
-    sure = e[np.arange(n), best] >= 0.9
-    if n > 1:
-        known = np.bincount(best[sure], minlength=cosines.shape[1]) if sure.any() else e.sum(0) * (e.sum(0) >= e.sum(0).max())
-        prior = np.where(known > 0, 1.0, 0.08)
-        shifted = e * prior
-        shifted /= shifted.sum(1, keepdims=True)
-        best = np.where(sure, best, shifted.argmax(1))
-        e = np.where(sure[:, None], e, shifted)
-    return best, e[np.arange(n), best]
+    sure = e[rows, best] >= 0.9
+    known = np.zeros((len(n), cosines.shape[1]))
+    np.add.at(known, (owner[sure], best[sure]), 1)
+    total = np.add.reduceat(e, np.cumsum(n) - n, axis=0) if len(n) else known
+    known = np.where(known.any(1, keepdims=True), known > 0, total >= total.max(1, keepdims=True))
+    shifted = e * np.where(known, 1.0, 0.08)[owner]
+    shifted /= shifted.sum(1, keepdims=True)
+    alone = sure | (n == 1)[owner]
+    best = np.where(alone, best, shifted.argmax(1))
+    return best, np.where(alone, e[rows, best], shifted[rows, best])

@@ -32,14 +32,15 @@ _QUERY = re.compile(r"\b(?:SELECT\b.+\bFROM\b|INSERT\s+INTO\b|UPDATE\b.+\bSET\b|
 _FRAME = re.compile(r"^\s*-{4,}[A-Z0-9 ]+-{4,}\s*$")  # marks of an encoded block
 _CODEISH = re.compile(r"[=(){}\[\]:;<>|%]|^\s*(?:return|pass|del|assert|import|from|raise|global|nonlocal|yield|break|continue|else|try|finally)\b")
 _HARD_CODE = re.compile(r"[\w\])'\"]\s*(?:[+*/%|&^-]|//|\*\*|>>|<<)?=(?!=)\s*\S|\)\s*:\s*$|\)\s*->|^\s*(?:def|class|async def|import|from \S+ import|except|elif|else:|try:|with .* as |while .*:|for .* in .*:|if .*:|case .*:|match .*:|@\w)|\w\([^)]*\)\s*$|^\s*[\])}]|[\[({]\s*$|^\s*[\"'][^\"']*[\"']\s*[:,]|;\s*$")
-_STOP = re.compile(rf"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])|(?<=[!?])(?=[{_CJK}])|\s{{2,}}(?=[-–—]\s)")
+#: Where sentences part. Group 1 still belongs to the one before.
+_STOP = re.compile(rf"([.!?…])[\"'»”’)\]]*\s+|([。！？])|([!?])(?=[{_CJK}])|\s\s+(?=[-–—]\s)")
 
 
 def units(text: str) -> tuple[int, int]:
     """Words of alphabets, and characters of Chinese and Japanese, in ``text``."""
     n = 0 if text.isascii() else len(_CJK_CHAR.findall(text))
     words = (_WORD if n else _PLAIN_WORD).findall(text)
-    return len(words) - sum(len(w) == 1 and w.lower() not in _SINGLE for w in words), n
+    return len(words) - len([w for w in words if not w[1:] and w.lower() not in _SINGLE]), n
 
 
 # The letters that are words.
@@ -126,6 +127,15 @@ def without_code(lines: list[str]) -> list[str]:
     return out
 
 
+def _parts(line: str) -> list[str]:
+    out, at = [], 0
+    for m in _STOP.finditer(line):
+        out.append(line[at : m.end(m.lastindex) if m.lastindex else m.start()])
+        at = m.end()
+    out.append(line[at:])
+    return out
+
+
 _SYMBOLS = re.compile(r"[=(){}\[\]<>|%\\^$_+*/~#&]")
 _LINES = re.compile(r"[\r\n\u2028\x0b\x0c]+")
 
@@ -143,7 +153,7 @@ def sentences(text: str, code: bool = True) -> list[str]:
         line = line[_MARK.match(line).end() :]
         tag = _TAG.match(line)
         line = line[tag.end() :] if tag else line
-        for s in _STOP.split(line):
+        for s in _parts(line):
             if s.isascii() and len(s.split()) < WORDS:
                 continue
             p = plain(s)

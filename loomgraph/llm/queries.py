@@ -132,9 +132,9 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _passages(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
     documents, codes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes")
-    return document_language.passages(documents, codes, document_language.fit_profiles(documents, codes))
+    return document_language.passages(documents, codes, document_language.fit_profiles(documents, codes), texts=texts)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of every document, with its language and confidence."""
-    return _passages(spark, sf_dir).select("doc_id", F.posexplode("passages").alias("passage", "p")).select("doc_id", "passage", "p.lang", "p.confidence", "p.sentences", "p.text")
+    return _passages(spark, sf_dir, True).select("doc_id", F.posexplode("passages").alias("passage", "p")).select("doc_id", "passage", "p.lang", "p.confidence", "p.sentences", "p.text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
