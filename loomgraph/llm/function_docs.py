@@ -13,6 +13,8 @@ from loomgraph.llm import prose, pylex
 
 _TOKEN = "pos int, kind string, line int, end_line int, start int, end int, indent int, delta int, text string, word string, params string"
 _LEXED = f"chunk_id bigint, tokens array<struct<{', '.join(':'.join(x.split()) for x in _TOKEN.split(', '))}>>"
+#: Texts that a worker lexes at a time, which bounds its memory.
+_ROWS = 500
 #: Groups: comment, literal, opening and closing bracket, line end with the blanks after it.
 _LEXER = re.compile(r"(?P<c>#[^\r\n]*)|(?P<s>" + pylex.STRING + r")|(?P<o>[(\[{])|(?P<x>[)\]}])|(?P<n>(?:\r\n|\r|\n)[ \t\f]*)", re.S)
 _LITERAL = re.compile(pylex.STRING, re.S)
@@ -76,7 +78,8 @@ def tokens(chunks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in _TOKEN.split(", ")]
-        for pdf in batches:
+        # A few texts at a time, as their tokens take many times their size.
+        for pdf in (b.iloc[i : i + _ROWS] for b in batches for i in range(0, len(b), _ROWS)):
             found = [[dict(zip(names, t)) for t in lex_tokens(c)] if isinstance(c, str) else [] for c in pdf["content"]]
             yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "tokens": found})
 
