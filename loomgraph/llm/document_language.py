@@ -30,7 +30,7 @@ def fit_profiles(documents: DataFrame, lang_codes: DataFrame, text: str = "text"
 def passages(documents: DataFrame, lang_codes: DataFrame, model: languages.Profiles, key: str = "doc_id", text: str = "text", label: str = "lang", texts: bool = True) -> DataFrame:
     """(doc_id, code, passages): the language that the label names, or null, and the passages of each document.
 
-    A passage is a run of sentences in one language, with the mean confidence of its sentences. Null, empty and blank
+    A passage is a run of sentences in one language, which in lines of code are those of comments and literals, with the mean confidence of its sentences. Null, empty and blank
     texts, and texts without a sentence, have no passages. Whole texts are read; rows are handled one by one, so
     repeated texts and ids stay apart. Other columns are left out. Without ``texts`` the passages' own are null.
     """
@@ -39,7 +39,7 @@ def passages(documents: DataFrame, lang_codes: DataFrame, model: languages.Profi
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles = shared.value
         for pdf in (b.iloc[i : i + _ROWS] for b in batches for i in range(0, len(b), _ROWS)):
-            found = [prose.sentences(t) if isinstance(t, str) and profiles.languages else [] for t in pdf["text"]]
+            found = [prose.document_sentences(t) if isinstance(t, str) and profiles.languages else [] for t in pdf["text"]]
             flat = [s for x in found for s in x]
             best, sure = languages.settle(profiles.cosines(flat), [len(x) for x in found]) if flat else ([], [])
             named = [(profiles.languages[b], c) for b, c in zip(best, np.asarray(sure).tolist())]

@@ -112,21 +112,29 @@ def is_code(line: str) -> bool:
 _KEYWORDS = {"return", "pass", "del", "assert", "import", "from", "raise", "global", "nonlocal", "yield", "break", "continue", "else", "try", "finally", "if", "for", "while", "with", "match", "case"}
 
 
-def without_code(lines: list[str]) -> list[str]:
-    """The lines that are not code; brackets that code leaves open make the lines up to their end code too."""
+def code_flags(lines: list[str]) -> list[bool]:
+    """Which lines are code; brackets that code leaves open make the lines up to their end code too."""
     out, depth = [], 0
     for line in lines:
-        if depth > 0 or is_code(line):
-            depth += len(re.findall(r"[(\[{]", line)) - len(re.findall(r"[)\]}]", line))
+        code = depth > 0 or is_code(line)
+        if code:
+            depth += len(_OPEN.findall(line)) - len(_CLOSE.findall(line))
             if depth > 0 and units(plain(line))[0] >= 8:
-                depth = 0  # prose after all
-                out.append(line)
+                depth, code = 0, False  # prose after all
         else:
             depth = 0
-            out.append(line)
+        out.append(code)
     return out
 
 
+_OPEN, _CLOSE = re.compile(r"[(\[{]"), re.compile(r"[)\]}]")
+
+
+def without_code(lines: list[str]) -> list[str]:
+    """The lines that are not code."""
+    return [line for line, code in zip(lines, code_flags(lines)) if not code]
+
+
 def _parts(line: str) -> list[str]:
     out, at = [], 0
     for m in _STOP.finditer(line):
@@ -140,27 +148,46 @@ _SYMBOLS = re.compile(r"[=(){}\[\]<>|%\\^$_+*/~#&]")
 _LINES = re.compile(r"[\r\n\u2028\x0b\x0c]+")
 
 
+def _split(text: str) -> list[str]:
+    return [x for x in _LINES.split(text) if x.strip() and not _FRAME.match(x)]
+
+
+def _in_line(line: str) -> list[str]:
+    """The sentences and phrases of a line that is not code."""
+    out = []
+    line = line[_MARK.match(line).end() :]
+    tag = _TAG.match(line)
+    line = line[tag.end() :] if tag else line
+    for s in _parts(line):
+        if s.isascii() and len(s.split()) < WORDS:
+            continue
+        p = plain(s)
+        if counted := _phrase(p):
+            words, han = counted
+            if len(_SYMBOLS.findall(p)) * 2 <= words + han // 2:
+                out.append(" ".join(p.split()))
+    return out
+
+
 def sentences(text: str, code: bool = True) -> list[str]:
     """The sentences and phrases of ``text``, without marks, tags and code.
 
     ``code``: whether lines of code may occur among them, as in comments and documents.
     """
-    out = []
-    lines = [x for x in _LINES.split(text) if x.strip() and not _FRAME.match(x)]
-    for line in without_code(lines) if code else lines:
-        if not code and _CAPITALS.search(line) and _QUERY.search(line):
-            continue
-        line = line[_MARK.match(line).end() :]
-        tag = _TAG.match(line)
-        line = line[tag.end() :] if tag else line
-        for s in _parts(line):
-            if s.isascii() and len(s.split()) < WORDS:
-                continue
-            p = plain(s)
-            if counted := _phrase(p):
-                words, han = counted
-                if len(_SYMBOLS.findall(p)) * 2 <= words + han // 2:
-                    out.append(" ".join(p.split()))
+    lines = _split(text)
+    kept = without_code(lines) if code else [x for x in lines if not (_CAPITALS.search(x) and _QUERY.search(x))]
+    return [s for line in kept for s in _in_line(line)]
+
+
+def document_sentences(text: str) -> list[str]:
+    """As ``sentences`` of a document, in which lines of code hold language too: in their comments and literals, which the lexer tells from the code."""
+    out, lines = [], _split(text)
+    for line, code in zip(lines, code_flags(lines)):
+        if not code:
+            out += _in_line(line)
+        elif "#" in line or '"' in line or "'" in line:
+            for kind, a, b in pylex.lex(line):
+                out += sentences(line[a + 1 : b]) if kind == "c" else sentences(pylex.value(line[a:b]), False)
     return out
 
 

@@ -48,6 +48,12 @@ def test_sentences_and_code():
     assert [k for k, *_ in prose.code_sentences(source)] == ["literal", "comment"]
 
 
+def test_sentences_in_code_of_documents():
+    text = 'def f(a):\n    b = 63  # The resolver keeps only the newest version.\n    c = "Der Planer zerlegt lange Rümpfe."\n    d = "SELECT a, b FROM c WHERE d = 1"\n    e = (a + "one two", b)\nA plain line of prose here.\n    # x = f(a, b)  # no more'
+    assert prose.document_sentences(text) == ["The resolver keeps only the newest version.", "Der Planer zerlegt lange Rümpfe.", "A plain line of prose here."]
+    assert prose.sentences(text) == ["A plain line of prose here."] and prose.document_sentences("") == []
+
+
 @pytest.mark.parametrize(
     ("text", "name", "want"),
     [
