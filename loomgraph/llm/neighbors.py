@@ -189,9 +189,10 @@ def _placed_twice(rows: DataFrame, wanted: int, most: int, copies: int, size: in
     return found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= copies).select("shard", "id", "q")
 
 
-def _in_blocks(placed: DataFrame, shard_rows: int) -> DataFrame:
-    """``placed`` with x and y: shards of over 8 times the aim are cut into blocks, and each row goes to every pair of its block with another, so that no task holds more and no pair is lost."""
+def _in_blocks(placed: DataFrame, shard_rows: int, shards: int | None = None) -> DataFrame:
+    """``placed`` with x and y: shards of over 8 times the aim are cut into blocks, and each row goes to every pair of its block with another, so that no task holds more and no pair is lost. Of at most ``MOST_PIVOTS`` ``shards`` the large ones are broadcast."""
     sizes = placed.groupBy("shard").count().where(F.col("count") > 8 * shard_rows).select("shard", F.ceil(F.col("count") / (4 * shard_rows)).alias("blocks"))
+    sizes = F.broadcast(sizes) if shards is not None and shards <= MOST_PIVOTS else sizes
     cut = placed.join(sizes, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     others = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
@@ -242,7 +243,7 @@ def nearest(rows: DataFrame, size: int, k: int = 5, least: float = 0.7, shard_ro
         placed = checkpointed(_placed_twice(first.select("id", "q"), wanted, most_pivots, copies, size), costly=True)
     # So many partitions that none has more than a few shards, whatever the session's default.
     parts = max(1, -(-n * copies // (4 * shard_rows)))
-    placed = _in_blocks(placed, shard_rows).repartition(parts, "shard", "x", "y")
+    placed = _in_blocks(placed, shard_rows, wanted).repartition(parts, "shard", "x", "y")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, s = search_shard(pdf["id"].to_numpy(), _unit(pdf["q"], size), k, least, factor)
