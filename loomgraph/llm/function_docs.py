@@ -18,8 +18,13 @@ _ROWS = 500
 #: Groups: comment, literal, opening and closing bracket, line end with the blanks after it.
 _LEXER = re.compile(r"(?P<c>#[^\r\n]*)|(?P<s>" + pylex.STRING + r")|(?P<o>[(\[{])|(?P<x>[)\]}])|(?P<n>(?:\r\n|\r|\n)[ \t\f]*)", re.S)
 _LITERAL = re.compile(pylex.STRING, re.S)
+#: Literals that are one text: side by side, or in brackets of their own over lines.
+_BARE = re.compile(f"{pylex.STRING}(?:(?:[ \\t\\f]|\\\\(?:\\r\\n|\\r|\\n))*{pylex.STRING})*", re.S)
+_BRACKETED = re.compile(rf"(?P<open>(?:\((?:\s|#[^\r\n]*)*)+){pylex.STRING}(?:(?:\s|\\|#[^\r\n]*)*{pylex.STRING})*(?P<close>(?:(?:\s|#[^\r\n]*)*\))+)", re.S)
 _BLANKS = re.compile(r"[ \t\f]*")
 _HEAD = re.compile(r"(?:async[ \t]+)?def[ \t]+(\w+)|(class)\b|(@)")
+#: All but brackets.
+_UNCOMMENTED = re.compile(r"#[^\r\n]*|[^()]")
 _ENDS_LINE = re.compile(r"[ \t;]*(?:[\r\n#]|\Z)")
 _PARAMS = re.compile(r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 _PARAM = re.compile(r"(?:^|,)\s*\*{0,2}(\w+)")
@@ -29,7 +34,7 @@ _BREAK = re.compile(r"\r\n|\r|\n")
 def lex_tokens(code: str) -> list[tuple]:
     """The tokens of one text that matter for documentation, as ``_TOKEN``.
 
-    Kinds: ``c`` a comment that begins a line, ``s`` a literal that is all code of its lines, ``k`` the first code of any other line (``word``: def, class, @
+    Kinds: ``c`` a comment that begins a line, ``s`` a literal, or several that are one text, with no other code on its lines, ``k`` the first code of any other line (``word``: def, class, @
     or empty), ``l`` a literal elsewhere, ``o`` and ``x`` an opening and a closing bracket (delta 1 and -1). Only what begins a
     line has an indent. Lines count from 0; start and end are characters, of the token's whole lines.
     """
@@ -40,10 +45,22 @@ def lex_tokens(code: str) -> list[tuple]:
         m = _BREAK.search(code, at)
         return m.start() if m else len(code)
 
+    def joined(m: re.Match | None) -> str | None:
+        """The text of literals that are all code of their lines."""
+        if m is None or _ENDS_LINE.match(code, m.end()) is None:
+            return None
+        if "open" in m.groupdict() and len(_UNCOMMENTED.sub("", m["open"])) != len(_UNCOMMENTED.sub("", m["close"])):
+            return None
+        return "".join(pylex.value(code[a:b]) for kind, a, b in ((k, m.start() + x, m.start() + y) for k, x, y in pylex.lex(m[0])) if kind == "s")
+
     def open_line(at: int, first: int) -> None:
         """Emits the code that begins a line, unless a comment, a literal or nothing does."""
         if first >= len(code) or code[first] in "\r\n#" or (code[first] in "\"'rRbBuUfFtT" and _LITERAL.match(code, first)):
             return
+        text = joined(_BRACKETED.match(code, first)) if code[first] == "(" else None
+        if text is not None:
+            out.append((len(out), "s", line, line, at, line_end(first), len(code[at:first].expandtabs(8)), 0, text, "", ""))
+            return
         m = _HEAD.match(code, first)
         word = "" if m is None else "def" if m[1] else m[2] or m[3]
         head = _PARAMS.search(code, first) if word == "def" else None
@@ -66,9 +83,9 @@ def lex_tokens(code: str) -> list[tuple]:
         else:
             n = len(_BREAK.findall(m[0]))
             leads = m.start() == first
-            alone = leads and _ENDS_LINE.match(code, m.end()) is not None
+            text = joined(_BARE.match(code, m.start())) if leads else None
             indent = len(code[begin:first].expandtabs(8)) if leads else None
-            out.append((len(out), "s" if alone else "k" if leads else "l", line, line + n, begin, line_end(m.end()), indent, 0, pylex.value(m[0]) if alone else None, "", ""))
+            out.append((len(out), "s" if text is not None else "k" if leads else "l", line, line + n, begin, line_end(m.end()), indent, 0, text, "", ""))
             line += n
     return out
 
@@ -156,6 +173,8 @@ def describes(text: str | None, name: str | None, params: str | None = None) ->
     for line in prose.without_code([x for x in lines if x.strip()]):
         if _DIRECTIVE.match(line):
             continue
+        if _MARKED.search(line):
+            continue  # before what stands in front of a colon is taken for a tag
         line = _TAG.sub("", line.strip()).strip()
         if not re.search(r"[^\W\d_]", line):
             continue

@@ -14,11 +14,13 @@ def test_function_docs(spark):
     rows = [
         (1, "f::a", "a", None, '# Opens the door.\n@x\ndef a(b):\n    def inner():\n        """Inner text of some length."""\n    return b\n', 0), (2, "f::b", "b", "Kept beside the content.", "def b(): pass", 0), (3, "f::c", "c", None, "# far away\n\ndef c(): pass", 0),
         (4, "f::d", "d", None, None, 0), (5, "f::e", None, "", "", 0), (6, "f::g", "g", "TODO", 'def g(\n    a,\n):\n    # note\n    """Closes the door."""\n', 0), (7, "f::h", None, "Only the docstring is left.", None, 0),
+        (10, "f::k", "k", None, 'def k(a):\n    ("Skips hid"  # a note (\n     "den files.")\n    return a\n', 0), (11, "f::l", "l", None, 'def l():\n    "Never " \\\n    "raises."\n', 0), (12, "f::m", "m", None, 'def m():\n    ("Not a text.", 1)\n    ("Nor" + x)\n', 0),
         (8, "f::i", "i", None, 'def i():\n    x = "Not a docstring at all."\n', 0), (9, "f::j", "j", None, "x = (\n# comment in brackets\n)\ndef j(): pass", 0),
     ]
     df = spark.createDataFrame(rows, FN)
     got = {r["chunk_id"]: r["source"] for r in function_docs.documented(df).collect()}
-    assert got == {1: "comments", 2: "kept", 6: "docstring", 7: "kept"}
+    assert got == {1: "comments", 2: "kept", 6: "docstring", 7: "kept", 10: "docstring", 11: "docstring"}
+    assert {r["docstring"] for r in function_docs.documented(df).where("chunk_id >= 10").collect()} == {"Skips hidden files.", "Never raises."}
     assert {r["chunk_id"] for r in function_docs.pairs(df).collect()} == set(got)
     assert function_docs.documented(df.where("false")).count() == 0
 

@@ -57,7 +57,7 @@ def test_sentences_in_code_of_documents():
 @pytest.mark.parametrize(
     ("text", "name", "want"),
     [
-        (None, "f", False), ("", "f", False), ("TODO: docs", "f", False), ("Helper for load_rows.", "load_rows", False), ("Loads the rows.", "load_rows", False), (":param x:\n:return:", "f", False), ("-----", "f", False),
+        (None, "f", False), ("", "f", False), ("TODO: describe what this does", "f", False), ("FIXME: explain the rows", "f", False), ("Note: keys are sorted.", "f", True), ("TODO: docs", "f", False), ("Helper for load_rows.", "load_rows", False), ("Loads the rows.", "load_rows", False), (":param x:\n:return:", "f", False), ("-----", "f", False),
         ("Idempotent.", "f", True), ("Nobody has written documentation yet.", "f", False), ("Hier fehlt noch die Beschreibung.", "f", False), ("# noqa: C901", "f", False), ("# x = f(y)", "f", False), ("# === load rows ===", "load_rows", False),
         (":param x: the number of retries before it fails", "f", True), ("Keys are sorted.", "f", True), ("пишет результат в файл", "f", True), ("x", None, True), ("# x = (\n#     state\n#     + f(3)\n# )", "g", False),
     ],
