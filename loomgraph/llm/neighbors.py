@@ -241,9 +241,8 @@ def nearest(rows: DataFrame, size: int, k: int = 5, least: float = 0.7, shard_ro
         placed = _placed(first, pivots, copies if wanted > 1 else 1, size)
     else:
         placed = checkpointed(_placed_twice(first.select("id", "q"), wanted, most_pivots, copies, size), costly=True)
-    # So many partitions that none has more than a few shards, whatever the session's default.
-    parts = max(1, -(-n * copies // (4 * shard_rows)))
-    placed = _in_blocks(placed, shard_rows, wanted).repartition(parts, "shard", "x", "y")
+    # A task takes its shards one by one, so the session's number of partitions bounds no memory.
+    placed = _in_blocks(placed, shard_rows, wanted)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, s = search_shard(pdf["id"].to_numpy(), _unit(pdf["q"], size), k, least, factor)
