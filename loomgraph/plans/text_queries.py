@@ -79,9 +79,10 @@ def wait_time(spark, sf_dir):
 
 def router_pick(spark, sf_dir):
     """For each user the type of event with the greatest capacity at its last use; ``click`` and ``view`` are preferred."""
-    used = quota.upsert_last(_usage(spark, sf_dir), ["user_id", "event_type"], "us", "event_id")
-    rows = used.withColumn("capacity", quota.capacity(used, 10, 100, 100_000)).withColumn("preferred", F.col("event_type").isin("click", "view"))
-    return quota.pick(rows, "user_id", "event_type", "preferred")
+    used = _usage(spark, sf_dir)
+    rows = used.select("user_id", "event_type", "us", "event_id", quota.capacity(used, 10, 100, 100_000).alias("capacity"))
+    last = quota.upsert_last(rows, ["user_id", "event_type"], "us", "event_id")
+    return quota.pick(last.withColumn("preferred", F.col("event_type").isin("click", "view")), "user_id", "event_type", "preferred")
 
 
 def admission_fold(spark, sf_dir):

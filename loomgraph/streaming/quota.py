@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from loomgraph.storage import fresh, fresh_many
 
 MINUTE, DAY = 60_000_000, 86_400_000_000
+#: Days in a bucket of time.
+DAYS = 4
 
 
 def micros(ts: Column) -> Column:
@@ -20,25 +22,29 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _over_span(rows: DataFrame, key: str, span: int, **measures: Column) -> DataFrame:
-    """``rows`` (us) with measures over the key's rows of the last ``span`` microseconds.
+def usage(events: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """``events`` (us) with rpm, tpm and rpd: requests and tokens of the last minute and requests of the last day, this one included. Rows without a time are left out.
 
-    Time is cut into buckets of one span, and each row is carried into the next bucket too, where it may still count. So a
-    window partition is a key's two spans instead of all it ever had. A row leaves when it is ``span`` old: the window
-    is half open.
+    A row leaves when it is a minute or a day old: the windows are half open. What is in one is all that came so far without all that
+    left, and both are read in order of time with one running figure each, so the work does not grow with the rows in a window.
+    Time is cut into buckets of ``DAYS`` days, and a row of a bucket's last day is carried into the next one too, where it may still count. So a
+    window partition is a part of a key's time instead of all it ever had.
     """
-    slot, own = fresh_many(2, *rows.columns)
-    bucket = F.expr(f"floor(us / {span})")
-    both = rows.withColumn(slot, F.explode(F.array(bucket, bucket + 1))).withColumn(own, F.col(slot) == bucket)
-    window = Window.partitionBy(key, slot).orderBy("us").rangeBetween(-(span - 1), Window.currentRow)
-    return both.withColumns({name: m.over(window) for name, m in measures.items()}).where(own).drop(slot, own)
-
-
-def usage(events: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """``events`` (us) with rpm, tpm and rpd: requests and tokens of the last minute and requests of the last day, this one included. Rows without a time are left out."""
     rows = events.withColumn("tokens", F.greatest(tokens, F.lit(1)).cast("bigint")).where("us is not null")
-    rows = _over_span(rows, key, MINUTE, rpm=F.count("*"), tpm=F.sum("tokens"), oldest=F.min("us"))
-    return _over_span(rows, key, DAY, rpd=F.count("*"))
+    slot, own, after = fresh_many(3, *rows.columns)
+    span = DAYS * DAY
+    bucket = F.expr(f"cast((us - pmod(us, {span})) / {span} as bigint)")
+    slots = F.when(F.expr(f"pmod(us, {span}) >= {span - DAY}"), F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
+    both = rows.withColumn(slot, F.explode(slots)).withColumn(own, F.col(slot) == bucket)
+    in_order = Window.partitionBy(key, slot).orderBy("us")
+    so_far = in_order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    left = {n: in_order.rangeBetween(Window.unboundedPreceding, -n) for n in (MINUTE, DAY)}
+    within = lambda m, n: m.over(so_far) - F.coalesce(m.over(left[n]), F.lit(0))
+    used = both.withColumn(after, F.lead("us").over(in_order)).withColumns({
+        "rpm": within(F.count("*"), MINUTE), "tpm": within(F.sum("tokens"), MINUTE), "rpd": within(F.count("*"), DAY),
+        "oldest": F.coalesce(F.max(after).over(left[MINUTE]), F.min("us").over(so_far)),  # the one that follows the last that left
+    })
+    return used.where(own).drop(slot, own, after)
 
 
 def capacity(used: DataFrame, rpm: int, tpm: int, rpd: int) -> Column:

@@ -42,6 +42,21 @@ def test_half_open_minute(spark):
     assert got == {0: 1, 1: 2, 2: 3, 3: 3}
 
 
+def test_usage_reads_time_once_whatever_a_window_holds(spark):
+    rng = np.random.default_rng(5)
+    edge = quota.DAYS * quota.DAY
+    times = [int(x) for x in (*rng.integers(edge - 60_000_000, edge + 60_000_000, 300), *rng.integers(-2 * quota.DAY, 2 * edge, 300), edge - 1, edge, edge - quota.DAY, 2 * edge - quota.DAY, -quota.DAY, 0, 0)]
+    rows = spark.createDataFrame([(i, "k", us, i % 7) for i, us in enumerate(times)], "event_id bigint, k string, us bigint, n bigint")
+    used = quota.usage(rows, "k", F.col("n"))
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
+    for r in used.collect():
+        minute = [j for j, u in enumerate(times) if r["us"] - quota.MINUTE < u <= r["us"]]
+        day = [j for j, u in enumerate(times) if r["us"] - quota.DAY < u <= r["us"]]
+        assert (r["rpm"], r["tpm"], r["rpd"], r["oldest"]) == (len(minute), sum(max(j % 7, 1) for j in minute), len(day), min(times[j] for j in minute))
+    assert used.count() == len(times)
+
+
 def fold(events, rpm, tpm, rpd):
     kept, out = {}, {}
     for i, k, us, n in sorted(events, key=lambda e: (e[1], e[2], e[0])):
