@@ -7,6 +7,7 @@ frontier may be any size: Spark broadcasts it while it measures small and shuffl
 from __future__ import annotations
 
 import re
+from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,6 +151,55 @@ def shortest_paths(graph: PropertyGraph, sources: DataFrame, sinks: DataFrame, e
     return seen.where("hops > 0").join(sinks.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("source", F.col("node").alias("sink"), "hops")
 
 
+#: Sources that are sent to all tasks, and nodes on the way that are.
+FEW, FEW_NODES = 10_000, 100_000
+
+
+def layered_paths(sources: DataFrame, sinks: dict[str, DataFrame], links: list[tuple[str, str, DataFrame]], max_depth: int = 5) -> DataFrame:
+    """(source, label, key, hops) as of ``shortest_paths``, where links lead from label to label without a cycle: each link is followed once, for all sources and levels.
+
+    ``sources``: (id, label, key); ``sinks``: by label (key), null for none; ``links``: label of src, label of target, (src, target), in any number of copies. A node is told by its label and key.
+    Labels are settled in the order of their links. A node has one row for each 64 sources: ``d0``, ``d1`` and so on are bits of those that some way of so many
+    links leads from. So a link moves bits instead of pairs, and pairs are made of the bits of the sinks alone, without a shuffle.
+    """
+    order = list(TopologicalSorter({label: {a for a, b, _ in links if b == label} for x in links for label in x[:2]}).static_order())
+    found = checkpointed(sources.where("key is not null").select("id", "label", "key").dropDuplicates(["label", "key"]))
+    few = found.limit(FEW + 1).count() <= FEW
+    numbered = (found.coalesce(1) if few else found).withColumn("n", F.monotonically_increasing_id())
+    numbered = checkpointed(numbered.select("id", "label", "key", F.expr("shiftright(n, 6)").alias("block"), F.expr("shiftleft(1L, cast(n & 63L as int))").alias("bit")))
+    starting = {r[0] for r in numbered.select("label").distinct().collect()}
+    states: dict[str, DataFrame] = {}
+    levels: dict[str, list[int]] = {}
+    pairs = found.limit(0).select(F.col("id").alias("source"), F.col("label"), "key", F.lit(0).alias("hops"))
+    for label in order:
+        steps = [(a, df) for a, b, df in links if b == label and levels[a]]
+        here = levels[label] = sorted({n + 1 for a, _ in steps for n in levels[a] if n < max_depth} | ({0} if label in starting else set()))
+        if not here:
+            continue
+        rows = _with_levels(numbered.where(F.col("label") == label), "key", {0: "bit"}, here)
+        for a, df in steps:
+            ways = df.join(states[a].withColumnRenamed("key", "src"), "src")
+            rows = rows.unionByName(_with_levels(ways, "target", {n + 1: f"d{n}" for n in levels[a]}, here))
+        merged = lambda df: df.groupBy("key", "block").agg(*[F.bit_or(f"d{n}").alias(f"d{n}") for n in here])  # noqa: B023, E731
+        if any(a == label for a, _, _ in links):
+            rows = checkpointed(merged(rows))
+            states[label] = F.broadcast(rows) if rows.limit(FEW_NODES + 1).count() <= FEW_NODES else rows
+        if label in sinks and here != [0]:
+            # An inner join, since Spark would push a semi join down to each link and shuffle links once more.
+            ends = merged(rows.join(sinks[label].select("key").distinct(), "key"))
+            of = numbered.select(F.col("id").alias("source"), "block", "bit")
+            has = lambda n: F.col(f"d{n}").bitwiseAND(F.col("bit")) != 0
+            hops = F.coalesce(*[F.when(has(n), F.lit(n)) for n in here])
+            met = ends.join(F.broadcast(of) if few else of, "block").select("source", F.lit(label).alias("label"), "key", hops.alias("hops"))
+            pairs = pairs.unionByName(met.where("hops > 0"))
+    return pairs
+
+
+def _with_levels(rows: DataFrame, key: str, bits: dict[int, str], levels: list[int]) -> DataFrame:
+    """(key, block, one column of bits for each of ``levels``): those of ``bits``, else none."""
+    return rows.select(F.col(key).alias("key"), "block", *[(F.col(bits[n]) if n in bits else F.lit(0).cast("bigint")).alias(f"d{n}") for n in levels])
+
+
 def parameter_lineage(graph: PropertyGraph, functions: DataFrame, max_depth: int = 30) -> DataFrame:
     """(function, caller, hops, line, bound_argument): who calls each function (id), directly or through others.
 

@@ -115,6 +115,20 @@ def nation_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(extra).select("file_path", F.encode("text", "UTF-8").alias("content"))
 
 
+#: Edge type, table, label and key of src, label and key of target.
+_TPCH_LINKS = (
+    ("IN_REGION", "nation", "Nation", "n_nationkey", "Region", "n_regionkey"), ("CUST_NATION", "customer", "Customer", "c_custkey", "Nation", "c_nationkey"),
+    ("SUPP_NATION", "supplier", "Supplier", "s_suppkey", "Nation", "s_nationkey"), ("PLACED_BY", "orders", "Order", "o_orderkey", "Customer", "o_custkey"),
+    ("HAS_ITEM", "lineitem", "Order", "l_orderkey", "Part", "l_partkey"), ("SUPPLIED_BY", "lineitem", "Part", "l_partkey", "Supplier", "l_suppkey"),
+)
+
+
+def tpch_links(spark: SparkSession, sf_dir: str, edge_types: list[str]) -> list[tuple[str, str, DataFrame]]:
+    """The links of ``tpch_graph`` by type: label of src, label of target, and (src, target), which are keys instead of ids. Links may be repeated."""
+    key = lambda name, alias: F.col(name).cast("bigint").alias(alias)
+    return [(a, b, table(spark, sf_dir, name).where(F.col(ak).isNotNull() & F.col(bk).isNotNull()).select(key(ak, "src"), key(bk, "target"))) for edge, name, a, ak, b, bk in _TPCH_LINKS if edge in edge_types]
+
+
 def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, orders and parts, linked by their keys."""
     t = lambda name: table(spark, sf_dir, name)

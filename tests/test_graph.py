@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import cycles, dead, graph, traverse
@@ -82,3 +85,31 @@ def test_ingest_keeps_lines_of_calls_only(spark):
     assert graph.ingest_edges(g.edges, g.nodes).count() == 4
     assert graph.duplicate_ids(g.nodes).count() == 0
     assert graph.placeholders(g.edges, g.nodes.where("label <> 'Target'"), "CALLS").collect()[0]["name"] == "save_characters"
+
+
+def test_layered_ways_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    keys = {"a": range(150), "b": range(40), "c": range(30), "d": range(60)}
+    kinds = [("a", "b"), ("a", "c"), ("b", "c"), ("b", "d"), ("c", "d"), ("b", "d")]
+    drawn = [(a, b, [(rng.choice(keys[a]), rng.choice(keys[b])) for _ in range(70)]) for a, b in kinds]
+    starts = {(x, k) for x in "abd" for k in keys[x] if k % 2}
+    wanted = {"b": [1, 2, 3], "d": [*range(0, 50, 3), 999]}
+    want = set()
+    for s in starts:
+        far, frontier = {s: 0}, {s}
+        for n in (1, 2, 3):
+            frontier = {(b, t) for a, b, links in drawn for f, t in links if (a, f) in frontier} - set(far)
+            far |= dict.fromkeys(frontier, n)
+        want |= {(f"{s[0]}{s[1]}", x, k, n) for (x, k), n in far.items() if n and k in wanted.get(x, ())}
+    frame = lambda rows: spark.createDataFrame(rows, "src bigint, target bigint")
+    links = [(a, b, frame(x + x[:9])) for a, b, x in drawn]
+    sources = spark.createDataFrame([(f"{x}{k}", x, k) for x, k in starts] + [("a1", "a", 1)], "id string, label string, key bigint")
+    sinks = {x: spark.createDataFrame([(k,) for k in [*v, v[0]]], "key bigint") for x, v in wanted.items()}
+    for few in (10_000, 1):  # in the second round sources lie in many partitions and nothing is broadcast
+        monkeypatch.setattr(traverse, "FEW", few)
+        monkeypatch.setattr(traverse, "FEW_NODES", few)
+        got = [tuple(r) for r in traverse.layered_paths(sources.repartition(3), sinks, links, 3).collect()]
+        assert set(got) == want and len(got) == len(want) and {r[3] for r in want} == {1, 2, 3}
+    with pytest.raises(ValueError, match="cycle"):
+        traverse.layered_paths(sources, sinks, [*links, ("d", "a", frame([(1, 1)]))], 3)
+    assert traverse.layered_paths(sources.where("false"), sinks, links, 3).count() == 0
